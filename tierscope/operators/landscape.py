@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.aggregates import count_items
 from tierscope.functions.expr import mean, percent_or_zero, rounded_even
+from tierscope.functions.params import keep_values
 from tierscope.operators.drugs import drug_dosages, group_ndcs
 from tierscope.operators.normalize import Tables
 
@@ -88,14 +89,18 @@ def company_plans(
     )
 
 
-def with_dosage(df: DataFrame, t: Tables) -> DataFrame:
-    """Adds `dosage` from the drug names, or `NDC: n` for concepts without one."""
-    wanted = t["drug_names"].join(df.select("rxcui").distinct(), "rxcui", "left_semi")
-    return df.join(drug_dosages(wanted), "rxcui", "left").withColumn(
+def _dosed_drugs(t: Tables, groups: GroupsArg) -> DataFrame:
+    """The grouped drugs with their dosage, or `NDC: n` for concepts without a name."""
+    dosages = drug_dosages(keep_values(t["drug_names"], "rxcui", _rxcuis(groups)))
+    return group_ndcs(t, groups).join(dosages, "rxcui", "left").withColumn(
         "dosage", F.coalesce("dosage", F.concat(F.lit("NDC: "), "ndc"))
     )
 
 
+def _rxcuis(groups: GroupsArg) -> list[int]:
+    return [rxcui for listed in groups.values() for rxcui in listed]
+
+
 def _per_company(drugs: DataFrame, companies: Sequence[str]) -> DataFrame:
     """Each drug with each company, written out from a literal list."""
     return drugs.withColumn("company", F.explode(F.array(*[F.lit(c) for c in companies])))
@@ -107,9 +112,8 @@ def _zeros(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def _listings(t: Tables, groups: GroupsArg, drugs: DataFrame) -> DataFrame:
     """Formulary entries of the grouped drugs."""
-    rxcuis = [r for listed in groups.values() for r in listed]
-    entries = t["formulary_drugs"].where(F.col("rxcui").isin(sorted(set(rxcuis))))
-    return entries.join(drugs, ["rxcui", "ndc"])
+    entries = keep_values(t["formulary_drugs"], "rxcui", _rxcuis(groups))
+    return entries.join(drugs.select(*DRUG), ["rxcui", "ndc"])
 
 
 # ---------------------------------------------------------------- coverage
@@ -125,10 +129,11 @@ def coverage_table(
     A row for every drug and company, zero where there is nothing.
     """
     plans = company_plans(t, patterns, companies)
-    totals = count_items(plans, ["company"], "formulary_id", "total_formularies").join(
-        count_items(plans, ["company"], "plan_id", "total_plans"), "company"
+    totals = plans.groupBy("company").agg(
+        F.countDistinct("formulary_id").alias("total_formularies"),
+        F.countDistinct("plan_id").alias("total_plans"),
     )
-    drugs = group_ndcs(t, groups)
+    drugs = _dosed_drugs(t, groups)
     entries = _listings(t, groups, drugs).select(
         *DRUG, "formulary_id", "tier_level_value", "prior_authorization_yn",
         "step_therapy_yn", "quantity_limit_yn",
@@ -152,7 +157,7 @@ def coverage_table(
     )
     rows = _per_company(drugs, companies).join(totals, "company", "left")
     rows = rows.join(by_formulary, key, "left").join(by_plan, key, "left")
-    rows = _zeros(with_dosage(rows, t), (*key, "dosage"))
+    rows = _zeros(rows, (*key, "dosage"))
     with_drug = F.col("plans_with_drug")
     shares = [
         percent_or_zero(F.col(f"{m}_count"), with_drug).alias(f"{m}_pct")
@@ -180,9 +185,9 @@ def pricing_table(
     plans = company_plans(t, patterns, companies).select(
         "contract_id", "plan_key", "parent_org", "company"
     ).distinct()
-    drugs = group_ndcs(t, groups)
+    drugs = _dosed_drugs(t, groups)
     prices = t["drug_pricing"].where(F.col("days_supply") == days).join(
-        drugs.select("ndc").distinct(), "ndc", "left_semi"
+        drugs.select("ndc"), "ndc", "left_semi"
     ).select("plan_key", "ndc", "unit_cost")
     cost = F.col("unit_cost")
     priced = prices.join(plans, "plan_key").groupBy("company", "ndc").agg(
@@ -192,7 +197,7 @@ def pricing_table(
         F.count("*").alias("plan_count"),
     )
     rows = _per_company(drugs, companies).join(priced, ["company", "ndc"], "left")
-    return _zeros(with_dosage(rows, t), ("company", *DRUG, "dosage"))
+    return _zeros(rows, ("company", *DRUG, "dosage"))
 
 
 # ---------------------------------------------------------------- member costs
@@ -212,7 +217,7 @@ def member_cost_table(
     plans = company_plans(t, patterns, companies).select(
         "company", "plan_key", "formulary_id"
     ).distinct()
-    drugs = group_ndcs(t, groups)
+    drugs = _dosed_drugs(t, groups)
     entries = _listings(t, groups, drugs)
     key = ["company", *DRUG]
     placed = plans.join(
@@ -240,7 +245,7 @@ def member_cost_table(
     rows = _per_company(drugs, companies).join(counted, key, "left").join(
         covering, ["company", "rxcui"], "left"
     )
-    rows = _zeros(with_dosage(rows, t), (*key, "dosage"))
+    rows = _zeros(rows, (*key, "dosage"))
 
     def share(name: str) -> Column:
         part = F.try_divide(F.col(f"{name}_plans") * F.lit(100.0), F.col("covering_plans"))

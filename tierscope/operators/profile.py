@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierscope import schemas as S
 from tierscope.functions.expr import as_column, mean, percent
+from tierscope.functions.params import one_row
 from tierscope.operators.normalize import Tables
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -27,52 +28,76 @@ def plan_profile(t: Tables) -> DataFrame:
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, range and exact quartiles of a numeric column.
 
-    Quartiles interpolate linearly. Rows first collapse to (value, count). A quantile
-    sketch then gives two values around each quartile that provably enclose it, and
-    only the values between them are put in order, so no task sorts the column.
+    Quartiles interpolate linearly. A quantile sketch gives two values around each
+    quartile. A second pass over (value, count) rows adds up what lies below them and
+    keeps the few values between, where the rank is found; no task orders the column.
     """
     value = F.col(column).cast("double")
-    counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(
-        F.count("*").alias("n")
-    )
     edges = [q + side for q in QUARTILES.values() for side in (-BRACKET, BRACKET)]
     basics = df.agg(
-        F.count(column).alias("count"),
         mean(F.col(column)).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("edges"),
     )
-    sketch = basics.select(F.struct("count", "edges")).scalar()
+    row = one_row(basics)
+    counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(
+        F.count("*").alias("n")
+    )
+    brackets = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *[
+        _bracket(row["edges"][2 * i], row["edges"][2 * i + 1]).alias(name)
+        for i, name in enumerate(QUARTILES)
+    ])
     quartiles = [
-        _quartile(counts, sketch["count"], sketch["edges"][2 * i], sketch["edges"][2 * i + 1], q)
-        .alias(name)
-        for i, (name, q) in enumerate(QUARTILES.items())
+        _quantile(F.col(name), F.col("count"), q).alias(name) for name, q in QUARTILES.items()
     ]
-    return basics.select("count", "mean", "std", "min", *quartiles, "max")
+    return brackets.select(
+        "count",
+        *[row[name].alias(name) for name in ("mean", "std", "min")],
+        *quartiles,
+        row["max"].alias("max"),
+    )
 
 
-def _quartile(counts: DataFrame, total: Column, low: Column, high: Column, q: float) -> Column:
-    """Exact quantile; the sketched values low and high are at most one rank too close.
+def _bracket(low: Column, high: Column) -> Column:
+    """Aggregate: rows below low, and the (value, count) pairs from low to high.
 
-    One neighbour on each side therefore completes the bracket.
+    The sketch may stop one rank short, so one neighbour on each side is included.
     """
-    position = (total - 1) * F.lit(q)
-    v = F.col("v")
-    around = counts.agg(
-        F.max(F.when(v < low, v)).alias("low"), F.min(F.when(v > high, v)).alias("high")
-    ).select(F.struct("low", "high")).scalar()
-    low, high = F.coalesce(around["low"], low), F.coalesce(around["high"], high)
-    below = counts.where(v < low).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.where(F.col("v").between(low, high)).select(
-        "v", (F.sum("n").over(upto) + below).alias("end")  # ranks before `end` are at most v
+    v, pair = F.col("v"), F.struct("v", "n")
+    return F.struct(
+        F.coalesce(F.sum(F.when(v < low, F.col("n"))), F.lit(0)).alias("below"),
+        F.max(F.when(v < low, pair)).alias("left"),
+        F.collect_list(F.when(v.between(low, high), pair)).alias("inside"),
+        F.min(F.when(v > high, pair)).alias("right"),
     )
-    floor, part = F.floor(position), position - F.floor(position)
-    left = F.min(F.when(F.col("end") > floor, F.col("v")))
-    right = F.min(F.when(F.col("end") > F.least(floor + 1, total - 1), F.col("v")))
-    return ranked.agg((left + (right - left) * part).alias("value")).scalar()
+
+
+def _quantile(bracket: Column, total: Column, q: float) -> Column:
+    """Exact quantile from a bracket known to enclose it."""
+    left, right = bracket["left"], bracket["right"]
+    pairs = F.array_compact(
+        F.concat(F.array(left), F.array_sort(bracket["inside"]), F.array(right))
+    )
+    start = bracket["below"] - F.coalesce(left["n"], F.lit(0))
+    none = F.lit(None).cast("double")
+
+    def at(rank: Column) -> Column:
+        """First value whose running count exceeds the rank (from 0)."""
+        def step(seen, pair):
+            upto = seen["upto"] + pair["n"]
+            return F.struct(
+                upto.alias("upto"),
+                F.coalesce(seen["v"], F.when(upto > rank, pair["v"])).alias("v"),
+            )
+
+        return F.aggregate(pairs, F.struct(start.alias("upto"), none.alias("v")), step)["v"]
+
+    position = (total - 1) * F.lit(q)
+    floor = F.floor(position)
+    lower, upper = at(floor), at(F.least(floor + 1, total - 1))
+    return lower + (upper - lower) * (position - floor)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

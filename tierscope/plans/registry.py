@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +27,7 @@ from tierscope.sources import sinks, tables, text
 from tierscope.sources.star import derive_tables
 from tierscope.streaming.append import append_pricing
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 Build = Callable[[Tables], DataFrame]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,25 +19,47 @@ PARENTS = {
 }
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All drug-plan tables as lazy DataFrames over the Parquet files in sf_dir."""
+# Columns used of each test table. With a schema given, opening a file costs no job.
+STAR = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey long, o_custkey long",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_extendedprice double",
+}
+
+
+class DerivedTables(Mapping):
+    """The drug-plan tables by name; each is defined when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
+
+    def raw(self, name: str) -> DataFrame:
+        return self._spark.read.schema(STAR[name]).parquet(f"{self._dir}/{name}.parquet")
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = _with_schema_columns(BUILDERS[name](self), S.SCHEMAS[name])
+        return self._made[name]
 
-    def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    def __iter__(self):
+        return iter(BUILDERS)
 
-    plan_information = _plan_information(raw)
-    plan_enrollment = _plan_enrollment(raw, plan_information)
-    tables = {
-        "plan_information": plan_information,
-        "geographic_locator": _geographic_locator(raw),
-        "formulary_drugs": _formulary_drugs(raw),
-        "drug_pricing": _drug_pricing(raw),
-        "beneficiary_costs": _beneficiary_costs(raw, plan_information),
-        "plan_enrollment": plan_enrollment,
-        "contract_organizations": _contract_organizations(plan_enrollment),
-        "drug_names": _drug_names(raw),
-    }
-    return {name: _with_schema_columns(df, S.SCHEMAS[name]) for name, df in tables.items()}
+    def __len__(self) -> int:
+        return len(BUILDERS)
+
+
+@lru_cache(maxsize=8)
+def derive_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """All drug-plan tables as lazy DataFrames over the Parquet files in sf_dir.
+
+    The definitions, not the data, are kept for the session.
+    """
+    return DerivedTables(spark, sf_dir)
 
 
 def _with_schema_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -61,9 +86,9 @@ def _county_code(nation_key: str) -> Column:
     return F.concat(F.lit("29"), _digits(F.col(nation_key), 3))
 
 
-def _plan_information(raw) -> DataFrame:
-    nation = raw("nation")
-    homes = nation.join(raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+def _plan_information(t: DerivedTables) -> DataFrame:
+    nation = t.raw("nation")
+    homes = nation.join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("c_nationkey"),
         F.substring("r_name", 1, 2).alias("state"),
         _county_code("n_nationkey").alias("county_code"),
@@ -73,7 +98,7 @@ def _plan_information(raw) -> DataFrame:
     )
     no = F.col("plan_no")
     return (
-        raw("customer")
+        t.raw("customer")
         .select(_plan_no("c_custkey").alias("plan_no"), "c_nationkey")
         .withColumn("contract_no", no % 25)
         .join(names, "contract_no")
@@ -97,9 +122,9 @@ def _plan_information(raw) -> DataFrame:
     )
 
 
-def _geographic_locator(raw) -> DataFrame:
+def _geographic_locator(t: DerivedTables) -> DataFrame:
     region = F.col("r_regionkey")
-    return raw("nation").join(raw("region"), F.col("n_regionkey") == region).select(
+    return t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == region).select(
         _county_code("n_nationkey").alias("county_code"),
         F.col("r_name").alias("state_name"),
         F.col("n_name").alias("county_name"),
@@ -110,13 +135,13 @@ def _geographic_locator(raw) -> DataFrame:
     )
 
 
-def _formulary_drugs(raw) -> DataFrame:
-    listed = raw("lineitem").select(
+def _formulary_drugs(t: DerivedTables) -> DataFrame:
+    listed = t.raw("lineitem").select(
         (F.col("l_suppkey") % 20).alias("formulary_no"), F.col("l_partkey").alias("p_partkey")
     ).distinct()
     size, no = F.col("p_size"), F.col("formulary_no")
     limited = size % 3 == 0
-    return listed.join(raw("part"), "p_partkey").select(
+    return listed.join(t.raw("part"), "p_partkey").select(
         _digits(no, 8).alias("formulary_id"),
         F.floor(F.col("p_partkey") / 2).cast("long").alias("rxcui"),
         _digits(F.col("p_partkey"), 11).alias("ndc"),
@@ -130,11 +155,11 @@ def _formulary_drugs(raw) -> DataFrame:
     )
 
 
-def _drug_pricing(raw) -> DataFrame:
+def _drug_pricing(t: DerivedTables) -> DataFrame:
     no = _plan_no("o_custkey")
     return (
-        raw("lineitem")
-        .join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        t.raw("lineitem")
+        .join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             no.alias("plan_no"),
             "l_partkey",
@@ -155,13 +180,13 @@ def _drug_pricing(raw) -> DataFrame:
     )
 
 
-def _beneficiary_costs(raw, plan_information: DataFrame) -> DataFrame:
+def _beneficiary_costs(t: DerivedTables) -> DataFrame:
     """Tiers 1-7 by supply codes 1-3 for each plan."""
     tier, no = F.col("tier"), F.col("plan_id").cast("int")
     kind = (no + tier) % 3
     amount = F.when(kind == 0, (tier * 10).cast(S.RATE)).when(kind == 1, F.lit(0.25).cast(S.RATE))
     return (
-        plan_information.select("plan_key", "plan_id").distinct()
+        t["plan_information"].select("plan_key", "plan_id").distinct()
         .withColumn("tier", F.explode(F.sequence(F.lit(1), F.lit(7))))
         .withColumn("days_supply", F.explode(F.sequence(F.lit(1), F.lit(3))))
         .select(
@@ -177,13 +202,13 @@ def _beneficiary_costs(raw, plan_information: DataFrame) -> DataFrame:
     )
 
 
-def _plan_enrollment(raw, plan_information: DataFrame) -> DataFrame:
-    members = raw("orders").groupBy(_plan_no("o_custkey").alias("plan_no")).agg(
+def _plan_enrollment(t: DerivedTables) -> DataFrame:
+    members = t.raw("orders").groupBy(_plan_no("o_custkey").alias("plan_no")).agg(
         F.count("*").alias("enrollment")
     )
     no = F.col("plan_id").cast("long")
     return (
-        plan_information.select("contract_id", "plan_id", "plan_name", "contract_name").distinct()
+        t["plan_information"].select("contract_id", "plan_id", "plan_name", "contract_name").distinct()
         .where(no % 9 != 7)
         .withColumn("plan_no", no)
         .join(members, "plan_no")
@@ -198,20 +223,32 @@ def _plan_enrollment(raw, plan_information: DataFrame) -> DataFrame:
     )
 
 
-def _contract_organizations(plan_enrollment: DataFrame) -> DataFrame:
-    return plan_enrollment.groupBy("contract_number").agg(
+def _contract_organizations(t: DerivedTables) -> DataFrame:
+    return t["plan_enrollment"].groupBy("contract_number").agg(
         F.max("parent_organization").alias("parent_organization"),
         F.max("organization_marketing_name").alias("organization_marketing_name"),
         F.sum("enrollment").alias("enrollment"),
     )
 
 
-def _drug_names(raw) -> DataFrame:
+def _drug_names(t: DerivedTables) -> DataFrame:
     form = F.when(F.col("p_partkey") % 4 < 2, " MG/ML Auto-Injector [").otherwise(" MG Oral Tablet [")
     text = F.concat(
         F.lit("0.5 ML "), "p_name", F.lit(" "), F.col("p_size").cast("string"), form, "p_brand",
         F.lit("]"),
     )
-    return raw("part").groupBy(F.floor(F.col("p_partkey") / 2).cast("long").alias("rxcui")).agg(
+    return t.raw("part").groupBy(F.floor(F.col("p_partkey") / 2).cast("long").alias("rxcui")).agg(
         F.max(text).alias("description")
     )
+
+
+BUILDERS = {
+    "plan_information": _plan_information,
+    "geographic_locator": _geographic_locator,
+    "formulary_drugs": _formulary_drugs,
+    "drug_pricing": _drug_pricing,
+    "beneficiary_costs": _beneficiary_costs,
+    "plan_enrollment": _plan_enrollment,
+    "contract_organizations": _contract_organizations,
+    "drug_names": _drug_names,
+}
