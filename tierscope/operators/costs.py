@@ -220,8 +220,9 @@ def tier_drugs_priced(
             ).alias("avg_price")
         )
     )
-    rule = _lowest_rule(t, weighted, tier)
-    kind, amount, price = rule["kind"], rule["amount"].cast("double"), F.col("avg_price")
+    ruled = drugs.withColumn("rule", _lowest_rule(t, weighted, tier))
+    kind, amount = F.col("rule.kind"), F.col("rule.amount").cast("double")
+    price = F.col("avg_price")
     coinsured = kind.isin(S.COINSURANCE, S.NO_CHARGE)
     pays = (
         F.when(kind == S.COPAY, amount)
@@ -229,12 +230,12 @@ def tier_drugs_priced(
         .when(coinsured & (amount < 1), price * amount)
         .otherwise(F.lit(0.0))
     )
-    priced = drugs.where(rule.isNotNull()).join(prices, "ndc", "left").select(
+    priced = ruled.where(F.col("rule").isNotNull()).join(prices, "ndc", "left").select(
         "rxcui", "ndc", "tier", "prior_auth", "step_therapy", "quantity_limit",
         F.coalesce(price, F.lit(0.0)).alias("negotiated_cost"),
         F.when(coinsured & (amount > 0), "COINSURANCE").otherwise("COPAY").alias("cost_type"),
         F.when(coinsured & (amount < 1), amount * 100).otherwise(amount).alias("cost_amt"),
-        rule["specialty"].alias("is_specialty"),
+        F.col("rule.specialty").alias("is_specialty"),
         pays.alias("member_pays"),
         (F.coalesce(price, F.lit(0.0)) - pays).alias("plan_net_cost"),
     ).orderBy(

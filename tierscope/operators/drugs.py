@@ -175,14 +175,17 @@ def drug_dosages(names: DataFrame) -> DataFrame:
     )
 
 
-def group_ndcs(t: Tables, groups: Mapping[str, Sequence[int]]) -> DataFrame:
-    """Drug codes listed for each named group of drug concepts."""
+def group_entries(t: Tables, groups: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Formulary entries of named groups of drug concepts, with `drug_name`."""
     rows = [(name, rxcui) for name, listed in groups.items() for rxcui in dict.fromkeys(listed)]
     members = parameter_frame(t["formulary_drugs"].sparkSession, rows, "drug_name string, rxcui long")
     coded = t["formulary_drugs"].where(F.col("ndc").isNotNull() & (F.col("ndc") != ""))
-    return keep_values(coded, "rxcui", [rxcui for _, rxcui in rows]).join(
-        members, "rxcui"
-    ).select("drug_name", "rxcui", "ndc").distinct()
+    return keep_values(coded, "rxcui", [rxcui for _, rxcui in rows]).join(members, "rxcui")
+
+
+def group_ndcs(t: Tables, groups: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Drug codes listed for each named group of drug concepts."""
+    return group_entries(t, groups).select("drug_name", "rxcui", "ndc").distinct()
 
 
 def priority_sort(

@@ -12,7 +12,7 @@ from tierscope import schemas as S
 from tierscope.functions.aggregates import count_items
 from tierscope.functions.expr import mean, percent_or_zero, rounded_even
 from tierscope.functions.params import keep_values
-from tierscope.operators.drugs import drug_dosages, group_ndcs
+from tierscope.operators.drugs import drug_dosages, group_entries, group_ndcs
 from tierscope.operators.normalize import Tables
 
 # Company name patterns in order of precedence, (pattern, company).
@@ -110,12 +110,6 @@ def _zeros(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.na.fill(0, [c for c in df.columns if c not in keep])
 
 
-def _listings(t: Tables, groups: GroupsArg, drugs: DataFrame) -> DataFrame:
-    """Formulary entries of the grouped drugs."""
-    entries = keep_values(t["formulary_drugs"], "rxcui", _rxcuis(groups))
-    return entries.join(drugs.select(*DRUG), ["rxcui", "ndc"])
-
-
 # ---------------------------------------------------------------- coverage
 
 def coverage_table(
@@ -134,19 +128,15 @@ def coverage_table(
         F.countDistinct("plan_id").alias("total_plans"),
     )
     drugs = _dosed_drugs(t, groups)
-    entries = _listings(t, groups, drugs).select(
-        *DRUG, "formulary_id", "tier_level_value", "prior_authorization_yn",
-        "step_therapy_yn", "quantity_limit_yn",
-    ).distinct()
+    entries = group_entries(t, groups)
     key = ["company", *DRUG]
+    # Repeated rows are harmless below: both counts are of distinct items.
     by_formulary = plans.select("company", "formulary_id").distinct().join(
-        entries.select(*DRUG, "formulary_id").distinct(), "formulary_id"
-    ).groupBy(*key).agg(F.count("*").alias("formularies_with_drug"))
+        entries, "formulary_id"
+    ).groupBy(*key).agg(F.countDistinct("formulary_id").alias("formularies_with_drug"))
     tier = F.col("tier_level_value")
     by_plan = count_items(
-        plans.select("company", "formulary_id", "plan_id").distinct().join(
-            entries, "formulary_id"
-        ),
+        plans.select("company", "formulary_id", "plan_id").join(entries, "formulary_id"),
         key, "plan_id", "plans_with_drug",
         {
             **{f"tier{n}_count": tier == n for n in (3, 4, 5, 6)},
@@ -214,18 +204,16 @@ def member_cost_table(
     Average amounts weigh each distinct amount once. Percentages are of the plans
     covering the drug concept under any of its codes.
     """
-    plans = company_plans(t, patterns, companies).select(
-        "company", "plan_key", "formulary_id"
-    ).distinct()
-    drugs = _dosed_drugs(t, groups)
-    entries = _listings(t, groups, drugs)
+    plans = company_plans(t, patterns, companies).select("company", "plan_key", "formulary_id")
+    drugs, entries = _dosed_drugs(t, groups), group_entries(t, groups)
     key = ["company", *DRUG]
+    # Repeated rows are harmless here: plans are counted distinct.
     placed = plans.join(
         entries.where(F.col("tier_level_value").isNotNull()).select(
             *DRUG, "formulary_id", F.col("tier_level_value").alias("tier")
-        ).distinct(),
+        ),
         "formulary_id",
-    ).select(*key, "plan_key", "tier").distinct()
+    ).select(*key, "plan_key", "tier")
     rules = t["beneficiary_costs"].where(
         (F.col("coverage_level") == 1) & (F.col("days_supply") == days_supply)
     ).select("plan_key", "tier", "cost_type_pref", "cost_amt_pref")

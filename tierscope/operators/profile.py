@@ -11,8 +11,8 @@ from tierscope.functions.params import one_row
 from tierscope.operators.normalize import Tables
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-BRACKET = 5e-5  # a sketch narrows each quartile to ranks within this share of the rows
-SKETCH_ACCURACY = 100_000  # its rank error, 1e-5 of the rows, lies well inside the bracket
+BRACKET = 2e-4  # a sketch narrows each quartile to ranks within this share of the rows
+SKETCH_ACCURACY = 20_000  # its rank error, 5e-5 of the rows, lies well inside the bracket
 
 
 def plan_profile(t: Tables) -> DataFrame:
@@ -44,9 +44,10 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     row = one_row(basics)
     counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(
         F.count("*").alias("n")
-    )
+    ).withColumn("edges", row["edges"])
+    edge = F.col("edges")
     brackets = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *[
-        _bracket(row["edges"][2 * i], row["edges"][2 * i + 1]).alias(name)
+        _bracket(edge[2 * i], edge[2 * i + 1]).alias(name)
         for i, name in enumerate(QUARTILES)
     ])
     quartiles = [

@@ -129,8 +129,9 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = S.NULL_TOKENS) -> DataFra
 
 def coerce(df: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
     """Typed columns; a value that is not of the type becomes NULL, as does 2.5 for an integer."""
-    present = {c: dtype for c, dtype in types.items() if c in df.columns}
-    return df.withColumns({c: _typed(F.col(c), dtype) for c, dtype in present.items()})
+    has = {f.name: f.dataType for f in df.schema.fields}
+    wanted = {c: dtype for c, dtype in types.items() if c in has and has[c] != dtype}
+    return df.withColumns({c: _typed(F.col(c), dtype) for c, dtype in wanted.items()})
 
 
 def _typed(column: Column, dtype: T.DataType) -> Column:
