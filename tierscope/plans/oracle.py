@@ -117,14 +117,17 @@ GROUP BY ALL""",
 SELECT formulary_id, MAX(contract_name) AS contract_name, COUNT(DISTINCT plan_id) AS plan_count,
        COUNT(DISTINCT state) AS state_count, COUNT(DISTINCT county_code) AS county_count
 FROM plan_information WHERE contract_id = '{P.CONTRACT}' GROUP BY 1""",
-    "specialty_priced": """
-SELECT p.contract_id, p.plan_key, dp.ndc, dp.unit_cost, bc.cost_type_pref AS kind,
-       CASE bc.cost_type_pref WHEN 0 THEN bc.cost_amt_pref
-         WHEN 1 THEN LEAST(dp.unit_cost * bc.cost_amt_pref, bc.cost_max_amt_pref) ELSE 0 END AS pays
-FROM drug_pricing dp JOIN plans p USING (plan_key)
-JOIN formulary_drugs fd ON fd.formulary_id = p.formulary_id AND fd.ndc = dp.ndc
-JOIN beneficiary_costs bc ON bc.plan_key = p.plan_key AND bc.tier = fd.tier_level_value
-WHERE fd.tier_level_value = 5 AND dp.days_supply = 30 AND bc.coverage_level = 1 AND bc.days_supply = 1""",
+    "rules1": "SELECT plan_key, tier, cost_type_pref AS kind, cost_amt_pref AS amt, "
+    "cost_max_amt_pref AS cap, tier_specialty_yn AS spec, TRUE AS ruled FROM beneficiary_costs "
+    "WHERE (coverage_level, days_supply) = (1, 1)",
+    "own30": """
+SELECT x.*, d.tier_level_value AS tier, u.unit_cost AS unit, d.ndc
+FROM plans x, formulary_drugs d, (SELECT * FROM drug_pricing WHERE days_supply = 30) u
+WHERE d.formulary_id = x.formulary_id AND u.plan_key = x.plan_key AND u.ndc = d.ndc""",
+    "shared30": """
+SELECT o.*, r.kind, r.amt, r.cap, r.ruled,
+       CASE r.kind WHEN 0 THEN r.amt WHEN 1 THEN LEAST(o.unit * r.amt, r.cap) ELSE 0 END AS pays
+FROM own30 o LEFT JOIN rules1 r USING (plan_key, tier)""",
     "tier_price": f"""
 SELECT dp.ndc, {avg('dp.unit_cost')} AS price FROM drug_pricing dp
 JOIN plan_information p ON p.plan_key = dp.plan_key WHERE p.formulary_id = {FID} GROUP BY 1""",
@@ -269,17 +272,10 @@ COMPETITION = (
 )
 MEMBERS = ", ".join(f"'{n}'" for n in P.MEMBER_NDCS)
 MEMBER_COST = f"""
-SELECT plan_key, plan_name, {dbl('premium')} AS monthly_premium, {dbl('deductible')} AS annual_deductible,
-       {dbl('ROUND(spent, 2)')} AS annual_drug_costs,
-       {dbl('ROUND(premium * 12 + deductible + spent, 2)')} AS total_annual_cost
-FROM (SELECT p.plan_key, p.plan_name, p.premium, p.deductible, SUM(12 * CASE bc.cost_type_pref
-        WHEN 0 THEN bc.cost_amt_pref
-        WHEN 1 THEN LEAST(dp.unit_cost * bc.cost_amt_pref, bc.cost_max_amt_pref) ELSE 0 END) AS spent
-      FROM formulary_drugs fd JOIN plans p ON p.formulary_id = fd.formulary_id
-      JOIN drug_pricing dp ON dp.plan_key = p.plan_key AND dp.ndc = fd.ndc AND dp.days_supply = 30
-      JOIN beneficiary_costs bc ON bc.plan_key = p.plan_key AND bc.tier = fd.tier_level_value
-      WHERE fd.ndc IN ({MEMBERS}) AND bc.coverage_level = 1 AND bc.days_supply = 1 {{contract}}
-      GROUP BY ALL)"""
+SELECT plan_key, plan_name, {dbl('MAX(premium)')} AS monthly_premium, {dbl('MAX(deductible)')} AS annual_deductible,
+       {dbl('ROUND(SUM(pays * 12), 2)')} AS annual_drug_costs,
+       {dbl('ROUND(MAX(premium * 12) + MAX(deductible) + SUM(pays * 12), 2)')} AS total_annual_cost
+FROM shared30 WHERE ruled AND ndc IN ({MEMBERS}) {{contract}} GROUP BY 1, 2"""
 DISPLAY = f"""
 SELECT tier, {names('kind', {0: 'Copay', 1: 'Coinsurance'}, "'No Charge'")} AS cost_type_label,
        CASE kind WHEN 0 THEN '$' || printf('%.2f', amt) WHEN 1 THEN printf('%.2f', amt) || '%'
@@ -384,7 +380,7 @@ FROM plans p WHERE NOT EXISTS (SELECT 1 FROM plan_enrollment e
     "FROM plan_information WHERE formulary_id IS NOT NULL GROUP BY 1",
     "formulary_list_of_org": "SELECT formulary_id, COUNT(DISTINCT contract_name) AS org_count, "
     "MAX(contract_name) AS parent_org, COUNT(*) AS plan_count, COUNT(DISTINCT state) AS state_count "
-    "FROM plan_information WHERE formulary_id IS NOT NULL AND contract_name LIKE '%IN%' GROUP BY 1",
+    "FROM plan_information WHERE formulary_id IS NOT NULL AND contract_name LIKE '%NATION_1%' GROUP BY 1",
     "formulary_orgs": "SELECT formulary_id, COUNT(DISTINCT contract_name) AS org_count, "
     "string_agg(DISTINCT left(contract_name, 30), ', ' ORDER BY left(contract_name, 30)) AS organizations, "
     "COUNT(*) AS plan_count FROM plan_information WHERE formulary_id IS NOT NULL GROUP BY 1",
@@ -486,14 +482,11 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     f"{rows_if(PA + " <> 'N'")} AS drugs_with_pa, "
     f"{pct(f"COUNT(*) FILTER (WHERE {PA} <> 'N')", 'COUNT(*)')} AS pct_with_pa FROM formulary_drugs GROUP BY 1",
     "formulary_drugs_sample_plan": f"""
-SELECT fd.ndc, fd.rxcui, fd.tier_level_value AS tier, fd.{QL}, fd.{PA}, fd.{ST},
-       {dbl('dp.unit_cost')} AS unit_cost, bc.cost_type_pref, {dbl('bc.cost_amt_pref')} AS cost_amt_pref,
-       {dbl('bc.cost_max_amt_pref')} AS cost_max_amt_pref
-FROM formulary_drugs fd JOIN sample_key s ON s.k IS NOT NULL
-LEFT JOIN drug_pricing dp ON dp.plan_key = s.k AND dp.ndc = fd.ndc AND dp.days_supply = 30
-LEFT JOIN beneficiary_costs bc ON bc.plan_key = s.k AND bc.tier = fd.tier_level_value
-  AND bc.coverage_level = 1 AND bc.days_supply = 1
-WHERE fd.formulary_id = {FID}""",
+SELECT d.ndc, d.rxcui, d.tier_level_value AS tier, d.{QL}, d.{PA}, d.{ST}, {dbl('u.unit_cost')} AS unit_cost,
+       r.kind AS cost_type_pref, {dbl('r.amt')} AS cost_amt_pref, {dbl('r.cap')} AS cost_max_amt_pref
+FROM (SELECT * FROM formulary_drugs, sample_key WHERE k IS NOT NULL AND formulary_id = {FID}) d
+LEFT JOIN (SELECT * FROM drug_pricing WHERE days_supply = 30) u ON (u.plan_key, u.ndc) = (d.k, d.ndc)
+LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     # organizations
     "organizations": "SELECT contract_name AS organization, COUNT(DISTINCT formulary_id) AS formulary_count, "
     "COUNT(*) AS plan_count FROM plan_information WHERE contract_name IS NOT NULL GROUP BY 1",
@@ -568,17 +561,13 @@ WHERE fd.formulary_id = {FID}""",
     f"{dbl('p.premium')} AS premium, d.{PA} AS pa, d.{QL} AS qty_limit FROM formulary_drugs d "
     f"JOIN plan_information p ON p.formulary_id = d.formulary_id WHERE d.ndc = {NDC} "
     "ORDER BY premium NULLS LAST, contract_id, plan_id LIMIT 20",
-    "drug_cost_samples": f"""
-SELECT s.contract_id, s.plan_id, s.tier, CASE b.cost_type_pref
-    WHEN 0 THEN printf('$%.2f copay', {dbl('b.cost_amt_pref')})
-    WHEN 1 THEN printf('%.0f%% coinsurance', {dbl('b.cost_amt_pref')} * 100)
-      || COALESCE(printf(' (max $%.2f)', {dbl('b.cost_max_amt_pref')}), '')
+    "drug_cost_samples": """
+SELECT contract_id, plan_id, tier, CASE kind WHEN 0 THEN printf('$%.2f copay', amt::DOUBLE)
+    WHEN 1 THEN printf('%.0f%% coinsurance', amt::DOUBLE * 100) || COALESCE(printf(' (max $%.2f)', cap::DOUBLE), '')
     ELSE 'No charge' END AS cost_text
-FROM (SELECT DISTINCT p.plan_key, p.contract_id, p.plan_id, d.tier_level_value AS tier FROM formulary_drugs d
-      JOIN plan_information p ON p.formulary_id = d.formulary_id WHERE d.ndc = {NDC}
-      ORDER BY 1, 4 LIMIT 5) s
-JOIN beneficiary_costs b ON b.plan_key = s.plan_key AND b.tier = s.tier AND b.coverage_level = 1
-  AND b.days_supply = 1""",
+FROM (SELECT DISTINCT p.plan_key, p.contract_id, p.plan_id, d.tier_level_value AS tier
+      FROM plan_information p JOIN formulary_drugs d USING (formulary_id) WHERE d.ndc = """ + NDC + """
+      ORDER BY plan_key, tier LIMIT 5) JOIN rules1 USING (plan_key, tier)""",
     "specialty_coverage_rows": "SELECT ndc, rxcui, COUNT(DISTINCT formulary_id) AS formulary_count, "
     f"{rows_if(PA + " = 'Y'")} AS pa_required_count FROM formulary_drugs WHERE tier_level_value = 5 "
     "GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15",
@@ -595,39 +584,32 @@ JOIN beneficiary_costs b ON b.plan_key = s.plan_key AND b.tier = s.tier AND b.co
     f"ON n.rxcui = d.rxcui WHERE d.formulary_id = {FID} AND d.tier_level_value = 5",
     # costs
     "county_drug_costs": f"""
-SELECT dp.ndc, p.contract_id, p.plan_id, c.contract_name, {dbl('p.premium')} AS premium,
-       {dbl('p.deductible')} AS deductible, {dbl('ROUND(dp.unit_cost, 2)')} AS negotiated_cost, bc.cost_type_pref,
-       {dbl('ROUND(bc.cost_amt_pref, 2)')} AS member_cost_amt,
-       {dbl('ROUND(bc.cost_max_amt_pref, 2)')} AS member_cost_max,
-       {dbl('CASE bc.cost_type_pref WHEN 0 THEN dp.unit_cost - COALESCE(bc.cost_amt_pref, 0) '
-            'WHEN 1 THEN dp.unit_cost - dp.unit_cost * bc.cost_amt_pref ELSE dp.unit_cost END')} AS plan_net_cost
-FROM pg JOIN plans p USING (plan_key) JOIN contracts c USING (contract_id)
-JOIN formulary_drugs fd ON fd.formulary_id = p.formulary_id
-JOIN drug_pricing dp ON dp.plan_key = p.plan_key AND dp.ndc = fd.ndc
-LEFT JOIN beneficiary_costs bc ON bc.plan_key = p.plan_key AND bc.tier = fd.tier_level_value
-  AND bc.coverage_level = 1 AND bc.days_supply = 1
-WHERE pg.county_code = {CNTY} AND fd.tier_level_value = 5 AND dp.days_supply = 30 AND dp.ndc = {NDC}""",
+SELECT s.ndc, s.contract_id, s.plan_id, (SELECT c.contract_name FROM contracts c WHERE c.contract_id = s.contract_id)
+         AS contract_name, {dbl('s.premium')} AS premium, {dbl('s.deductible')} AS deductible,
+       {dbl('ROUND(s.unit, 2)')} AS negotiated_cost, s.kind AS cost_type_pref,
+       {dbl('ROUND(s.amt, 2)')} AS member_cost_amt, {dbl('ROUND(s.cap, 2)')} AS member_cost_max,
+       {dbl('s.unit - CASE s.kind WHEN 0 THEN COALESCE(s.amt, 0) WHEN 1 THEN s.unit * s.amt ELSE 0 END')}
+         AS plan_net_cost
+FROM shared30 s JOIN pg ON pg.plan_key = s.plan_key AND pg.county_code = {CNTY}
+WHERE s.tier = 5 AND s.ndc = {NDC}""",
     "county_drug_costs_basic": f"""
 SELECT p.contract_id, p.plan_name, {dbl('dp.unit_cost')} AS negotiated_cost,
        {dbl('bc.cost_amt_pref')} AS member_copay, {dbl('dp.unit_cost - bc.cost_amt_pref')} AS plan_net_cost
 FROM drug_pricing dp JOIN plans p USING (plan_key) JOIN pg ON pg.plan_key = p.plan_key
 JOIN beneficiary_costs bc ON bc.plan_key = p.plan_key
 WHERE pg.county_code = {CNTY} AND dp.ndc = {NDC} AND dp.days_supply = 30""",
-    "specialty_costs": f"SELECT contract_id, plan_key, ndc, {dbl('unit_cost')} AS negotiated_cost, "
-    f"{dbl('pays')} AS member_pays, {dbl('unit_cost - pays')} AS plan_net_cost FROM specialty_priced",
+    "specialty_costs": f"SELECT contract_id, plan_key, ndc, {dbl('unit')} AS negotiated_cost, "
+    f"{dbl('pays')} AS member_pays, {dbl('unit - pays')} AS plan_net_cost FROM shared30 WHERE tier = 5 AND ruled",
     "specialty_margin": f"SELECT contract_id, COUNT(DISTINCT ndc) AS specialty_drugs_priced, "
-    f"{rnd(avg('unit_cost'), 2)} AS avg_negotiated_cost, {rnd(avg('pays'), 2)} AS avg_member_pays, "
-    f"{rnd(avg('unit_cost - pays'), 2)} AS avg_plan_net_cost FROM specialty_priced GROUP BY 1",
+    f"{rnd(avg('unit'), 2)} AS avg_negotiated_cost, {rnd(avg('pays'), 2)} AS avg_member_pays, "
+    f"{rnd(avg('unit - pays'), 2)} AS avg_plan_net_cost FROM shared30 WHERE tier = 5 AND ruled GROUP BY 1",
     "tier_drugs_priced": "SELECT * FROM tier_page",
     "county_specialty_costs": f"""
-SELECT dp.ndc, p.contract_id, p.plan_id, {dbl('p.premium')} AS premium, {dbl('p.deductible')} AS deductible,
-       {dbl('dp.unit_cost')} AS negotiated_cost, {dbl('bc.cost_amt_pref')} AS member_cost,
-       {dbl('dp.unit_cost - COALESCE(bc.cost_amt_pref * dp.unit_cost, bc.cost_amt_pref, 0)')} AS plan_net_cost
-FROM pg JOIN plans p USING (plan_key) JOIN formulary_drugs fd ON fd.formulary_id = p.formulary_id
-JOIN drug_pricing dp ON dp.plan_key = p.plan_key AND dp.ndc = fd.ndc
-JOIN beneficiary_costs bc ON bc.plan_key = p.plan_key AND bc.tier = fd.tier_level_value
-WHERE pg.county_code = {CNTY} AND fd.tier_level_value = 5 AND dp.days_supply = 30
-  AND bc.coverage_level = 1 AND bc.days_supply = 1""",
+SELECT s.ndc, s.contract_id, s.plan_id, {dbl('s.premium')} AS premium, {dbl('s.deductible')} AS deductible,
+       {dbl('s.unit')} AS negotiated_cost, {dbl('s.amt')} AS member_cost,
+       {dbl('s.unit - COALESCE(s.amt * s.unit, 0)')} AS plan_net_cost
+FROM shared30 s JOIN pg ON pg.plan_key = s.plan_key AND pg.county_code = {CNTY}
+WHERE s.tier = 5 AND s.ruled""",
     "tier_page_summary": f"""
 SELECT COUNT(*) AS total_drugs, {rnd('SUM(negotiated_cost) / COUNT(*)', 2)} AS avg_negotiated,
        {rnd('SUM(member_pays) / COUNT(*)', 2)} AS avg_member_pays,
@@ -636,15 +618,12 @@ SELECT COUNT(*) AS total_drugs, {rnd('SUM(negotiated_cost) / COUNT(*)', 2)} AS a
          ELSE 'N/A' END AS cost_structure
 FROM tier_page""",
     "contract_drug_costs": CONTRACT_COSTS,
-    "contract_specialty_cost": f"SELECT p.contract_id, {avg('dp.unit_cost')} AS avg_cost FROM drug_pricing dp "
-    "JOIN plans p USING (plan_key) JOIN formulary_drugs fd ON fd.ndc = dp.ndc AND fd.formulary_id = p.formulary_id "
-    "WHERE fd.tier_level_value = 5 AND dp.days_supply = 30 GROUP BY 1",
+    "contract_specialty_cost": f"SELECT contract_id, {avg('unit')} AS avg_cost FROM own30 WHERE tier = 5 GROUP BY 1",
     "member_annual_cost": MEMBER_COST.format(contract=""),
-    "member_annual_cost_of_contract": MEMBER_COST.format(contract=f"AND p.contract_id = '{P.CONTRACT}'"),
-    "plan_cost_structure": f"SELECT tier, {names('cost_type_pref', {0: 'Copay', 1: 'Coinsurance'}, "'No Charge'")} AS cost_type, "
-    f"{dbl('cost_amt_pref')} AS amount, {dbl('cost_max_amt_pref')} AS max_cap, "
-    "tier_specialty_yn AS specialty_flag FROM beneficiary_costs WHERE plan_key = (SELECT k FROM sample_key) "
-    "AND coverage_level = 1 AND days_supply = 1",
+    "member_annual_cost_of_contract": MEMBER_COST.format(contract=f"AND contract_id = '{P.CONTRACT}'"),
+    "plan_cost_structure": f"SELECT tier, {names('kind', {0: 'Copay', 1: 'Coinsurance'}, "'No Charge'")} AS cost_type, "
+    f"{dbl('amt')} AS amount, {dbl('cap')} AS max_cap, spec AS specialty_flag "
+    "FROM rules1 WHERE plan_key = (SELECT k FROM sample_key)",
     "plan_cost_display": DISPLAY.format(tiers="AND tier IN (5, 6)"),
     "plan_cost_display_all": DISPLAY.format(tiers=""),
     "specialty_pricing": f"""
@@ -682,7 +661,7 @@ GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier LIMIT 10
     "ON t.company = c.company AND t.rxcui = g.rxcui",
     "company_totals": "SELECT contract_name, COUNT(DISTINCT formulary_id) AS total_formularies, "
     "COUNT(DISTINCT plan_id) AS total_plans FROM plan_information WHERE "
-    "regexp_matches(UPPER(contract_name), 'CHINA|INDIA|AETNA|EGYPT') GROUP BY 1",
+    "regexp_matches(UPPER(contract_name), 'NATION_1|AETNA') GROUP BY 1",
     "fill_companies": "SELECT s.state, c.company, COALESCE(x.plans, 0) AS plans "
     "FROM (SELECT DISTINCT p.state FROM cp JOIN plan_information p ON p.plan_key = cp.plan_key "
     "WHERE cp.company <> 'Humana') s CROSS JOIN company c "

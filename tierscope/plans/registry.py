@@ -289,7 +289,7 @@ QUERIES: dict[str, Build] = {
     "refresh_county_plan_summary": _refresh("county_plan_summary"),
     # formularies
     "formulary_list": formulary.formulary_list,
-    "formulary_list_of_org": lambda t: formulary.formulary_list(t, "IN"),
+    "formulary_list_of_org": lambda t: formulary.formulary_list(t, P.ORG_PART),
     "formulary_orgs": formulary.formulary_orgs,
     "org_prefixes": formulary.org_prefixes,
     "formularies_of_org": lambda t: formulary.formularies_of_org(t, P.ORG_PREFIX),
@@ -394,7 +394,7 @@ QUERIES: dict[str, Build] = {
     "coverage_table": lambda t: landscape.coverage_table(t, P.DRUG_GROUPS),
     "pricing_table": lambda t: landscape.pricing_table(t, P.DRUG_GROUPS),
     "member_cost_table": lambda t: landscape.member_cost_table(t, P.DRUG_GROUPS, 1),
-    "company_totals": lambda t: landscape.company_totals(t, ("China", "India", "Aetna", "Egypt")),
+    "company_totals": lambda t: landscape.company_totals(t, P.COMPANY_NAMES),
     "fill_companies": _fill_companies,
     "pivot_companies": _pivot_companies,
     "nest_companies": _nest_companies,

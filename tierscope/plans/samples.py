@@ -6,11 +6,13 @@ STATE = "AS"
 STATE_NAME = "ASIA"
 CONTRACT = "H0005"
 ORGANIZATION = "Humana Inc."
-ORG_PREFIX = "ARGENTINA"
+ORG_PREFIX = "NATION_3"
+ORG_PART = "NATION_1"
+COMPANY_NAMES = ("Nation_1", "Aetna")
 SEARCH = "health"
 TIER = 5
 NDC = "00000000028"
-MEMBER_NDCS = ("00000000028", "00000000050", "00000000100")
+MEMBER_NDCS = ("00000000580", "00000000626", "00000000667")
 DRUG_GROUPS = {
     "Drug A": (1, 2, 3),
     "Drug B": (4, 5, 6, 7, 8),

@@ -24,11 +24,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
 
 
 def write_pricing(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Prices partitioned by supply and ordered by drug within files.
+    """Prices laid out for queries: partitioned by supply, clustered by drug.
 
     Queries ask for one supply and few drugs: the first prunes directories, the second
-    leaves narrow min/max statistics. Ranges include the plan, so a drug with very many
-    prices is spread over several tasks.
+    leaves few files with a given drug. Ranges include the plan, so a drug with very
+    many prices is spread over several tasks. Costs a sampling pass and a shuffle, which
+    pays for a table that is read often.
     """
     ordered = df.repartitionByRange("days_supply", "ndc", "plan_key").sortWithinPartitions(
         "days_supply", "ndc", "plan_key"
@@ -41,19 +42,18 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Reads delivered text files and writes the typed table of each under root.
 
-    `sources` maps table names to paths. Each table is one job; the year is a partition
-    directory, so a second year adds to the first.
+    `sources` maps table names to paths. Each table is one job without a shuffle: every
+    task turns its split of the text into Parquet. Prices are ordered by drug within a
+    task, so a drug is found in few pages of each file. The year is a partition
+    directory; a second year adds to the first.
     """
     written = {}
     for name, path in sources.items():
         encoding = LATIN1 if name == "drug_pricing" else "UTF-8"
         table = prepare(read_pipe(spark, path, encoding=encoding), name)
-        target = f"{root.rstrip('/')}/{name}/year={year}"
         if name == "drug_pricing":
-            # days_supply stays a column in the files; the drug order still prunes.
-            table = table.repartitionByRange("days_supply", "ndc", "plan_key")
             table = table.sortWithinPartitions("days_supply", "ndc", "plan_key")
-        written[name] = write_table(table, target)
+        written[name] = write_table(table, f"{root.rstrip('/')}/{name}/year={year}")
     return written
 
 
