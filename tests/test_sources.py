@@ -145,9 +145,10 @@ def test_missing_required_table_is_an_error(spark, tmp_path):
 
 
 def test_records_keep_nulls_and_fill_the_named(spark):
-    df = spark.createDataFrame([(None, float("nan"), None)], "a int, b double, c string")
+    nan = float("nan")
+    df = spark.createDataFrame([(None, nan, None, nan)], "a int, b double, c string, d double")
     record = sinks.to_records(df, {"a": 0, "b": 0}).first()[0]
-    assert json.loads(record) == {"a": 0, "b": 0.0, "c": None}
+    assert json.loads(record) == {"a": 0, "b": 0.0, "c": None, "d": None}
 
 
 def test_pricing_layout_prunes_days_and_drugs(spark, tmp_path, make):

@@ -25,6 +25,15 @@ def plan_profile(t: Tables) -> DataFrame:
     )
 
 
+def plan_sample(t: Tables, limit: int = 5) -> DataFrame:
+    """The first plan x county rows by key."""
+    return t["plan_information"].orderBy(
+        "plan_key", "county_code", "contract_id", "plan_id"
+    ).limit(limit).select(
+        "contract_id", "plan_id", "contract_name", "premium", "deductible", "formulary_id"
+    )
+
+
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation, range and exact quartiles of a numeric column.
 

@@ -674,7 +674,10 @@ GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier LIMIT 10
     "plan_profile": "SELECT COUNT(*) AS records, COUNT(DISTINCT contract_id) AS contracts, "
     "COUNT(DISTINCT contract_id || '/' || plan_id) AS plans, COUNT(DISTINCT formulary_id) AS formularies "
     "FROM plan_information",
+    "plan_sample": f"SELECT contract_id, plan_id, contract_name, {dbl('premium')} AS premium, "
+    f"{dbl('deductible')} AS deductible, formulary_id FROM plan_information ORDER BY plan_key, county_code LIMIT 5",
     "describe_premium": describe("plan_information", "premium"),
+    "describe_deductible": describe("plan_information", "deductible"),
     "describe_unit_cost": describe("drug_pricing", "unit_cost"),
     "value_counts_tier": value_counts("formulary_drugs", "tier_level_value"),
     "value_counts_prior_auth": value_counts("formulary_drugs", PA),

@@ -400,7 +400,9 @@ QUERIES: dict[str, Build] = {
     "nest_companies": _nest_companies,
     # profiling
     "plan_profile": profile.plan_profile,
+    "plan_sample": profile.plan_sample,
     "describe_premium": _describe("plan_information", "premium"),
+    "describe_deductible": _describe("plan_information", "deductible"),
     "describe_unit_cost": _describe("drug_pricing", "unit_cost"),
     "value_counts_tier": lambda t: profile.value_counts(t["formulary_drugs"], "tier_level_value"),
     "value_counts_prior_auth": lambda t: profile.value_counts(

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierscope.sources.text import LATIN1, prepare, read_pipe
 
@@ -65,9 +66,13 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def to_records(df: DataFrame, fills: Mapping[str, object] | None = None) -> DataFrame:
     """A result as JSON records in a column `record`, with NULL and NaN filled as told.
 
-    NULL fields without a fill stay in the record as null.
+    Without a fill, NULL and NaN are both null in the record.
     """
     filled = df.na.fill(dict(fills)) if fills else df
-    return filled.select(
-        F.to_json(F.struct(*filled.columns), {"ignoreNullFields": "false"}).alias("record")
+    floats = [
+        f.name for f in filled.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    ]
+    clean = filled.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+    return clean.select(
+        F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("record")
     )

@@ -137,9 +137,11 @@ def coerce(df: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
 def _typed(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return column.cast(dtype)
-    if isinstance(dtype, T.IntegralType):  # "5.0" is the integer 5
+    if isinstance(dtype, T.IntegralType):
+        # "5.0" is the integer 5; the slower reading is tried only where the plain one fails.
         number = column.try_cast("decimal(38,10)")
-        return F.when(number == F.floor(number), number.try_cast(dtype))
+        whole = F.when(number == F.floor(number), number.try_cast(dtype))
+        return F.coalesce(column.try_cast(dtype), whole)
     return column.try_cast(dtype)
 
 
