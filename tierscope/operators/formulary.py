@@ -21,7 +21,7 @@ from tierscope.functions.expr import (
     yes,
 )
 from tierscope.functions.params import one_row
-from tierscope.operators.normalize import Tables
+from tierscope.operators.normalize import Tables, collapse_rows
 
 ORG_PREFIX = 30
 SPECIALTY_TIERS = (5, 6)
@@ -50,10 +50,11 @@ def formulary_list(t: Tables, org: str | None = None) -> DataFrame:
     rows = t["plan_information"].where(F.col("formulary_id").isNotNull())
     if org:
         rows = rows.where(F.col("contract_name").contains(org))
-    return rows.groupBy("formulary_id").agg(
+    names = collapse_rows(rows, "formulary_id", "contract_name", "state")
+    return names.groupBy("formulary_id").agg(
         F.countDistinct("contract_name").alias("org_count"),
         F.max("contract_name").alias("parent_org"),
-        F.count("*").alias("plan_count"),
+        F.sum("n").alias("plan_count"),
         F.countDistinct("state").alias("state_count"),
     ).orderBy(F.desc("plan_count"), "formulary_id")
 

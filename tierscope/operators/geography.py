@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierscope import schemas as S
-from tierscope.functions.expr import label, mean, mean2, rounded
+from tierscope.functions.expr import label, mean2, rounded
 from tierscope.operators.normalize import Tables
 from tierscope.operators.summaries import county_plan_summary, drug_counts
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierscope import schemas as S
-from tierscope.functions.expr import label
+from tierscope.functions.expr import label, rounded
 
 Tables = Mapping[str, DataFrame]
 
@@ -57,6 +57,26 @@ def plan_columns(t: Tables, *columns: str) -> DataFrame:
     ).distinct()
 
 
+def collapse_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values of some columns with `n` rows, `premiums` of them and `premium_sum`.
+
+    Plan x county rows shrink by the number of counties here, in one hash aggregate,
+    before an aggregate with several distinct counts copies each row per count, or one
+    with a text maximum has to sort them.
+    """
+    return rows.groupBy(*columns).agg(
+        F.count("*").alias("n"),
+        F.count("premium").alias("premiums"),
+        F.sum("premium").alias("premium_sum"),
+    )
+
+
+def collapsed_mean_premium() -> Column:
+    """Average premium over the rows collapsed by collapse_rows()."""
+    total = F.sum("premium_sum").cast("double")
+    return rounded(F.try_divide(total, F.sum("premiums")), 2)
+
+
 def plan_geography(t: Tables) -> DataFrame:
     """Plan x county rows, duplicates kept."""
     return t["plan_information"].select(

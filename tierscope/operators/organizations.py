@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.functions.expr import mean, mean2
-from tierscope.functions.params import one_row
 from tierscope.operators.geography import plans_in_area
-from tierscope.operators.normalize import Tables
+from tierscope.operators.normalize import Tables, collapse_rows, collapsed_mean_premium
 
 
 def organizations(t: Tables) -> DataFrame:
@@ -30,9 +28,11 @@ def contract_list(t: Tables) -> DataFrame:
     Plans are counted per contract first, so the organization join sees one row per
     contract.
     """
-    counted = t["plan_information"].where(F.col("contract_id").isNotNull()).groupBy(
-        "contract_id"
-    ).agg(
+    offered = collapse_rows(
+        t["plan_information"].where(F.col("contract_id").isNotNull()),
+        "contract_id", "contract_name", "formulary_id", "plan_id", "state",
+    )
+    counted = offered.groupBy("contract_id").agg(
         F.max("contract_name").alias("contract_name"),
         F.countDistinct("formulary_id").alias("formulary_count"),
         F.countDistinct("plan_id").alias("plan_count"),
@@ -174,10 +174,13 @@ def global_stats(t: Tables) -> DataFrame:
 def top_contracts(t: Tables, limit: int | None = 15, area: str | None = None) -> DataFrame:
     """Contracts with the most plans, in a county or state if given."""
     rows = t["plan_information"] if area is None else plans_in_area(t, area)
-    counted = rows.groupBy("contract_id", "contract_name").agg(
+    offered = collapse_rows(
+        rows, "contract_id", "contract_name", "plan_key", "formulary_id", "state"
+    )
+    counted = offered.groupBy("contract_id", "contract_name").agg(
         F.countDistinct("plan_key").alias("plans"),
         F.countDistinct("formulary_id").alias("formularies"),
-        mean2("premium").alias("avg_premium"),
+        collapsed_mean_premium().alias("avg_premium"),
         F.countDistinct("state").alias("states"),
     ).orderBy(F.desc("plans"), "contract_id", "contract_name")
     return counted if limit is None else counted.limit(limit)
@@ -185,11 +188,14 @@ def top_contracts(t: Tables, limit: int | None = 15, area: str | None = None) ->
 
 def contract_comparison(t: Tables, limit: int | None = 20) -> DataFrame:
     """Contracts by distinct plan ids, one name per contract."""
-    counted = t["plan_information"].groupBy("contract_id").agg(
+    offered = collapse_rows(
+        t["plan_information"], "contract_id", "contract_name", "plan_id", "formulary_id", "state"
+    )
+    counted = offered.groupBy("contract_id").agg(
         F.min("contract_name").alias("contract_name"),
         F.countDistinct("plan_id").alias("plans"),
         F.countDistinct("formulary_id").alias("formularies"),
-        mean2("premium").alias("avg_premium"),
+        collapsed_mean_premium().alias("avg_premium"),
         F.countDistinct("state").alias("states"),
     ).orderBy(F.desc("plans"), "contract_id")
     return counted if limit is None else counted.limit(limit)
