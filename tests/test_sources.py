@@ -73,6 +73,33 @@ def test_large_zip_member_is_read_in_blocks(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in df.collect()} == {tuple(line.split("|")) for line in lines}
 
 
+def test_zip_columns_are_found_when_not_given(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.mkdir("folder")
+        archive.writestr("folder/m.txt", "Contract ID|NDC\nH1|01\n")
+    df = text.read_pipe_zip(spark, str(tmp_path / "a.zip"))
+    assert as_dicts(df) == [{"contract_id": "H1", "ndc": "01"}]
+
+
+def test_headers_with_other_names_are_taken_by_position(spark, tmp_path):
+    header = "COUNTY_CODE|STATENAME|COUNTY|MA_REGION_CODE|MA_REGION|PDP_REGION_CODE|PDP_REGION"
+    path = write(tmp_path / "g.txt", header, "29189|Missouri|St. Louis|01|MA x|11|PDP x")
+    (row,) = as_dicts(text.prepare(text.read_pipe(spark, path), "geographic_locator"))
+    assert (row["state_name"], row["county_name"], row["pdp_region_name"]) == (
+        "Missouri", "St. Louis", "PDP x",
+    )
+
+
+def test_ingest_reads_archives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    path = str(tmp_path / "in" / "prices.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("p.txt", f"{PRICE_HEADER}\nH1|1|0|01|30|2.5\n")
+    written = sinks.ingest(spark, {"drug_pricing": path}, str(tmp_path / "out"), 2025)
+    (row,) = as_dicts(written["drug_pricing"])
+    assert row["plan_key"] == "H1|1|0" and row["unit_cost"] == Decimal("2.5")
+
+
 def test_rename_positional_checks_the_count(spark):
     df = spark.createDataFrame([("a", "b")], "x string, y string")
     assert text.rename_positional(df, ["p", "q"]).columns == ["p", "q"]

@@ -110,13 +110,14 @@ def _quantile(bracket: Column, total: Column, q: float) -> Column:
     return lower + (upper - lower) * (position - floor)
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value, NULL included, with their percent of all rows."""
+def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Rows per value, NULL included, with their percent of all rows, commonest first."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count")).scalar()
-    return counts.withColumn("pct", percent(F.col("count"), total, 2)).orderBy(
+    ranked = counts.withColumn("pct", percent(F.col("count"), total, 2)).orderBy(
         F.desc("count"), F.asc_nulls_last("value")
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def specialty_example(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierscope.sources.text import LATIN1, prepare, read_pipe
+from tierscope.sources.text import LATIN1, prepare, read_pipe, read_pipe_zip
 
 MAX_RECORDS_PER_FILE = 20_000_000
 
@@ -41,17 +41,18 @@ def write_pricing(df: DataFrame, path: str, mode: str = "overwrite") -> DataFram
 def ingest(
     spark: SparkSession, sources: Mapping[str, str], root: str, year: int
 ) -> dict[str, DataFrame]:
-    """Reads delivered text files and writes the typed table of each under root.
+    """Reads delivered files and writes the typed table of each under root.
 
-    `sources` maps table names to paths. Each table is one job without a shuffle: every
-    task turns its split of the text into Parquet. Prices are ordered by drug within a
+    `sources` maps table names to paths of text, or of ZIP archives of text. Text becomes a
+    table in one job without a shuffle: every task turns its split into Parquet. Prices are ordered by drug within a
     task, so a drug is found in few pages of each file. The year is a partition
     directory; a second year adds to the first.
     """
     written = {}
     for name, path in sources.items():
         encoding = LATIN1 if name == "drug_pricing" else "UTF-8"
-        table = prepare(read_pipe(spark, path, encoding=encoding), name)
+        read = read_pipe_zip if path.lower().endswith(".zip") else read_pipe
+        table = prepare(read(spark, path, encoding=encoding), name)
         if name == "drug_pricing":
             table = table.sortWithinPartitions("days_supply", "ndc", "plan_key")
         written[name] = write_table(table, f"{root.rstrip('/')}/{name}/year={year}")

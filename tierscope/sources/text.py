@@ -44,23 +44,38 @@ def read_pipe(
 def read_pipe_zip(
     spark: SparkSession,
     path: str,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     encoding: str = "UTF-8",
     partitions: int | None = None,
 ) -> DataFrame:
-    """The named columns of the pipe-delimited members of ZIP archives, as text.
+    """The pipe-delimited members of ZIP archives, every column as text.
 
-    An archive cannot be split, so each is one task; rows are then spread over
-    `partitions` (the shuffle default if not given). For files of gigabytes, unpacked
-    text reads faster.
+    Without `columns`, those of the first member are read, found by a small job. An
+    archive cannot be split, so each is one task; rows are then spread over `partitions`
+    (the shuffle default if not given). For files of gigabytes, unpacked text reads
+    faster.
     """
     archives = spark.read.format("binaryFile").load(path).select("content")
+    if columns is None:
+        columns = zip_columns(archives, encoding)
     rows = unzip_pipe(archives, columns, encoding)
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(partitions)
 
 
+def zip_columns(archives: DataFrame, encoding: str = "UTF-8") -> list[str]:
+    """Column names of the first member of the first archive; only names reach the driver."""
+
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stream in _members(batches):
+            names = _read_header(stream, encoding)
+            yield pa.RecordBatch.from_arrays([pa.array([names])], names=["names"])
+            return
+
+    return list(archives.limit(1).mapInArrow(header, "names array<string>").first()["names"])
+
+
 def unzip_pipe(archives: DataFrame, columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
     """Rows of the members of archives given as a binary column `content`.
 
@@ -71,20 +86,30 @@ def unzip_pipe(archives: DataFrame, columns: Sequence[str], encoding: str = "UTF
     target = pa.schema([(name, pa.string()) for name in names])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for member in archive.namelist():
-                        with archive.open(member) as stream:
-                            yield from _parse_member(stream, target, encoding)
+        for stream in _members(batches):
+            yield from _parse_member(stream, target, encoding)
 
     return archives.select("content").mapInArrow(rows, text_schema(names))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[io.BufferedReader]:
+    """The members of the archives in a binary column, opened one after the other."""
+    for batch in batches:
+        for content in batch.column(0):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                for member in archive.infolist():
+                    if not member.is_dir():
+                        with archive.open(member) as stream:
+                            yield io.BufferedReader(stream)
+
+
+def _read_header(stream: io.BufferedReader, encoding: str) -> list[str]:
+    line = stream.readline().decode(encoding).rstrip("\r\n")
+    return [_clean(name.strip('"')) for name in line.split("|")]
+
+
 def _parse_member(stream, target: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
-    stream = io.BufferedReader(stream)
-    header = stream.readline().decode(encoding).rstrip("\r\n").split("|")
-    found = [_clean(name.strip('"')) for name in header]
+    found = _read_header(stream, encoding)
     with pa_csv.open_csv(
         stream,
         read_options=pa_csv.ReadOptions(
@@ -165,9 +190,14 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def prepare(df: DataFrame, table: str) -> DataFrame:
     """A delivered text table as the typed table of that name.
 
-    Tables without a fixed schema keep their columns as text.
+    Where the header names columns differently but their number is the known one, they
+    are taken by position. Tables without a fixed schema keep their columns as text.
     """
-    cleaned = with_plan_key(null_tokens(clean_columns(df)))
+    named = clean_columns(df)
+    positions = S.POSITIONAL.get(table, [])
+    if len(positions) == len(named.columns) and not set(positions) <= set(named.columns):
+        named = rename_positional(named, positions)
+    cleaned = with_plan_key(null_tokens(named))
     return conform(cleaned, S.SCHEMAS[table]) if table in S.SCHEMAS else cleaned
 
 
