@@ -8,10 +8,12 @@ in the scratch folder and return what was read back.
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Callable, Mapping
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from tierscope.sources import sinks, tables, text
 from tierscope.sources.star import derive_tables
 from tierscope.streaming.append import append_pricing
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for _zip_batches in tasks
+
 Tables = Mapping[str, DataFrame]
 Build = Callable[[Tables], DataFrame]
 

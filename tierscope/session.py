@@ -11,6 +11,9 @@ SETTINGS = {
     # that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Plan and contract tables stay map-side; Spark checks the size of each before it
+    # broadcasts one, and shuffles beyond the limit.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     # Prune the big side of a selective join before it is shuffled.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

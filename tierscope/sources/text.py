@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyarrow import csv as pa_csv
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,9 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.expr import plan_key
 
+# The archive reader travels with its tasks: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LATIN1 = "ISO-8859-1"
 ZIP_BLOCK_BYTES = 4 << 20
 
