@@ -10,7 +10,8 @@ from conftest import as_dicts
 from pyspark.sql import functions as F
 
 from tierscope.functions.aggregates import count_items
-from tierscope.functions.params import keep_values, scratch_path
+from tierscope.functions import params
+from tierscope.functions.params import keep_matching, keep_values, scratch_path
 from tierscope.operators import costs, drugs, formulary, geography, landscape, normalize, profile
 from tierscope.operators import organizations as orgs
 from tierscope.operators import summaries
@@ -295,6 +296,38 @@ def test_long_lists_become_joins(spark):
     assert "LeftSemi" in kept._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("most", [2, 500])
+def test_matching_keys_filter_or_join(spark, monkeypatch, most):
+    monkeypatch.setattr(params, "PUSHDOWN_VALUES", most)
+    df = spark.createDataFrame([(k,) for k in ("a", "b", "c", "d", None)], "k string")
+    keys = spark.createDataFrame([(k,) for k in ("a", "a", "c", "d", "x", None)], "k string")
+    kept = keep_matching(df, "k", keys)
+    assert sorted(r["k"] for r in kept.collect()) == ["a", "c", "d"]
+    assert ("LeftSemi" in kept._jdf.queryExecution().toString()) == (most == 2)
+    assert keep_matching(df, "k", keys.where("k > 'y'")).count() == 0
+
+
+def test_county_and_class_prices_do_not_depend_on_the_pushdown_limit(tables, monkeypatch):
+    t = tables(
+        plan_information=[plan(n) for n in range(1, 6)],
+        plan_enrollment=[owner(n, "Humana") for n in range(1, 6)],
+        formulary_drugs=[drug(x, rxcui=i) for i, x in enumerate("ABCD")],
+        drug_pricing=[price(n, x, 10 * n) for n in range(1, 6) for x in "ABCDZ"],
+        beneficiary_costs=[rule(n, 1, 0.25) for n in range(1, 6)],
+    )
+
+    def results():
+        frames = (
+            costs.county_specialty_costs(t, "29189"), costs.tier_drugs_priced(t, "F1", 5),
+            landscape.pricing_table(t, {"G": (0, 1, 2)}),
+        )
+        return [sorted(map(str, df.collect())) for df in frames]
+
+    pushed = results()
+    monkeypatch.setattr(params, "PUSHDOWN_VALUES", 1)
+    assert results() == pushed and all(pushed)
+
+
 # ---------------------------------------------------------------- companies
 
 def owner(n, parent, contract="H1"):

@@ -33,6 +33,20 @@ def keep_values(df: DataFrame, column: str, values: Iterable) -> DataFrame:
     return df.join(listed, column, "left_semi")
 
 
+def keep_matching(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose column has a value in a table of keys, found before a big join.
+
+    Up to 500 key values are looked up here, by a job over `keys` alone, and become an IN
+    filter: it reaches the scan, so the big table is neither read whole nor shuffled.
+    With more keys a semi join gives the same rows.
+    """
+    known = keys.where(F.col(column).isNotNull()).select(column).distinct()
+    values = [row[0] for row in known.limit(PUSHDOWN_VALUES + 1).collect()]
+    if len(values) <= PUSHDOWN_VALUES:
+        return df.where(F.col(column).isin(sorted(values)))
+    return df.join(known, column, "left_semi")
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row DataFrame as a struct-valued scalar subquery (NULL when empty).
 

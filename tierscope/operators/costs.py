@@ -23,7 +23,7 @@ from tierscope.functions.expr import (
     price_text,
     rounded,
 )
-from tierscope.functions.params import keep_values
+from tierscope.functions.params import keep_matching, keep_values
 from tierscope.operators.formulary import SPECIALTY_TIERS, specialty_drug_groups
 from tierscope.operators.normalize import Tables, plan_columns
 
@@ -176,7 +176,8 @@ def county_specialty_costs(t: Tables, county_code: str, days: int = 30) -> DataF
     offered = t["plan_information"].where(F.col("county_code") == county_code).select(
         "plan_key", "contract_id", "plan_id", "premium", "deductible", "formulary_id"
     )
-    priced = _priced_listings(_prices(t, days), offered, _listed(t, S.SPECIALTY_TIER))
+    prices = keep_matching(_prices(t, days), "plan_key", offered)
+    priced = _priced_listings(prices, offered, _listed(t, S.SPECIALTY_TIER))
     rules = _rules(t, "cost_amt_pref").where(F.col("tier") == S.SPECIALTY_TIER).drop("tier")
     return priced.join(rules, "plan_key").orderBy("ndc", "plan_key").select(
         "ndc", "contract_id", "plan_id", "premium", "deductible",
@@ -210,8 +211,7 @@ def tier_drugs_priced(
         "plan_key"
     ).agg(F.count("*").alias("counties"))
     prices = (
-        _prices(t, None).where(F.col("unit_cost").isNotNull())
-        .join(drugs.select("ndc").distinct(), "ndc", "left_semi")
+        keep_matching(_prices(t, None), "ndc", drugs).where(F.col("unit_cost").isNotNull())
         .join(weighted, "plan_key")
         .groupBy("ndc")
         .agg(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.aggregates import count_items
 from tierscope.functions.expr import mean, percent_or_zero, rounded_even
-from tierscope.functions.params import keep_values
+from tierscope.functions.params import keep_matching, keep_values
 from tierscope.operators.drugs import drug_dosages, group_entries, group_ndcs
 from tierscope.operators.normalize import Tables
 
@@ -176,8 +176,8 @@ def pricing_table(
         "contract_id", "plan_key", "parent_org", "company"
     ).distinct()
     drugs = _dosed_drugs(t, groups)
-    prices = t["drug_pricing"].where(F.col("days_supply") == days).join(
-        drugs.select("ndc"), "ndc", "left_semi"
+    prices = keep_matching(
+        t["drug_pricing"].where(F.col("days_supply") == days), "ndc", group_ndcs(t, groups)
     ).select("plan_key", "ndc", "unit_cost")
     cost = F.col("unit_cost")
     priced = prices.join(plans, "plan_key").groupBy("company", "ndc").agg(

@@ -44,9 +44,9 @@ def ingest(
     """Reads delivered files and writes the typed table of each under root.
 
     `sources` maps table names to paths of text, or of ZIP archives of text. Text becomes a
-    table in one job without a shuffle: every task turns its split into Parquet. Prices are ordered by drug within a
-    task, so a drug is found in few pages of each file. The year is a partition
-    directory; a second year adds to the first.
+    table in one job without a shuffle: every task turns its split into Parquet. Prices are
+    ordered by drug within a task, so a drug is found in few pages of each file. The year is
+    a partition directory; a second year adds to the first.
     """
     written = {}
     for name, path in sources.items():
