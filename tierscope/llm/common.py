@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +21,31 @@ from tierscope.functions.params import scratch_path
 CHUNK_BYTES = 1 << 20  # text that a per-document function works on at a time
 
 
+_shipped: set[str] = set()
+
+
+def ship() -> None:
+    """Sends this package to the executors, once a session, as tasks import it by name."""
+    context = SparkSession.getActiveSession().sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{root.name}-tasks.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in root.rglob("*.py"):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """`mapInArrow` by a function of this package."""
+    ship()
+    return df.mapInArrow(function, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +97,7 @@ def per_text(
             parts = [function(part) for part in chunks(texts, limit)] or [function(texts)]
             yield pa.concat_arrays(parts)
 
+    ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tierscope.llm.common import saved, text_or_empty
+from tierscope.llm.common import map_batches, saved, text_or_empty
 
 SLOT_BITS = 27  # the bitmaps have 2**27 bits, 16 MB, at most
 KEY = ["print_", "text_sha256"]
@@ -98,7 +98,7 @@ def duplicate_bitmap(fingerprints: DataFrame, column: str, slot_bits: int) -> Da
         bits = np.bitwise_or.reduceat(one, starts) if len(slots) else one
         return pd.DataFrame({"word": words.astype(np.int64), "bits": bits.view(np.int64)})
 
-    blobs = fingerprints.select(column).mapInArrow(send, from_arrow_schema(BLOB))
+    blobs = map_batches(fingerprints.select(column), send, from_arrow_schema(BLOB))
     # Two owners may share the word at their border.
     return (
         blobs.groupBy("owner").applyInPandas(receive, "word bigint, bits bigint")
@@ -106,10 +106,22 @@ def duplicate_bitmap(fingerprints: DataFrame, column: str, slot_bits: int) -> Da
     )
 
 
+def bitmap(fingerprints: DataFrame, column: str, slot_bits: int) -> DataFrame:
+    """Where fingerprints are, in the form of `duplicate_bitmap`."""
+    word, place = _slot(column, slot_bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    return fingerprints.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _slot(column: str, slot_bits: int) -> tuple[Column, Column]:
+    """The word of the bitmap that a fingerprint's slot is in, and the bit."""
+    slot = F.shiftrightunsigned(column, 64 - slot_bits)
+    return F.shiftrightunsigned(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+
+
 def is_suspect(df: DataFrame, fingerprint: str, bitmap: DataFrame, slot_bits: int) -> DataFrame:
     """Adds the boolean column `suspect_`; `bitmap` goes to all tasks, its size is bounded."""
-    word = F.shiftrightunsigned(fingerprint, 64 - slot_bits + 6)
-    place = F.shiftrightunsigned(fingerprint, 64 - slot_bits).bitwiseAND(F.lit(63)).cast("int")
+    word, place = _slot(fingerprint, slot_bits)
     hit = F.call_function("shiftrightunsigned", F.col("bits"), place).bitwiseAND(F.lit(1)) == 1
     joined = df.join(F.broadcast(bitmap), word == F.col("word"), "left")
     return joined.withColumn("suspect_", F.coalesce(hit, F.lit(False))).drop("word", "bits")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import per_text, saved
+from tierscope.llm.common import map_batches, per_text, saved
 from tierscope.llm.words import ENCODE_BYTES, encoder
 
 OPEN_BINS = 1024
@@ -127,11 +127,8 @@ def pack(
             )
 
     order = F.xxhash64(*key)
-    return (
-        pieces.repartition(tasks, order)
-        .sortWithinPartitions(order, *key)
-        .mapInArrow(place, schema)
-    )
+    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, *key)
+    return map_batches(dealt, place, schema)
 
 
 def pack_documents(

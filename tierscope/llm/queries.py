@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierscope.llm import exact, packing, rules
+from tierscope.llm import exact, near, packing, rules
 from tierscope.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,12 +22,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(load(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near.grouped(load(spark, sf_dir, "documents"))
+    fingerprint = F.lpad(F.lower(F.hex(F.col("bits")[0])), 16, "0").alias("fingerprint")
+    return groups.select("doc_id", fingerprint, "component_id", "group_size")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_rules, op8_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
+    )}
 
 
 OP8_SQL = """

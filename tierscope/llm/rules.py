@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import encoded, per_text, struct_array
+from tierscope.llm.common import encoded, map_batches, per_text, struct_array
 
 SAMPLE_DOCS = 400  # documents on which costs and rejections are measured
 WINDOW = 8
@@ -154,7 +154,7 @@ def measure(docs: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE_DOCS):
             {"rule": names, "n": [n] * len(rules), "rejected": rejected, "seconds": seconds}
         )
 
-    parts = texts.select("text").mapInArrow(run, "rule string, n bigint, rejected double, seconds double")
+    parts = map_batches(texts.select("text"), run, "rule string, n bigint, rejected double, seconds double")
     return parts.groupBy("rule").agg(
         (F.sum("rejected") / F.sum("n")).alias("rejected"),
         (F.sum("seconds") / F.sum("n")).alias("seconds"),
