@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierscope.llm import exact, near, packing, rules, secrets
+from tierscope.functions.params import scratch_path
+from tierscope.llm import exact, idfiles, near, packing, rules, secrets
 from tierscope.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,9 +37,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    idfiles.write_ids(load(spark, sf_dir, "documents"), path, WORD_BPE)
+    return idfiles.digests(idfiles.read_ids(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op3_secret_scans, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
+        op9_token_id_output,
     )}
 
 
