@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
-from tierscope.llm import exact, idfiles, near, packing, rules, secrets
+from tierscope.llm import bpe, exact, idfiles, near, packing, rules, secrets
 from tierscope.llm.common import load
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -19,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op3_secret_scans, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
+        op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
         op9_token_id_output,
     )}
 
