@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
-from tierscope.llm import bpe, exact, idfiles, near, packing, rules, secrets
+from tierscope.llm import bpe, exact, idfiles, near, packing, rules, secrets, toxicity
 from tierscope.llm.common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint, "component_id", "group_size")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(load(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
-        op9_token_id_output,
+        op7_toxicity, op9_token_id_output,
     )}
 
 
