@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
-from tierscope.llm import bpe, exact, idfiles, near, packing, rules, secrets, toxicity
+from tierscope.llm import bpe, exact, idfiles, language, near, packing, rules, secrets, toxicity
 from tierscope.llm.common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(load(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.detected(load(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near.grouped(load(spark, sf_dir, "documents"))
     fingerprint = F.lpad(F.lower(F.hex(F.col("bits")[0])), 16, "0").alias("fingerprint")
@@ -54,8 +58,9 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules, op6_simhash_near_dedup, op8_exact_dedup,
-        op7_toxicity, op9_token_id_output,
+        op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules,
+        op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_exact_dedup,
+        op9_token_id_output,
     )}
 
 
