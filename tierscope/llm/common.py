@@ -118,3 +118,17 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def per_batch(function: Callable[..., pa.Array], returns: str) -> Callable[..., Column]:
+    """A column function from one or more columns to one, on Arrow batches as they come."""
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield function(*batch) if isinstance(batch, tuple) else function(batch)
+
+    ship()
+    run.__annotations__ = {
+        "batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array],
+    }
+    return F.arrow_udf(run, returns)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
-from tierscope.llm import bpe, exact, idfiles, language, near, packing, rules, secrets, toxicity
-from tierscope.llm.common import load
+from tierscope.llm import bpe, chat, exact, idfiles, language, near, packing, rules, secrets, toxicity
+from tierscope.llm.common import load, saved
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -56,11 +56,21 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.digests(idfiles.read_ids(spark, path))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    turns = load(spark, sf_dir, "conversations").select(added.columns).union(added)
+    return chat.digests(saved(chat.format_chats(turns), "chats"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules,
         op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_exact_dedup,
-        op9_token_id_output,
+        op9_token_id_output, op10_chat_formatting,
     )}
 
 
@@ -72,5 +82,26 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+#: Code points that a turn's frame and backslashes add, besides role and text.
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(17 + length(role || text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')))
+      AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL}
