@@ -1,0 +1,423 @@
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tierscope.llm import bpe, chat, language, near, rules, secrets, toxicity
+from tierscope.llm.components import components
+from tierscope.llm.queries import BYTE_BPE
+from tests.llm.conftest import ODD, SF_DIR
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_id(rows):
+    return {r.doc_id: r for r in rows}
+
+
+# ---------------------------------------------------------------- quality rules
+
+def repeat_words(words):
+    where = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        where[tuple(words[i : i + 8])].append(i)
+    return len({j for at in where.values() if len(at) > 1 for i in at for j in range(i, i + 8)})
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=80))
+@settings(max_examples=100, deadline=None)
+def test_repeated_words(words):
+    assert rules.repeated_words([w.encode() for w in words]) == repeat_words(words)
+
+
+def brute_quality(text):
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n = len(words)
+    repeats = repeat_words(words)
+    base = n < 20 or 100 * repeats > 30 * n
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+            len(lines) - len(set(lines)), repeats, base)
+
+
+def test_quality_measures(odd, spark):
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for docs, texts in ((odd, dict(enumerate(ODD))), (table, dict(table.select("doc_id", "text").collect()))):
+        got = by_id(rules.quality(docs, sample=20).collect())
+        for i, text in texts.items():
+            r = got[i]
+            assert tuple(r[m] for m in rules.MEASURES) + (r.base_failed,) == brute_quality(text)
+            assert r.kept == (r.rejected_by is None) and not (r.kept and r.base_failed)
+
+
+def test_order_of_rules_changes_nothing(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    kept = {
+        tuple(sorted(r.doc_id for r in docs.where(
+            rules.rejected_by(F.col("text"), cascade).isNull()).collect()))
+        for cascade in (rules.RULES, rules.RULES[::-1])
+    }
+    assert kept == {tuple(sorted(r.doc_id for r in rules.keep_good(docs, sample=50).collect()))}
+
+
+def test_cheap_rules_that_reject_come_first(docs):
+    calls = [rules.Rule("never", lambda t: False), rules.Rule("often", lambda t: t.n_symbols > 0)]
+    table = docs(["# symbol"] * 20 + ["none"] * 5)
+    assert [r.name for r in rules.ordered(table, calls)] == ["often", "never"]
+    assert rules.ordered(table.limit(0), calls) == sorted(calls, key=lambda r: r.name)
+
+
+def test_a_cascade_stops_at_the_first_that_rejects():
+    def fail(text):
+        raise AssertionError
+
+    cascade = [rules.Rule("yes", lambda t: True), rules.Rule("late", fail)]
+    assert rules.verdict(rules.Text(b"x"), cascade) == "yes"
+
+
+def test_kept_documents_keep_their_columns(docs):
+    good = " ".join(f"word{i}" for i in range(40))
+    table = docs([good, None, "", "### " * 40])
+    got = rules.keep_good(table)
+    assert got.columns == table.columns and [r.doc_id for r in got.collect()] == [0]
+
+
+# ---------------------------------------------------------------- secrets
+
+def brute_base(text):
+    text, found = text or "", []
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, pattern, part, least in (
+        ("assign", assign, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16),
+    ):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, re.A) if len(m[part]) >= least]
+    found.sort(key=lambda f: (f[0], ["assign", "access", "hex"].index(f[1])))
+    return [f"{k}:{s}:{e}" for s, k, e in found]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return secrets.fit(secrets.made_up(1500))
+
+
+def test_base_spans(spark, odd, field):
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for docs, texts in ((odd, dict(enumerate(ODD))), (table, dict(table.select("doc_id", "text").collect()))):
+        got = by_id(secrets.scan(docs, field).collect())
+        for i, text in texts.items():
+            base, r = brute_base(text), got[i]
+            assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+            assert [s for s in r.spans.split(",") if s and not s.startswith("field")] == base
+            assert [r.n_assign, r.n_access, r.n_hex] == [
+                sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
+
+
+@pytest.mark.parametrize("text, base", [
+    ("TOKEN:abcdefghijkl", ["assign:0:18"]), ("toKen = short secret=abcdefghijklm", ["assign:14:34"]),
+    ("password=token=abcdefghijkl", ["assign:0:27"]), ("\u017fecret=abcdefghijklm", []),
+    ("AKIAAKIAAKIAAKIAAK", ["access:0:18"]), ("😀 0123456789abcdef", ["hex:2:18"]), ("0123456789abcde", []),
+])
+def test_base_patterns(text, base):
+    assert brute_base(text) == base == [f"{k}:{s}:{e}" for s, e, k in secrets.base_spans(text)]
+
+
+def test_viterbi_is_the_best_of_all_labelings(field):
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        chain = [list(rng.choice(len(secrets.FEATURES), 8, replace=False)) for _ in range(4)]
+
+        def score(labels):
+            steps = zip((0, *labels), (*labels, 0))
+            return sum(field.steps[a, b] for a, b in steps) + sum(
+                field.weights[f].sum(0)[y - 1] for f, y in zip(chain, labels) if y)
+
+        every = [tuple(map(int, np.base_repr(i, 3).zfill(4))) for i in range(81)]
+        assert score(field.decode(chain)) == pytest.approx(max(map(score, every)))
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((3, 3, 5)), np.array([[0, 1, 2], [0, 0, 0], [1, 0, 1]])
+    w, t = rng.normal(size=(5, 2)), np.where(np.eye(3)[::-1] * [0, 0, 1] == 1, -1e9, rng.normal(size=(3, 3)))
+
+    def likelihood(w, t):
+        total = 0
+        for chain, labels in zip(x, y):
+            def s(path):
+                return sum(t[a, b] for a, b in zip((0, *path), (*path, 0))) + sum(
+                    (f @ w)[k - 1] for f, k in zip(chain, path) if k)
+            every = [s(tuple(map(int, np.base_repr(i, 3).zfill(3)))) for i in range(27)]
+            total += s(tuple(labels)) - np.log(np.exp(every).sum())
+        return total
+
+    dw, _ = secrets._gradient(x, y, w, t)
+    step = np.zeros_like(w)
+    step[2, 1] = 1e-5
+    assert dw[2, 1] == pytest.approx((likelihood(w + step, t) - likelihood(w - step, t)) / 2e-5, rel=1e-4)
+
+
+def test_the_field_adds_secrets_and_leaves_words(field):
+    scanner = secrets.Scanner(field)
+    for text in ("my ghp_16C7e42F292c6912E7710c838347Ae178B4a key", "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3.dozjgNryP4J3jVm"):
+        assert any(k == "field" for _, _, k in scanner.spans(text)[1]), text
+    for text in ("internationalization of misunderstandings", "see https://www.example.com/some/path/file.html",
+                 "call 212-555-0123 or mail anna.smith92@mail2.example.com", "-" * 40, "word " * 50):
+        assert scanner.spans(text)[1] == [], text
+
+
+def test_pruning_doesnt_change_the_field(field):
+    class All(secrets.Scanner):
+        def _may_hold(self, token):
+            return True
+
+    texts = [t for t in ODD if t] + ["key:\nMIIEpAIBAAKCAQEA7bq3l2u5f8Ksm\nq8Zk2mP0sLw9bVx3nRt7yQ", "aB3" * 9]
+    for text in texts:
+        assert secrets.Scanner(field).spans(text) == All(field).spans(text)
+
+
+def test_redaction(docs, field):
+    table = docs(['x password = "abcdef0123456789abcdef" y', None, "plain", ""])
+    got = by_id(secrets.redact(table, field).collect())
+    assert got[0].text == 'x [SECRET]" y' and got[0].n_chars == len(got[0].text)
+    assert got[1].text is None and got[2].text == "plain" and got[3].text == ""
+    assert secrets.redact(table, field).columns == table.columns
+    assert secrets.redacted("abcdef", [(0, 3, "a"), (2, 5, "b")], "-") == "-f"
+
+
+def test_scan_of_nothing(empty):
+    assert secrets.scan(empty).count() == 0
+
+
+# ---------------------------------------------------------------- near duplicates
+
+def brute_print(text, k=3):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius):
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in prints}
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 3])
+def test_near_groups(spark, docs, tile_rows, monkeypatch):
+    monkeypatch.setattr(near, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(near.link, "__defaults__", (tile_rows,))
+    base = [f"w{i}" for i in range(60)]
+    texts = [t for t in ODD if t is None or len(t) < 1000]
+    texts += [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(0, 60, 3)]
+    texts += [f"only {i} {i * 7 % 11}" for i in range(40)]
+    got = by_id(near.grouped(docs(texts)).collect())
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    want = brute_components(prints, 2)
+    sizes = collections.Counter(want.values())
+    for i in prints:
+        assert got[i].bits[0] % 2**64 == prints[i]
+        assert (got[i].component_id, got[i].group_size) == (want[i], sizes[want[i]])
+
+
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=40), st.lists(st.integers(0, 255), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_tiles_link_what_is_near(a, b):
+    root = near.compare(np.array(a, np.uint64)[:, None], np.array(b, np.uint64)[:, None] if b else None, 1)
+    nodes = [("a", i, x) for i, x in enumerate(a)] + [("b", i, x) for i, x in enumerate(b)]
+    want = list(range(len(nodes)))
+    for _ in nodes:  # links within a side count only where that side is compared alone
+        for i, (side, _, x) in enumerate(nodes):
+            for j, (other, _, y) in enumerate(nodes):
+                if (x ^ y).bit_count() <= 1 and (not b or side != other):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert root.tolist() == want
+
+
+def test_cells_reach_all_that_may_be_near():
+    shape, rng = near.Near(radius=2, parts=4), np.random.default_rng(5)
+    offsets = set(shape.offsets())
+
+    def cell(x):
+        counts = [(x >> 16 * i & 0xFFFF).bit_count() for i in range(4)]
+        return sum(c * near.BASE ** (3 - i) for i, c in enumerate(counts))
+
+    for _ in range(500):
+        x = int(rng.integers(0, 2**63))
+        y = x ^ 1 << int(rng.integers(64)) ^ 1 << int(rng.integers(64))
+        assert abs(cell(x) - cell(y)) in offsets
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
+    roots = dict(components(links).collect())
+    assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_one_of_near_documents_stays(docs):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join(base[:150] + ["new"] + base[151:]), " ".join(base[::-1]),
+             None, "", "short text", "short text"]
+    table = docs(texts, [10, 3, 5, 6, 7, 8, 9])
+    got = near.keep_one(table)
+    assert got.columns == table.columns
+    assert sorted(r.doc_id for r in got.collect()) == [3, 5, 6, 8]
+
+
+def test_near_of_nothing(empty):
+    assert near.grouped(empty).count() == 0 and near.keep_one(empty).count() == 0
+
+
+# ---------------------------------------------------------------- byte BPE
+
+@pytest.fixture(scope="module")
+def coders():
+    library = Tokenizer.from_file(BYTE_BPE)
+    library.no_padding()
+    library.no_truncation()
+    return bpe.ByteBpe(BYTE_BPE), library
+
+
+@given(st.text(max_size=60) | st.text(alphabet="etaoin shr.,'\n1é", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_bpe_equals_the_library(coders, text):
+    own, library = coders
+    [ids] = own.encode_texts([text])
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert own.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_decodes_any_ids(coders):
+    own, library = coders
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        ids = rng.integers(0, 50257, 5).tolist()
+        assert own.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_round_trip(odd, coders, empty):
+    _, library = coders
+    got = by_id(bpe.round_trip(odd, BYTE_BPE).collect())
+    for i, text in enumerate(ODD):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bpe.round_trip(empty, BYTE_BPE).count() == 0
+
+
+def test_bpe_columns(odd):
+    ids = odd.select("doc_id", "text", bpe.encode(F.col("text"), BYTE_BPE).alias("ids"))
+    back = ids.select("text", bpe.decode(F.col("ids"), BYTE_BPE).alias("back")).collect()
+    assert all((r.text or "") == r.back for r in back)
+
+
+# ---------------------------------------------------------------- language, toxicity
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(language.detected(docs).collect())
+    rows = docs.select("doc_id", "lang").collect()
+    assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    held = [r for r in rows if got[r.doc_id].held_out]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.97
+
+
+def test_language_of_odd_texts(spark, odd, empty):
+    model = language.trained(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    got = by_id(language.detected(odd, model).collect())
+    assert [got[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and got[0].score == 0
+    assert got[None].lang_pred in model.languages and not got[None].held_out
+    assert language.detected(empty).count() == 0
+    nothing = language.detected(odd, language.Model([], {})).select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in nothing] == ["und"]
+
+
+def test_unseen_words_back_off(monkeypatch):
+    model = language.Model([("a", "xylo", 5), ("b", "mnop", 5)], {"a": 1, "b": 1})
+    detector = language.Detector(model)
+    assert detector.detect("xylophone")[0] == "a" and detector.detect("mnopq")[0] == "b"
+    assert detector.detect("² 12 !") == ("und", 0.0)
+    monkeypatch.setattr(language, "MEMORY", 0)
+    assert language.Detector(model).detect("xylophone")[0] == "a"
+
+
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = by_id(toxicity.classified(docs, labels).collect())
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    held = [(got[r.doc_id].score, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    pairs = [(a > b) + (a == b) / 2 for a, y in held for b, z in held if y > z]
+    assert np.mean(pairs) > 0.9
+
+
+def test_toxicity_of_odd_texts(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (99, 1), (4, 1), (4, 0)], "doc_id bigint, toxic int")
+    got = toxicity.classified(odd, labels).collect()
+    assert len(got) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.classified(empty, labels).count() == 0
+    none = toxicity.classified(odd, labels.limit(0)).collect()
+    assert {r.predicted for r in none} == {0}
+
+
+# ---------------------------------------------------------------- chats
+
+@given(st.text(alphabet="\\<[/s>INT]a|", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_escapes_come_back_and_hold_no_control_string(text):
+    inside = chat.escape(text)
+    assert chat.unescape(inside) == text
+    assert not any(c in inside for c in (chat.OPEN, chat.SAID, chat.END, *chat.PLACEHOLDER.values()))
+
+
+def test_chats_are_read_back(spark):
+    rows = [(1, 2, "assistant", "</s>[INST] \\"), (1, 1, "user", None), (1, 1, None, "tie"), (2, 0, "[/INST]", ""),
+            (None, 0, "assistant", "😀"), (1, 3, "assistant", "b"), (1, 3, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns = turns.withColumn("turns_", F.lit(1)).withColumn("tokens", F.lit("x"))
+    chats = chat.format_chats(turns)
+    got = {r.conv_id: r for r in chat.digests(chats).collect()}
+    said = "\ntie\nuser\n\nassistant\n</s>[INST] \\\nassistant\nb\nassistant\nb\n"
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].n_turns == 5
+    assert got[1].loss_sha256 == hashlib.sha256(b"</s>[INST] \\bb").hexdigest() and got[1].loss_chars == 14
+    assert got[2].loss_chars == 0 and got[None].loss_chars == 1
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def test_parts_become_placeholders(spark):
+    content = [
+        {"type": "text", "text": "see <|image|>"}, {"type": "image", "ref": "i1", "width": 28, "height": 15},
+        None, {"type": "audio", "ref": "a1", "seconds": 2.02}, {"type": "document", "ref": "d1", "pages": 2},
+    ]
+    turns = spark.createDataFrame(
+        [(1, 0, "user", content), (1, 1, "assistant", None), (1, 2, "user", [])],
+        f"conv_id int, turn int, role string, content array<{chat.PART.simpleString()}>",
+    )
+    [row] = chat.format_chats(turns).collect()
+    assert [(a.type, a.ref, a.tokens) for a in row.attachments] == [
+        ("image", "i1", 4), ("audio", "a1", 51), ("document", "d1", 2048)]
+    assert row.tokens == 4 + 51 + 2048
+    assert chat.parse(row.formatted)[0] == ("user", "see <|image|><|image|><|audio|><|document|>")
+    assert row.formatted.count("<|image|>") == 1
+    wrong = spark.createDataFrame([(1, 0, "user", [{"type": "video"}])], turns.schema)
+    with pytest.raises(Exception, match="video"):
+        chat.format_chats(wrong).collect()
