@@ -10,7 +10,6 @@ from conftest import as_dicts
 from pyspark.sql import functions as F
 
 from tierscope.functions.aggregates import count_items
-from tierscope.functions import params
 from tierscope.functions.params import keep_matching, keep_values, scratch_path
 from tierscope.operators import costs, drugs, formulary, geography, landscape, normalize, profile
 from tierscope.operators import organizations as orgs
@@ -289,43 +288,62 @@ def test_a_code_of_two_concepts_stays_two_rows(tables):
     assert drugs.group_ndcs(t, {"G": (1, 2)}).count() == 2
 
 
-def test_long_lists_become_joins(spark):
+def test_lists_become_filters(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     kept = keep_values(df, "k", range(1000))
     assert kept.count() == 1000
-    assert "LeftSemi" in kept._jdf.queryExecution().toString()
+    assert "Join" not in kept._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("most", [2, 500])
-def test_matching_keys_filter_or_join(spark, monkeypatch, most):
-    monkeypatch.setattr(params, "PUSHDOWN_VALUES", most)
+def test_matching_keys_are_a_semi_join(spark):
     df = spark.createDataFrame([(k,) for k in ("a", "b", "c", "d", None)], "k string")
     keys = spark.createDataFrame([(k,) for k in ("a", "a", "c", "d", "x", None)], "k string")
     kept = keep_matching(df, "k", keys)
     assert sorted(r["k"] for r in kept.collect()) == ["a", "c", "d"]
-    assert ("LeftSemi" in kept._jdf.queryExecution().toString()) == (most == 2)
+    assert "LeftSemi" in kept._jdf.queryExecution().toString()
     assert keep_matching(df, "k", keys.where("k > 'y'")).count() == 0
 
 
-def test_county_and_class_prices_do_not_depend_on_the_pushdown_limit(tables, monkeypatch):
+# ---------------------------------------------------------------- whole results
+
+def test_totals_and_search_cover_all_organizations(tables):
+    n = 150
     t = tables(
-        plan_information=[plan(n) for n in range(1, 6)],
-        plan_enrollment=[owner(n, "Humana") for n in range(1, 6)],
-        formulary_drugs=[drug(x, rxcui=i) for i, x in enumerate("ABCD")],
-        drug_pricing=[price(n, x, 10 * n) for n in range(1, 6) for x in "ABCDZ"],
-        beneficiary_costs=[rule(n, 1, 0.25) for n in range(1, 6)],
+        plan_information=[plan(i, contract=f"H{i}") for i in range(n)],
+        plan_enrollment=[
+            {"contract_number": f"H{i}", "plan_id": str(i), "enrollment": i + 1,
+             "parent_organization": f"Org {i}", "organization_marketing_name": f"Brand {i}"}
+            for i in range(n)
+        ],
     )
+    [totals] = orgs.org_totals(t).collect()
+    assert (totals["organizations"], totals["total_enrollment"]) == (n, n * (n + 1) // 2)
+    assert orgs.search_orgs(t, "brand 14").count() == 11
+    assert orgs.orgs_by_enrollment(t).count() == n
+    assert orgs.orgs_by_enrollment(t, limit=5).count() == 5
 
-    def results():
-        frames = (
-            costs.county_specialty_costs(t, "29189"), costs.tier_drugs_priced(t, "F1", 5),
-            landscape.pricing_table(t, {"G": (0, 1, 2)}),
-        )
-        return [sorted(map(str, df.collect())) for df in frames]
 
-    pushed = results()
-    monkeypatch.setattr(params, "PUSHDOWN_VALUES", 1)
-    assert results() == pushed and all(pushed)
+def test_tier_averages_cover_all_drugs(tables):
+    n = 700
+    t = tables(
+        plan_information=[plan(1)],
+        formulary_drugs=[drug(f"N{i}", rxcui=i) for i in range(n)],
+        drug_pricing=[price(1, f"N{i}", i) for i in range(n)],
+        beneficiary_costs=[rule(1, 1, 0.25)],
+    )
+    [page] = costs.tier_page_summary(t, "F1", 5).collect()
+    assert (page["total_drugs"], page["avg_negotiated"]) == (n, (n - 1) / 2)
+    assert formulary.formulary_drugs_list(t, "F1").count() == n
+
+
+def test_names_with_equal_beginnings_stay_apart(tables):
+    names = ["An insurance company of some length, " + x for x in ("north", "south")]
+    t = tables(plan_information=[
+        plan(i, fid=f"F{i}", contract_name=name) for i, name in enumerate(names)
+    ])
+    assert [r["org"] for r in formulary.org_prefixes(t).collect()] == names
+    assert {r["shown"] for r in formulary.org_prefixes(t, 30).collect()} == {names[0][:30]}
+    assert [r[0] for r in formulary.formularies_of_org(t, names[1]).collect()] == ["F1"]
 
 
 # ---------------------------------------------------------------- companies

@@ -39,6 +39,14 @@ NO_PLANS = {  # queries that read back files they wrote
 }
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - NO_PLANS))
+def test_defining_a_query_starts_no_job(spark, stored, name):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    QUERIES[name](stored)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - NO_PLANS))
 def test_no_cross_products(stored, name):
     plan = plan_of(QUERIES[name](stored))

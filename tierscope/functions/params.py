@@ -9,41 +9,23 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 10_000  # a parameter list up to this length is shipped to every task
-PUSHDOWN_VALUES = 500  # an IN list up to this length is pushed into the scan
-
-
 def parameter_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A caller's list as a DataFrame; broadcast only while it is short."""
-    frame = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
+    """A caller's list as a DataFrame; its size is known, so Spark decides how to join it."""
+    return spark.createDataFrame(list(rows), schema)
 
 
 def keep_values(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    """Rows whose column is in a caller's list.
-
-    A short list is an IN filter, which reaches the Parquet scan; a long one is a
-    semi join, so the plan does not grow with the list.
-    """
-    values = sorted(set(values))
-    if len(values) <= PUSHDOWN_VALUES:
-        return df.where(F.col(column).isin(values))
-    dtype = df.schema[column].dataType.simpleString()
-    listed = parameter_frame(df.sparkSession, [(v,) for v in values], f"{column} {dtype}")
-    return df.join(listed, column, "left_semi")
+    """Rows whose column is in a caller's list: an IN filter, which reaches the scan."""
+    return df.where(F.col(column).isin(sorted(set(values))))
 
 
 def keep_matching(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows whose column has a value in a table of keys, found before a big join.
+    """Rows whose column has a value in a table of keys, kept before a big join.
 
-    Up to 500 key values are looked up here, by a job over `keys` alone, and become an IN
-    filter: it reaches the scan, so the big table is neither read whole nor shuffled.
-    With more keys a semi join gives the same rows.
+    A semi join: Spark broadcasts the keys if they are small, and filters the scan by them at
+    run time. Nothing runs until the result is asked for.
     """
     known = keys.where(F.col(column).isNotNull()).select(column).distinct()
-    values = [row[0] for row in known.limit(PUSHDOWN_VALUES + 1).collect()]
-    if len(values) <= PUSHDOWN_VALUES:
-        return df.where(F.col(column).isin(sorted(values)))
     return df.join(known, column, "left_semi")
 
 

@@ -190,7 +190,7 @@ def county_specialty_costs(t: Tables, county_code: str, days: int = 30) -> DataF
 # ---------------------------------------------------------------- tier page
 
 def tier_drugs_priced(
-    t: Tables, formulary_id: str, tier: int, limit: int | None = 500
+    t: Tables, formulary_id: str, tier: int, limit: int | None = None
 ) -> DataFrame:
     """Drugs of a formulary tier with average price, member payment and plan net cost.
 
@@ -404,17 +404,23 @@ def plan_cost_display(
 
 
 def specialty_pricing(
-    t: Tables, formulary_id: str, plans: int = 5, limit: int | None = 100
+    t: Tables, formulary_id: str, plans: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Specialty drugs of a formulary with their price range over a few of its plans.
+    """Specialty drugs of a formulary with their price range over its plans.
 
-    The plans are those of the first plan x county rows by organization and plan name.
+    If a number of plans is given: over those of the first plan x county rows by
+    organization and plan name.
     """
-    sample = t["plan_information"].where(F.col("formulary_id") == formulary_id).orderBy(
-        "contract_name", "plan_name", "plan_key", "county_code"
-    ).limit(plans).select("plan_key").distinct()
-    prices = _prices(t, None).join(sample, "plan_key", "left_semi")
+    priced_in = t["plan_information"].where(F.col("formulary_id") == formulary_id)
+    if plans is not None:
+        priced_in = priced_in.orderBy(
+            "contract_name", "plan_name", "plan_key", "county_code"
+        ).limit(plans)
     drugs = specialty_drug_groups(t, formulary_id).select("rxcui", "ndc", "tier", "restrictions")
+    # The few drugs cut the prices first, then the plans.
+    prices = keep_matching(_prices(t, None), "ndc", drugs).join(
+        priced_in.select("plan_key").distinct(), "plan_key", "left_semi"
+    )
     priced = drugs.join(prices, "ndc").groupBy("rxcui", "ndc", "tier", "restrictions").agg(
         mean("unit_cost").alias("avg_unit_cost"),
         F.min("unit_cost").alias("min_unit_cost"),

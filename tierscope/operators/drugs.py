@@ -63,7 +63,7 @@ def drug_restrictions(t: Tables, ndc: str | Column) -> DataFrame:
     )
 
 
-def drug_plans(t: Tables, ndc: str | Column, limit: int | None = 20) -> DataFrame:
+def drug_plans(t: Tables, ndc: str | Column, limit: int | None = None) -> DataFrame:
     """Plans covering a drug, cheapest first."""
     offered = t["plan_information"].select(
         "contract_id", "plan_id", "plan_name", "formulary_id", "premium"
@@ -84,8 +84,9 @@ def drug_plans(t: Tables, ndc: str | Column, limit: int | None = 20) -> DataFram
     return found if limit is None else found.limit(limit)
 
 
-def drug_cost_samples(t: Tables, ndc: str | Column, plans: int = 5) -> DataFrame:
-    """What a member pays for a drug in the first plans covering it, in words.
+def drug_cost_samples(t: Tables, ndc: str | Column, plans: int | None = None) -> DataFrame:
+    """What a member pays for a drug in the plans covering it, in words; in the first few
+    plans if their number is given.
 
     Plans without a cost rule for the drug's tier are left out; one rule per plan.
     """
@@ -97,7 +98,9 @@ def drug_cost_samples(t: Tables, ndc: str | Column, plans: int = 5) -> DataFrame
     ).distinct()
     sample = offered.join(listed, "formulary_id").select(
         "plan_key", "contract_id", "plan_id", "tier"
-    ).distinct().orderBy("plan_key", "tier", "contract_id", "plan_id").limit(plans)
+    ).distinct()
+    if plans is not None:
+        sample = sample.orderBy("plan_key", "tier", "contract_id", "plan_id").limit(plans)
     rules = t["beneficiary_costs"].where(
         (F.col("coverage_level") == 1) & (F.col("days_supply") == 1)
     )
@@ -111,7 +114,7 @@ def drug_cost_samples(t: Tables, ndc: str | Column, plans: int = 5) -> DataFrame
     ).agg(F.min(rule).alias("rule"))
     kind, amount, cap = (F.col(f"rule.{part}") for part in ("kind", "amount", "cap"))
     share = F.concat(
-        F.format_string("%.0f%% coinsurance", (amount * 100).cast("double")),
+        F.format_string("%.0f%% coinsurance", F.bround((amount * 100).cast("double"))),
         F.coalesce(F.concat(F.lit(" (max "), dollars(cap), F.lit(")")), F.lit("")),
     )
     return first.select(
@@ -122,7 +125,7 @@ def drug_cost_samples(t: Tables, ndc: str | Column, plans: int = 5) -> DataFrame
     )
 
 
-def specialty_coverage_rows(t: Tables, limit: int | None = 15) -> DataFrame:
+def specialty_coverage_rows(t: Tables, limit: int | None = None) -> DataFrame:
     """Specialty drugs by the formularies listing them; authorizations counted by row."""
     counted = t["formulary_drugs"].where(
         F.col("tier_level_value") == S.SPECIALTY_TIER
@@ -133,7 +136,7 @@ def specialty_coverage_rows(t: Tables, limit: int | None = 15) -> DataFrame:
     return counted if limit is None else counted.limit(limit)
 
 
-def specialty_coverage(t: Tables, limit: int | None = 25) -> DataFrame:
+def specialty_coverage(t: Tables, limit: int | None = None) -> DataFrame:
     """Specialty drugs by the formularies listing them; restrictions by formulary."""
     counted = count_items(
         t["formulary_drugs"].where(F.col("tier_level_value") == S.SPECIALTY_TIER),

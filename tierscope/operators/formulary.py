@@ -23,7 +23,6 @@ from tierscope.functions.expr import (
 from tierscope.functions.params import one_row
 from tierscope.operators.normalize import Tables, collapse_rows
 
-ORG_PREFIX = 30
 SPECIALTY_TIERS = (5, 6)
 
 
@@ -59,37 +58,43 @@ def formulary_list(t: Tables, org: str | None = None) -> DataFrame:
     ).orderBy(F.desc("plan_count"), "formulary_id")
 
 
-def formulary_orgs(t: Tables) -> DataFrame:
-    """Formularies with their organization names, cut to 30 characters, as one text.
+def _shown(name: str, chars: int | None) -> Column:
+    """A name for display, cut to a number of characters if one is given."""
+    return F.col(name) if chars is None else F.left(F.col(name), F.lit(chars))
+
+
+def formulary_orgs(t: Tables, chars: int | None = None) -> DataFrame:
+    """Formularies with their organization names as one text, for display maybe cut.
 
     Names are made distinct per formulary before they are gathered, so a gathered
     list is as long as the text it becomes, whatever the number of plan rows.
     """
     rows = t["plan_information"].where(F.col("formulary_id").isNotNull())
     per_name = rows.groupBy("formulary_id", "contract_name").agg(F.count("*").alias("n"))
-    prefix = F.left(F.col("contract_name"), F.lit(ORG_PREFIX))
     return (
         per_name.groupBy("formulary_id").agg(
             F.count("contract_name").alias("org_count"),
-            F.concat_ws(", ", F.array_sort(F.collect_set(prefix))).alias("organizations"),
+            F.concat_ws(", ", F.array_sort(F.collect_set(_shown("contract_name", chars)))).alias("organizations"),
             F.sum("n").alias("plan_count"),
         )
         .orderBy(F.desc("plan_count"), "formulary_id")
     )
 
 
-def org_prefixes(t: Tables) -> DataFrame:
-    """Organization names cut to 30 characters."""
+def org_prefixes(t: Tables, chars: int | None = None) -> DataFrame:
+    """Organization names, each with the text to display, which may be cut."""
     return (
         t["plan_information"].where(F.col("contract_name").isNotNull())
-        .select(F.left("contract_name", F.lit(ORG_PREFIX)).alias("org")).distinct().orderBy("org")
+        .select("contract_name").distinct()
+        .select(F.col("contract_name").alias("org"), _shown("contract_name", chars).alias("shown"))
+        .orderBy("org")
     )
 
 
 def formularies_of_org(t: Tables, org: str) -> DataFrame:
-    """Formularies used by the organization with this 30-character name."""
+    """Formularies used by the organization of this name."""
     return (
-        t["plan_information"].where(F.left("contract_name", F.lit(ORG_PREFIX)) == org)
+        t["plan_information"].where(F.col("contract_name") == org)
         .select("formulary_id").distinct()
     )
 
@@ -140,21 +145,21 @@ def formulary_geography(t: Tables, formulary_id: str) -> DataFrame:
     )
 
 
-def cost_sample(t: Tables, formulary_id: str, limit: int = 10) -> DataFrame:
-    """First cost rules, at initial coverage, of the formulary's plan x county rows."""
-    return (
+def cost_sample(t: Tables, formulary_id: str, limit: int | None = None) -> DataFrame:
+    """Cost rules, at initial coverage, of the formulary's plan x county rows; the first few
+    if there is a limit."""
+    rules = (
         t["beneficiary_costs"].where(F.col("coverage_level") == 1)
         .join(_plans_of(t, formulary_id).select("plan_key"), "plan_key")
         .orderBy("plan_key", "tier", "days_supply")
-        .limit(limit)
-        .select(
-            "tier",
-            F.col("cost_type_pref").alias("retail_cost_type"),
-            F.col("cost_amt_pref").alias("retail_cost_amt"),
-            F.col("cost_type_mail_pref").alias("mail_cost_type"),
-            F.col("cost_amt_mail_pref").alias("mail_cost_amt"),
-            "tier_specialty_yn",
-        )
+    )
+    return _first(rules, limit).select(
+        "tier",
+        F.col("cost_type_pref").alias("retail_cost_type"),
+        F.col("cost_amt_pref").alias("retail_cost_amt"),
+        F.col("cost_type_mail_pref").alias("mail_cost_type"),
+        F.col("cost_amt_mail_pref").alias("mail_cost_amt"),
+        "tier_specialty_yn",
     )
 
 
@@ -275,7 +280,7 @@ def formulary_plan_metrics(t: Tables, formulary_id: str) -> DataFrame:
     )
 
 
-def formulary_parent_orgs(t: Tables, formulary_id: str, limit: int | None = 5) -> DataFrame:
+def formulary_parent_orgs(t: Tables, formulary_id: str, limit: int | None = None) -> DataFrame:
     """Organizations using a formulary by plan x county rows."""
     counted = _plans_of(t, formulary_id).groupBy("contract_name").agg(
         F.count("*").alias("plan_count")
@@ -290,7 +295,7 @@ def formulary_drugs_list(
     formulary_id: str,
     tier: int | None = None,
     specialty_only: bool = False,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
     """Drugs of a formulary by tier and concept; the first 1000 unless told otherwise."""
     rows = _drugs_of(t, formulary_id)
@@ -408,7 +413,7 @@ def formulary_drugs_sample_plan(t: Tables, formulary_id: str, days: int = 30) ->
 
 # ---------------------------------------------------------------- across formularies
 
-def formulary_sizes(t: Tables, limit: int | None = 10) -> DataFrame:
+def formulary_sizes(t: Tables, limit: int | None = None) -> DataFrame:
     """Largest formularies with their share of specialty drugs."""
     sized = count_items(
         t["formulary_drugs"], ["formulary_id"], "ndc", "total_drugs",

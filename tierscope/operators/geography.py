@@ -31,7 +31,7 @@ def area_plan_count(t: Tables, term: str) -> DataFrame:
     return plans_in_area(t, term).agg(F.countDistinct("plan_key").alias("plans"))
 
 
-def area_plans(t: Tables, term: str, limit: int | None = 30) -> DataFrame:
+def area_plans(t: Tables, term: str, limit: int | None = None) -> DataFrame:
     """Plans of an area, cheapest first."""
     listed = plans_in_area(t, term).select(
         "contract_id", "plan_id", "plan_name", "premium", "deductible", "formulary_id",
@@ -54,7 +54,7 @@ def area_premium_stats(t: Tables, term: str) -> DataFrame:
     )
 
 
-def area_formularies(t: Tables, term: str, limit: int | None = 10) -> DataFrame:
+def area_formularies(t: Tables, term: str, limit: int | None = None) -> DataFrame:
     """Formularies by plans in an area, with their drugs.
 
     The ranking needs plans only, so it is cut to the leaders before the drug table is
@@ -118,7 +118,7 @@ def county_summary(t: Tables, county_code: str) -> DataFrame:
 
 
 def county_competition(
-    t: Tables, state_name: str | None = None, limit: int | None = 20
+    t: Tables, state_name: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Counties, of one state if given, with the most plans."""
     counties = county_plan_summary(t)

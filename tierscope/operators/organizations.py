@@ -61,7 +61,7 @@ def _enrolled_formulary_plans(enrollment: DataFrame, t: Tables, *columns: str) -
     )
 
 
-def orgs_by_enrollment(t: Tables, limit: int | None = 100) -> DataFrame:
+def orgs_by_enrollment(t: Tables, limit: int | None = None) -> DataFrame:
     """Parent organizations of H contracts by members in plans with a formulary.
 
     A plan with two formularies counts its members twice.
@@ -171,7 +171,7 @@ def global_stats(t: Tables) -> DataFrame:
     ).withColumn("total_drugs", drugs)
 
 
-def top_contracts(t: Tables, limit: int | None = 15, area: str | None = None) -> DataFrame:
+def top_contracts(t: Tables, limit: int | None = None, area: str | None = None) -> DataFrame:
     """Contracts with the most plans, in a county or state if given."""
     rows = t["plan_information"] if area is None else plans_in_area(t, area)
     offered = collapse_rows(
@@ -186,7 +186,7 @@ def top_contracts(t: Tables, limit: int | None = 15, area: str | None = None) ->
     return counted if limit is None else counted.limit(limit)
 
 
-def contract_comparison(t: Tables, limit: int | None = 20) -> DataFrame:
+def contract_comparison(t: Tables, limit: int | None = None) -> DataFrame:
     """Contracts by distinct plan ids, one name per contract."""
     offered = collapse_rows(
         t["plan_information"], "contract_id", "contract_name", "plan_id", "formulary_id", "state"
@@ -209,7 +209,7 @@ def contract_types(t: Tables) -> DataFrame:
     )
 
 
-def contract_offerings(t: Tables, limit: int | None = 10) -> DataFrame:
+def contract_offerings(t: Tables, limit: int | None = None) -> DataFrame:
     """Contracts by plan x county rows."""
     counted = t["plan_information"].groupBy("contract_id").agg(
         F.count("*").alias("plan_count")

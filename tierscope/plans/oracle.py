@@ -103,7 +103,7 @@ FROM (SELECT DISTINCT e.parent_organization, e.organization_marketing_name, e.co
         ON p.contract_id = e.contract_number AND p.plan_id = e.plan_id
       WHERE e.contract_number LIKE 'H%' AND p.formulary_id IS NOT NULL
         AND e.enrollment IS NOT NULL AND e.parent_organization IS NOT NULL)
-GROUP BY 1 ORDER BY total_enrollment DESC, parent_organization LIMIT 100""",
+GROUP BY 1 ORDER BY total_enrollment DESC, parent_organization""",
     "org_plans": f"""
 SELECT e.contract_number, e.plan_id, e.contract_number || '-' || e.plan_id AS plan_full_id,
        e.parent_organization, e.organization_marketing_name, e.plan_name,
@@ -149,7 +149,7 @@ SELECT d.rxcui, d.ndc, d.tier_level_value AS tier, d.{PA} AS prior_auth, d.{ST}
 FROM (SELECT DISTINCT rxcui, ndc, tier_level_value, {PA}, {ST}, {QL} FROM formulary_drugs
       WHERE formulary_id = {FID} AND tier_level_value = {P.TIER}) d
 LEFT JOIN tier_price t ON t.ndc = d.ndc CROSS JOIN tier_rule r
-ORDER BY negotiated_cost DESC, d.ndc, d.rxcui LIMIT 500""",
+ORDER BY negotiated_cost DESC, d.ndc, d.rxcui""",
     "sample_key": f"SELECT MIN(plan_key) AS k FROM plan_information WHERE formulary_id = {FID}",
     "dosage": r"""
 SELECT rxcui, CASE
@@ -382,12 +382,12 @@ FROM plans p WHERE NOT EXISTS (SELECT 1 FROM plan_enrollment e
     "MAX(contract_name) AS parent_org, COUNT(*) AS plan_count, COUNT(DISTINCT state) AS state_count "
     "FROM plan_information WHERE formulary_id IS NOT NULL AND contract_name LIKE '%NATION_1%' GROUP BY 1",
     "formulary_orgs": "SELECT formulary_id, COUNT(DISTINCT contract_name) AS org_count, "
-    "string_agg(DISTINCT left(contract_name, 30), ', ' ORDER BY left(contract_name, 30)) AS organizations, "
+    "string_agg(DISTINCT contract_name, ', ' ORDER BY contract_name) AS organizations, "
     "COUNT(*) AS plan_count FROM plan_information WHERE formulary_id IS NOT NULL GROUP BY 1",
-    "org_prefixes": "SELECT DISTINCT left(contract_name, 30) AS org FROM plan_information "
+    "org_prefixes": "SELECT DISTINCT contract_name AS org, contract_name AS shown FROM plan_information "
     "WHERE contract_name IS NOT NULL",
     "formularies_of_org": f"SELECT DISTINCT formulary_id FROM plan_information "
-    f"WHERE left(contract_name, 30) = '{P.ORG_PREFIX}'",
+    f"WHERE contract_name = '{P.ORG_NAME}'",
     "formulary_parent": "SELECT contract_id, parent_org, COUNT(DISTINCT contract_name) AS entity_count "
     "FROM parent GROUP BY contract_id, parent_org, contract_name "
     "ORDER BY COUNT(*) DESC, contract_id, parent_org LIMIT 1",
@@ -402,7 +402,7 @@ FROM plans p WHERE NOT EXISTS (SELECT 1 FROM plan_enrollment e
     f"{dbl('bc.cost_amt_pref')} AS retail_cost_amt, CAST(NULL AS INTEGER) AS mail_cost_type, "
     "CAST(NULL AS DOUBLE) AS mail_cost_amt, bc.tier_specialty_yn FROM beneficiary_costs bc "
     f"JOIN plan_information p ON p.plan_key = bc.plan_key WHERE p.formulary_id = {FID} "
-    "AND bc.coverage_level = 1 ORDER BY bc.plan_key, bc.tier, bc.days_supply LIMIT 10",
+    "AND bc.coverage_level = 1 ORDER BY bc.plan_key, bc.tier, bc.days_supply",
     "specialty_counts": f"SELECT COUNT(DISTINCT rxcui) AS specialty_drug_count, "
     f"{rows_if(PA + " = 'Y'")} AS specialty_pa_count FROM formulary_drugs "
     f"WHERE formulary_id = {FID} AND tier_level_value IN (5, 6)",
@@ -421,11 +421,11 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     f"{rows_if(PA + " = 'Y'")} AS specialty_pa_count, "
     f"{pct0(f"COUNT(*) FILTER (WHERE {PA} = 'Y')", 'COUNT(DISTINCT rxcui)')} AS pa_pct "
     f"FROM formulary_drugs WHERE formulary_id = {FID} AND tier_level_value IN (5, 6)",
-    "formulary_drugs_list": f"{DRUG_LIST} ORDER BY tier, rxcui, ndc LIMIT 1000",
+    "formulary_drugs_list": f"{DRUG_LIST} ORDER BY tier, rxcui, ndc",
     "formulary_drugs_list_specialty": f"{DRUG_LIST} AND tier_level_value IN (5, 6) "
-    "ORDER BY tier, rxcui, ndc LIMIT 1000",
+    "ORDER BY tier, rxcui, ndc",
     "formulary_drugs_list_tier": f"{DRUG_LIST} AND tier_level_value = {P.TIER} "
-    "ORDER BY tier, rxcui, ndc LIMIT 1000",
+    "ORDER BY tier, rxcui, ndc",
     "formulary_states": f"SELECT state, COUNT(DISTINCT plan_id) AS plan_count, {avg('premium')} AS avg_premium, "
     f"{avg('deductible')} AS avg_deductible FROM plan_information WHERE formulary_id = {FID} GROUP BY 1",
     "formulary_overview": f"SELECT {FID} AS formulary_id, COUNT(DISTINCT p.plan_key) AS plans_using, "
@@ -435,7 +435,7 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     f"LEFT JOIN formulary_drugs d ON d.formulary_id = p.formulary_id WHERE p.formulary_id = {FID}",
     "formulary_plans": PLAN_LIST,
     "formulary_plans_first": f"{PLAN_LIST} ORDER BY p.premium NULLS LAST, p.deductible NULLS LAST, "
-    "p.plan_key LIMIT 20",
+    "p.plan_key",
     "formulary_plan_rows": f"SELECT contract_name AS parent_organization, contract_id, plan_id, plan_name, "
     f"{dbl('premium')} AS premium, {dbl('deductible')} AS deductible, state, snp AS snp_type "
     f"FROM plan_information WHERE formulary_id = {FID}",
@@ -443,7 +443,7 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     f"{avg('deductible')} AS avg_deductible, COUNT(DISTINCT state) AS state_count "
     f"FROM plan_information WHERE formulary_id = {FID}",
     "formulary_parent_orgs": f"SELECT contract_name, COUNT(*) AS plan_count FROM plan_information "
-    f"WHERE formulary_id = {FID} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    f"WHERE formulary_id = {FID} GROUP BY 1 ORDER BY 2 DESC, 1",
     "tier_summary": f"SELECT tier_level_value AS tier, "
     f"{names('tier_level_value', S.TIER_NAMES, "'Other'")} AS tier_name, COUNT(*) AS drug_count, "
     f"{rows_if(PA + " = 'Y'")} AS with_prior_auth, {rows_if(QL + " = 'Y'")} AS with_qty_limits, "
@@ -466,7 +466,7 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     "formulary_sizes": "SELECT formulary_id, COUNT(DISTINCT ndc) AS total_drugs, "
     "COUNT(DISTINCT ndc) FILTER (WHERE tier_level_value = 5) AS specialty_drugs, "
     f"{pct('COUNT(DISTINCT ndc) FILTER (WHERE tier_level_value = 5)', 'COUNT(DISTINCT ndc)')} AS pct_specialty "
-    "FROM formulary_drugs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "FROM formulary_drugs GROUP BY 1 ORDER BY 2 DESC, 1",
     "restrictiveness": "SELECT d.formulary_id, COUNT(DISTINCT d.ndc) AS total_drugs, "
     "COUNT(DISTINCT d.ndc) FILTER (WHERE d.tier_level_value = 5) AS specialty_drugs, "
     + ", ".join(
@@ -512,21 +512,21 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     "COUNT(DISTINCT contract_name) AS total_organizations, "
     "(SELECT COUNT(DISTINCT rxcui) FROM formulary_drugs) AS total_drugs FROM plan_information",
     "top_contracts": f"SELECT contract_id, contract_name, COUNT(DISTINCT plan_key) AS plans, {ORG_COUNTS} "
-    "FROM plan_information GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15",
+    "FROM plan_information GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2",
     "top_contracts_in_area": f"SELECT contract_id, contract_name, COUNT(DISTINCT plan_key) AS plans, {ORG_COUNTS} "
-    f"FROM plan_information {AREA} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15",
+    f"FROM plan_information {AREA} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2",
     "contract_comparison": f"SELECT contract_id, MIN(contract_name) AS contract_name, "
-    f"COUNT(DISTINCT plan_id) AS plans, {ORG_COUNTS} FROM plan_information GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20",
+    f"COUNT(DISTINCT plan_id) AS plans, {ORG_COUNTS} FROM plan_information GROUP BY 1 ORDER BY 3 DESC, 1",
     "contract_types": "SELECT substr(contract_id, 1, 1) AS contract_type, COUNT(DISTINCT contract_id) AS contracts "
     "FROM plan_information GROUP BY 1",
     "contract_offerings": "SELECT contract_id, COUNT(*) AS plan_count FROM plan_information GROUP BY 1 "
-    "ORDER BY 2 DESC, 1 LIMIT 10",
+    "ORDER BY 2 DESC, 1",
     # geography
     "plans_in_area_county": f"SELECT {PLAN_ROW} FROM plan_information WHERE county_code = {CNTY}",
     "plans_in_area_state": f"SELECT {PLAN_ROW} FROM plan_information {AREA}",
     "county_name": f"SELECT state_name, county_name FROM geographic_locator WHERE county_code = {CNTY}",
     "area_plan_count": f"SELECT COUNT(DISTINCT plan_key) AS plans FROM plan_information {AREA}",
-    "area_plans": f"{AREA_PLANS} WHERE county_code = {CNTY} {AREA_ORDER} LIMIT 30",
+    "area_plans": f"{AREA_PLANS} WHERE county_code = {CNTY} {AREA_ORDER}",
     "area_plans_first": f"{AREA_PLANS} {AREA} {AREA_ORDER} LIMIT 10",
     "area_premium_stats": f"SELECT COUNT(DISTINCT plan_key) AS total_plans, {rnd(avg('premium'), 2)} AS avg_premium, "
     f"{dbl('MIN(premium)')} AS min_premium, {dbl('MAX(premium)')} AS max_premium, "
@@ -536,7 +536,7 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     "COUNT(DISTINCT d.ndc) AS total_drugs, "
     "COUNT(DISTINCT d.ndc) FILTER (WHERE d.tier_level_value = 5) AS specialty_drugs FROM plan_information p "
     f"LEFT JOIN formulary_drugs d ON d.formulary_id = p.formulary_id WHERE p.state = '{P.STATE}' GROUP BY 1 "
-    "ORDER BY 2 DESC, 1 NULLS LAST LIMIT 10",
+    "ORDER BY 2 DESC, 1 NULLS LAST",
     "area_snp": f"SELECT {names('snp', S.SNP_NAMES, "'Other'")} AS plan_type, "
     f"COUNT(DISTINCT plan_key) AS plan_count FROM plan_information {AREA} GROUP BY snp",
     "county_plans": f"SELECT p.contract_id, c.contract_name, p.plan_id, p.plan_name, {dbl('p.premium')} AS premium, "
@@ -547,8 +547,8 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     f"{dbl('min_premium')} AS min_premium, {dbl('max_premium')} AS max_premium FROM county "
     f"WHERE county_code = {CNTY}",
     "county_competition": f"{COMPETITION} WHERE state_name = '{P.STATE_NAME}' "
-    "ORDER BY plan_count DESC, county_code LIMIT 20",
-    "county_competition_all": f"{COMPETITION} ORDER BY plan_count DESC, county_code LIMIT 20",
+    "ORDER BY plan_count DESC, county_code",
+    "county_competition_all": f"{COMPETITION} ORDER BY plan_count DESC, county_code",
     # drugs
     "drug_overview": "SELECT ndc, rxcui, COUNT(DISTINCT formulary_id) AS formularies_covering, "
     f"COUNT(*) AS total_entries FROM formulary_drugs WHERE ndc = {NDC} GROUP BY 1, 2",
@@ -560,28 +560,27 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     "drug_plans": f"SELECT DISTINCT p.contract_id, p.plan_id, p.plan_name, d.tier_level_value AS tier, d.formulary_id, "
     f"{dbl('p.premium')} AS premium, d.{PA} AS pa, d.{QL} AS qty_limit FROM formulary_drugs d "
     f"JOIN plan_information p ON p.formulary_id = d.formulary_id WHERE d.ndc = {NDC} "
-    "ORDER BY premium NULLS LAST, contract_id, plan_id LIMIT 20",
+    "ORDER BY premium NULLS LAST, contract_id, plan_id",
     "drug_cost_samples": """
 SELECT contract_id, plan_id, tier, CASE kind WHEN 0 THEN printf('$%.2f copay', amt::DOUBLE)
     WHEN 1 THEN printf('%.0f%% coinsurance', amt::DOUBLE * 100) || COALESCE(printf(' (max $%.2f)', cap::DOUBLE), '')
     ELSE 'No charge' END AS cost_text
 FROM (SELECT DISTINCT p.plan_key, p.contract_id, p.plan_id, d.tier_level_value AS tier
       FROM plan_information p JOIN formulary_drugs d USING (formulary_id) WHERE d.ndc = """ + NDC + """
-      ORDER BY plan_key, tier LIMIT 5) JOIN rules1 USING (plan_key, tier)""",
+      ORDER BY plan_key, tier) JOIN rules1 USING (plan_key, tier)""",
     "specialty_coverage_rows": "SELECT ndc, rxcui, COUNT(DISTINCT formulary_id) AS formulary_count, "
     f"{rows_if(PA + " = 'Y'")} AS pa_required_count FROM formulary_drugs WHERE tier_level_value = 5 "
-    "GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15",
+    "GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2",
     "specialty_coverage": "SELECT ndc, COUNT(DISTINCT formulary_id) AS formulary_count, "
     f"COUNT(DISTINCT formulary_id) FILTER (WHERE {PA} = 'Y') AS pa_required_count, "
     f"COUNT(DISTINCT formulary_id) FILTER (WHERE {QL} = 'Y') AS qty_limit_count FROM formulary_drugs "
-    "WHERE tier_level_value = 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
+    "WHERE tier_level_value = 5 GROUP BY 1 ORDER BY 2 DESC, 1",
     "drug_dosages": "SELECT * FROM dosage",
     "group_ndcs": "SELECT * FROM gndc",
     "priority_sort": "SELECT rxcui, ndc, negotiated_cost FROM tier_page ORDER BY "
-    f"CASE WHEN rxcui IN ({', '.join(map(str, P.PRIORITY))}) THEN 0 ELSE 1 END, negotiated_cost DESC, ndc, rxcui LIMIT 50",
-    "with_drug_name": f"SELECT d.rxcui, d.ndc, COALESCE(n.description, 'RxCUI ' || d.rxcui) AS drug_name "
-    "FROM formulary_drugs d LEFT JOIN (SELECT * FROM drug_names WHERE contains(description, 'Oral Tablet')) n "
-    f"ON n.rxcui = d.rxcui WHERE d.formulary_id = {FID} AND d.tier_level_value = 5",
+    f"CASE WHEN rxcui IN ({', '.join(map(str, P.PRIORITY))}) THEN 0 ELSE 1 END, negotiated_cost DESC, ndc, rxcui",
+    "with_drug_name": "SELECT d.rxcui, d.ndc, COALESCE(n.description, 'RxCUI ' || d.rxcui) AS drug_name "
+    "FROM (SELECT DISTINCT rxcui, ndc FROM formulary_drugs) d LEFT JOIN drug_names n ON n.rxcui = d.rxcui",
     # costs
     "county_drug_costs": f"""
 SELECT s.ndc, s.contract_id, s.plan_id, (SELECT c.contract_name FROM contracts c WHERE c.contract_id = s.contract_id)
@@ -631,9 +630,8 @@ SELECT d.rxcui, d.ndc, d.tier, d.restrictions, {avg('dp.unit_cost')} AS avg_unit
        {dbl('MIN(dp.unit_cost)')} AS min_unit_cost, {dbl('MAX(dp.unit_cost)')} AS max_unit_cost,
        COUNT(DISTINCT dp.plan_key) AS plan_count
 FROM ({GROUPS}) d JOIN drug_pricing dp ON dp.ndc = d.ndc
-WHERE dp.plan_key IN (SELECT plan_key FROM (SELECT plan_key FROM plan_information WHERE formulary_id = {FID}
-  ORDER BY contract_name, plan_name, plan_key, county_code LIMIT 5))
-GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier LIMIT 100""",
+WHERE dp.plan_key IN (SELECT plan_key FROM plan_information WHERE formulary_id = {FID})
+GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier""",
     "format_money": "SELECT contract_id, printf('$%.2f', min_cost) AS min_cost, "
     f"printf('$%.2f', max_cost) AS max_cost FROM ({CONTRACT_COSTS})",
     # drug classes
@@ -664,9 +662,9 @@ GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier LIMIT 10
     "regexp_matches(UPPER(contract_name), 'NATION_1|AETNA') GROUP BY 1",
     "fill_companies": "SELECT s.state, c.company, COALESCE(x.plans, 0) AS plans "
     "FROM (SELECT DISTINCT p.state FROM cp JOIN plan_information p ON p.plan_key = cp.plan_key "
-    "WHERE cp.company <> 'Humana') s CROSS JOIN company c "
+    ") s CROSS JOIN company c "
     "LEFT JOIN (SELECT p.state, cp.company, COUNT(DISTINCT cp.plan_key) AS plans FROM cp "
-    "JOIN plan_information p ON p.plan_key = cp.plan_key WHERE cp.company <> 'Humana' GROUP BY 1, 2) x "
+    "JOIN plan_information p ON p.plan_key = cp.plan_key GROUP BY 1, 2) x "
     "ON x.state = s.state AND x.company = c.company",
     "pivot_companies": PIVOT,
     "nest_companies": "SELECT * FROM coverage",

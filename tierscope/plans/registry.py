@@ -212,10 +212,10 @@ def _nest_companies(t: Tables) -> DataFrame:
 
 
 def _fill_companies(t: Tables) -> DataFrame:
-    """Contract counts per state of the companies present, filled to all companies."""
+    """Plan counts per state of the companies present, filled to all companies."""
     present = landscape.company_plans(t).join(
         t["plan_information"].select("plan_key", "state").distinct(), "plan_key"
-    ).where(F.col("company") != "Humana").groupBy("state", "company").agg(
+    ).groupBy("state", "company").agg(
         F.countDistinct("plan_key").alias("plans")
     )
     return landscape.fill_companies(present, ["state"])
@@ -232,17 +232,13 @@ def _format_money(t: Tables) -> DataFrame:
 
 
 def _priority_sort(t: Tables) -> DataFrame:
-    ranked = drugs.priority_sort(
-        costs.tier_drugs_priced(t, P.FORMULARY, P.TIER), P.PRIORITY
-    ).limit(50)
+    ranked = drugs.priority_sort(costs.tier_drugs_priced(t, P.FORMULARY, P.TIER), P.PRIORITY)
     return ranked.select("rxcui", "ndc", "negotiated_cost")
 
 
 def _with_drug_name(t: Tables) -> DataFrame:
-    """Names known for tablets only, so that the fallback is reached."""
-    named = t["drug_names"].where(F.col("description").contains("Oral Tablet"))
-    rows = formulary.specialty_drugs(t, P.FORMULARY).select("rxcui", "ndc")
-    return drugs.with_drug_name(rows, named)
+    rows = t["formulary_drugs"].select("rxcui", "ndc").distinct()
+    return drugs.with_drug_name(rows, t["drug_names"])
 
 
 def _describe(table: str, column: str) -> Build:
@@ -296,7 +292,7 @@ QUERIES: dict[str, Build] = {
     "formulary_list_of_org": lambda t: formulary.formulary_list(t, P.ORG_PART),
     "formulary_orgs": formulary.formulary_orgs,
     "org_prefixes": formulary.org_prefixes,
-    "formularies_of_org": lambda t: formulary.formularies_of_org(t, P.ORG_PREFIX),
+    "formularies_of_org": lambda t: formulary.formularies_of_org(t, P.ORG_NAME),
     "formulary_parent": lambda t: formulary.formulary_parent(t, FID),
     "tier_drug_counts": lambda t: formulary.tier_drug_counts(t, FID),
     "restriction_counts": lambda t: formulary.restriction_counts(t, FID),

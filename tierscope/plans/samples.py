@@ -6,7 +6,7 @@ STATE = "AS"
 STATE_NAME = "ASIA"
 CONTRACT = "H0005"
 ORGANIZATION = "Humana Inc."
-ORG_PREFIX = "NATION_3"
+ORG_NAME = "NATION_3"
 ORG_PART = "NATION_1"
 COMPANY_NAMES = ("Nation_1", "Aetna")
 SEARCH = "health"
