@@ -119,21 +119,61 @@ def test_drug_name_dictionary(spark, tmp_path):
     assert rows == {(1, "a 5 MG"), (22, "b"), (None, "no number")}
 
 
-def test_append_takes_each_file_once(spark, tmp_path):
-    source, target, state = (str(tmp_path / x) for x in ("in", "table", "state"))
-    write(tmp_path / "in" / "a.txt", PRICE_HEADER, "H1|1|0|01|30|2.5", "H1|1|0|01|60|bad")
-    assert append_pricing(spark, source, target, state).count() == 2
-    assert append_pricing(spark, source, target, state).count() == 2
+def test_append_adds_each_file_once_to_what_was_ingested(spark, tmp_path):
+    source, root, state = (str(tmp_path / x) for x in ("in", "tables", "state"))
+    first = write(tmp_path / "first.txt", PRICE_HEADER, "H1|1|0|01|30|2.5", "H1|1|0|02|30|1234567.5")
+    sinks.ingest(spark, {"drug_pricing": first}, root, 2025)
+    args = (spark, source, root, 2025, state)
+    write(tmp_path / "in" / "a.txt", PRICE_HEADER, "H1|1|0|03|30|2.5", "H1|1|0|01|60|bad")
+    assert append_pricing(*args).count() == 4
+    assert append_pricing(*args).count() == 4
     write(tmp_path / "in" / "b.txt", PRICE_HEADER, "H1|1||02|90|7")
     rows = sorted(
         (r["ndc"], r["days_supply"], r["unit_cost"], r["plan_key"])
-        for r in append_pricing(spark, source, target, state).collect()
+        for r in append_pricing(*args).collect()
     )
     assert rows == [
         ("01", 30, Decimal("2.5000"), "H1|1|0"),
         ("01", 60, None, "H1|1|0"),
+        ("02", 30, Decimal("1234567.5000"), "H1|1|0"),
         ("02", 90, Decimal("7.0000"), None),
+        ("03", 30, Decimal("2.5000"), "H1|1|0"),
     ]
+    table = tables.load_table(spark, root, "drug_pricing")
+    assert table.count() == 5 and "batch" not in table.columns
+    wanted = table.where("year = 2025 AND days_supply = 60")
+    shown = wanted._jdf.queryExecution().toString()
+    assert "days_supply#" in shown.split("PartitionFilters: [")[1].split("]")[0]
+    sinks.ingest(spark, {"drug_pricing": first}, root, 2025)  # the year anew
+    assert tables.load_table(spark, root, "drug_pricing").count() == 2
+
+
+def test_a_batch_may_be_written_again(spark, tmp_path, make):
+    path = str(tmp_path / "year=2025")
+    rows = make("drug_pricing", {"plan_key": "P", "ndc": "1", "days_supply": 30, "unit_cost": 1})
+    sinks.write_pricing(rows, path)
+    for _ in range(2):
+        assert sinks.write_pricing(rows, path, "b-0").count() == 2
+
+
+def test_exchanged_columns_are_refused(spark, tmp_path):
+    write(tmp_path / "in" / "a.txt", "A|B", "1|2")
+    write(tmp_path / "in" / "b.txt", "B|A", "3|4")
+    for columns in (None, ["a", "b"]):
+        with pytest.raises(Exception, match="header"):
+            text.read_pipe(spark, str(tmp_path / "in"), columns).collect()
+
+
+def test_folders_of_archives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        with zipfile.ZipFile(tmp_path / "in" / f"{i}.ZIP", "w") as archive:
+            archive.writestr("p.txt", f"{PRICE_HEADER}\nH1|1|0|0{i}|30|2.5\n")
+    written = sinks.ingest(spark, {"drug_pricing": str(tmp_path / "in")}, str(tmp_path / "out"), 2025)
+    assert sorted(r["ndc"] for r in written["drug_pricing"].collect()) == ["00", "01"]
+    write(tmp_path / "in" / "c.txt", PRICE_HEADER)
+    with pytest.raises(ValueError, match="other files"):
+        sinks.ingest(spark, {"drug_pricing": str(tmp_path / "in")}, str(tmp_path / "out"), 2025)
 
 
 def test_ingest_two_years_and_load_one(spark, tmp_path):

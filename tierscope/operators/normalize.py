@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,3 +101,25 @@ def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataF
     for column in on:
         rows = rows.where(F.col(column).isNotNull())
     return rows.join(parent_keys, condition, "left_anti")
+
+
+def declared_keys(t: Tables) -> DataFrame:
+    """Of each declared key: how many of its values are held by more than one row."""
+    checks = [
+        duplicate_keys(t[table], keys).agg(F.count("*").alias("repeated")).select(
+            F.lit(table).alias("table_name"), "repeated"
+        )
+        for table, keys in S.UNIQUE_KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def declared_references(t: Tables) -> DataFrame:
+    """Of each declared reference: how many rows name something that doesn't exist."""
+    checks = [
+        orphans(t[child], t[parent], {column: key}).agg(F.count("*").alias("orphans")).select(
+            F.lit(f"{child}.{column}").alias("reference"), "orphans"
+        )
+        for child, column, parent, key in S.REFERENCES
+    ]
+    return reduce(DataFrame.unionByName, checks)

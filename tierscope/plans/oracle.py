@@ -345,11 +345,11 @@ BODIES: dict[str, str] = {
     "append_pricing": f"SELECT plan_key, ndc, days_supply, {dbl('unit_cost')} AS unit_cost, "
     "split_part(plan_key, '|', 1) AS contract_id, split_part(plan_key, '|', 2) AS plan_id FROM drug_pricing",
     "ingest_report": report(*ALL_TABLES),
-    "load_tables": report(
-        "plan_information", "geographic_locator", "formulary_drugs", "beneficiary_costs",
-        ("drug_pricing", "0"),
-    ),
-    "snapshot": report(*[(n, "0") if n == "drug_pricing" else n for n in ALL_TABLES]),
+    "load_tables": "SELECT * FROM formulary_drugs",
+    "load_tables_costs": f"SELECT plan_key, coverage_level, tier, days_supply, cost_type_pref, "
+    f"{dbl('cost_amt_pref')} AS cost_amt_pref, {dbl('cost_max_amt_pref')} AS cost_max_amt_pref, "
+    "tier_specialty_yn FROM beneficiary_costs",
+    "snapshot": "SELECT plan_key, county_code, formulary_id, CAST(NULL AS DOUBLE) AS premium FROM plan_information",
     "read_drug_names": "SELECT * FROM drug_names",
     "export_csv": GROUPS,
     "to_records": """
@@ -369,6 +369,26 @@ SELECT plan_key, contract_id, plan_id, segment_id, plan_name, formulary_id, {dbl
        {dbl('deductible')} AS deductible, snp_type, {NULL_TEXT} AS plan_suppressed_yn
 FROM plans p WHERE NOT EXISTS (SELECT 1 FROM plan_enrollment e
   WHERE e.contract_number = p.contract_id AND e.plan_id = p.plan_id)""",
+    "declared_keys": """
+SELECT 'geographic_locator' AS table_name, COUNT(*) AS repeated
+FROM (SELECT county_code FROM geographic_locator GROUP BY ALL HAVING COUNT(*) > 1)
+UNION ALL SELECT 'drug_pricing', COUNT(*)
+FROM (SELECT plan_key, ndc, days_supply FROM drug_pricing GROUP BY ALL HAVING COUNT(*) > 1)
+UNION ALL SELECT 'beneficiary_costs', COUNT(*) FROM (
+  SELECT plan_key, coverage_level, tier, days_supply FROM beneficiary_costs GROUP BY ALL HAVING COUNT(*) > 1)""",
+    "declared_references": " UNION ALL ".join(
+        f"SELECT '{child}.{c}' AS reference, COUNT(*) AS orphans FROM {child} "
+        f"WHERE {c} NOT IN (SELECT {p} FROM {parent} WHERE {p} IS NOT NULL)"
+        for child, c, parent, p in (
+            ("plan_information", "county_code", "geographic_locator", "county_code"),
+            ("plan_information", "formulary_id", "formulary_drugs", "formulary_id"),
+            ("plan_enrollment", "contract_number", "plan_information", "contract_id"),
+            ("beneficiary_costs", "plan_key", "plan_information", "plan_key"),
+            ("drug_pricing", "plan_key", "plan_information", "plan_key"),
+            ("drug_pricing", "ndc", "formulary_drugs", "ndc"),
+            ("formulary_drugs", "rxcui", "drug_names", "rxcui"),
+        )
+    ),
     # summaries
     "formulary_summary": f"SELECT formulary_id, {NULL_TEXT} AS formulary_version, total_drugs, "
     "specialty_drugs, plans_using FROM fsum",

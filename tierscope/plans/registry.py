@@ -135,39 +135,46 @@ def _write_pricing(t: Tables) -> DataFrame:
 
 
 def _append_pricing(t: Tables) -> DataFrame:
-    """Two deliveries and three runs: the first delivery's files are taken in once."""
+    """One supply ingested, the others appended in two deliveries and three runs, all loaded."""
     spark, root = _spark(t), scratch_path(_spark(t), "append")
     parts = F.split("plan_key", r"\|")
     delivered = t["drug_pricing"].select(
         *[parts[i].alias(name) for i, name in enumerate(S.PLAN_KEY_PARTS)],
         "ndc", "days_supply", "unit_cost",
     )
-    args = (spark, f"{root}/in/*", f"{root}/table", f"{root}/checkpoint")
-    _deliver(delivered.where(F.col("days_supply") == 30), f"{root}/in/first")
+    first = _deliver(delivered.where(F.col("days_supply") == 30), f"{root}/first")
+    sinks.ingest(spark, {"drug_pricing": first}, f"{root}/tables", 2025)
+    args = (spark, f"{root}/in/*", f"{root}/tables", 2025, f"{root}/checkpoint")
+    _deliver(delivered.where(F.col("days_supply") == 60), f"{root}/in/second")
     append_pricing(*args)
     append_pricing(*args)
-    _deliver(delivered.where(F.col("days_supply") != 30), f"{root}/in/second")
+    _deliver(delivered.where(~F.col("days_supply").isin(30, 60)), f"{root}/in/third")
     return append_pricing(*args)
 
 
-def _ingest(t: Tables) -> DataFrame:
-    """Text to typed tables and back through the catalog; pricing is not delivered."""
-    spark, root = _spark(t), scratch_path(_spark(t), "ingest")
-    required = ("plan_information", "geographic_locator", "formulary_drugs", "beneficiary_costs")
-    sources = {name: _deliver(t[name], f"{root}/text/{name}") for name in required}
-    sinks.ingest(spark, sources, f"{root}/tables", 2025)
-    loaded = tables.load_tables(spark, f"{root}/tables", 2025)
-    return tables.ingest_report({name: loaded[name] for name in (*required, "drug_pricing")})
+def _load_tables(name: str, *columns: str) -> Build:
+    """A table's text to typed Parquet and back through the catalog."""
+
+    def build(t: Tables) -> DataFrame:
+        spark, root = _spark(t), scratch_path(_spark(t), "ingest")
+        required = (
+            "plan_information", "geographic_locator", "formulary_drugs", "beneficiary_costs",
+        )
+        sources = {table: _deliver(t[table], f"{root}/text/{table}") for table in required}
+        sinks.ingest(spark, sources, f"{root}/tables", 2025)
+        loaded = tables.load_tables(spark, f"{root}/tables", 2025)
+        return loaded[name].select(*columns)
+
+    return build
 
 
 def _snapshot(t: Tables) -> DataFrame:
-    """Two years of every table except pricing and enrollment, seen as of the second."""
-    years = {
-        name: df.withColumn("year", F.explode(F.array(F.lit(2025), F.lit(2026))))
-        if name not in ("drug_pricing", "plan_enrollment") else df.withColumn("year", F.lit(2025))
-        for name, df in t.items()
-    }
-    return tables.ingest_report(tables.snapshot(years, 2026))
+    """Plans of two years, the second without a premium, as of the second."""
+    plans = t["plan_information"].withColumn("year", F.explode(F.array(F.lit(2025), F.lit(2026))))
+    later = F.when(F.col("year") == 2025, F.col("premium"))
+    return tables.snapshot({"plan_information": plans.withColumn("premium", later)}, 2026)[
+        "plan_information"
+    ].select("plan_key", "county_code", "formulary_id", "premium")
 
 
 def _read_drug_names(t: Tables) -> DataFrame:
@@ -265,7 +272,14 @@ QUERIES: dict[str, Build] = {
     "write_pricing": _write_pricing,
     "append_pricing": _append_pricing,
     "ingest_report": lambda t: tables.ingest_report(t),
-    "load_tables": _ingest,
+    "load_tables": _load_tables(
+        "formulary_drugs", "formulary_id", "rxcui", "ndc", "tier_level_value", "quantity_limit_yn",
+        "quantity_limit_amount", "quantity_limit_days", "prior_authorization_yn", "step_therapy_yn",
+    ),
+    "load_tables_costs": _load_tables(
+        "beneficiary_costs", "plan_key", "coverage_level", "tier", "days_supply", "cost_type_pref",
+        "cost_amt_pref", "cost_max_amt_pref", "tier_specialty_yn",
+    ),
     "snapshot": _snapshot,
     "read_drug_names": _read_drug_names,
     "export_csv": _export_csv,
@@ -282,6 +296,8 @@ QUERIES: dict[str, Build] = {
         normalize.plans(t), t["plan_enrollment"],
         {"contract_id": "contract_number", "plan_id": "plan_id"},
     ),
+    "declared_keys": normalize.declared_keys,
+    "declared_references": normalize.declared_references,
     # summaries
     "formulary_summary": summaries.formulary_summary,
     "county_plan_summary": summaries.county_plan_summary,

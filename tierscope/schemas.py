@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 STR, INT, LONG = T.StringType(), T.IntegerType(), T.LongType()
 MONEY = T.DecimalType(10, 2)
 RATE = T.DecimalType(10, 4)
+PRICE = T.DecimalType(18, 4)
 
 
 def _struct(**columns: T.DataType) -> T.StructType:
@@ -38,7 +39,7 @@ FORMULARY_DRUGS = _struct(
     quantity_limit_days=INT, prior_authorization_yn=STR, step_therapy_yn=STR,
 )
 DRUG_PRICING = _struct(
-    plan_key=STR, ndc=STR, days_supply=INT, unit_cost=RATE, contract_id=STR, plan_id=STR,
+    plan_key=STR, ndc=STR, days_supply=INT, unit_cost=PRICE, contract_id=STR, plan_id=STR,
 )
 BENEFICIARY_COSTS = _struct(
     plan_key=STR, coverage_level=INT, tier=INT, days_supply=INT,
@@ -93,6 +94,17 @@ UNIQUE_KEYS = {
     "beneficiary_costs": ["plan_key", "coverage_level", "tier", "days_supply"],
 }
 
+# Declared references: child table and column, parent table and column.
+REFERENCES = (
+    ("plan_information", "county_code", "geographic_locator", "county_code"),
+    ("plan_information", "formulary_id", "formulary_drugs", "formulary_id"),
+    ("plan_enrollment", "contract_number", "plan_information", "contract_id"),
+    ("beneficiary_costs", "plan_key", "plan_information", "plan_key"),
+    ("drug_pricing", "plan_key", "plan_information", "plan_key"),
+    ("drug_pricing", "ndc", "formulary_drugs", "ndc"),
+    ("formulary_drugs", "rxcui", "drug_names", "rxcui"),
+)
+
 # Text that a delivered file uses for "missing".
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",

@@ -11,12 +11,19 @@ from pyspark.sql import types as T
 from tierscope.sources.text import LATIN1, prepare, read_pipe, read_pipe_zip
 
 MAX_RECORDS_PER_FILE = 20_000_000
+BATCH = "batch"  # directory level of the price table that tells deliveries apart
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=()) -> DataFrame:
-    """A table as snappy Parquet, read back lazily."""
-    writer = df.write.mode(mode).option("compression", "snappy").option(
-        "maxRecordsPerFile", MAX_RECORDS_PER_FILE
+def write_table(
+    df: DataFrame, path: str, mode: str = "overwrite", partition_by=(), own_parts: bool = False
+) -> DataFrame:
+    """A table as snappy Parquet, read back lazily.
+
+    With `own_parts`, overwriting replaces only the partitions that `df` has rows of.
+    """
+    writer = df.write.mode(mode).options(
+        compression="snappy", maxRecordsPerFile=MAX_RECORDS_PER_FILE,
+        partitionOverwriteMode="dynamic" if own_parts else "static",
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -24,18 +31,32 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     return df.sparkSession.read.parquet(path)
 
 
-def write_pricing(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Prices laid out for queries: partitioned by supply, clustered by drug.
+def write_pricing(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    """Prices of a year laid out for queries: partitioned by supply, clustered by drug.
 
     Queries ask for one supply and few drugs: the first prunes directories, the second
     leaves few files with a given drug. Ranges include the plan, so a drug with very
     many prices is spread over several tasks. Costs a sampling pass and a shuffle, which
     pays for a table that is read often.
+
+    Without a batch name the year is replaced. With one, only what that batch wrote before
+    is, so a batch may be written again; the others stay.
     """
-    ordered = df.repartitionByRange("days_supply", "ndc", "plan_key").sortWithinPartitions(
-        "days_supply", "ndc", "plan_key"
-    )
-    return write_table(ordered, path, mode, ["days_supply"])
+    named = df.withColumn(BATCH, F.lit(batch or "delivered"))
+    keys = ["days_supply", "ndc", "plan_key"]
+    ordered = named.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    parts = ["days_supply", BATCH]
+    return write_table(ordered, path, "overwrite", parts, own_parts=batch is not None).drop(BATCH)
+
+
+def _is_zip(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds ZIP archives; archives and other files together are refused."""
+    files = spark.read.format("binaryFile").load(path).select(F.lower("path").alias("path"))
+    zipped = F.col("path").endswith(".zip")
+    kinds = {row[0] for row in files.select(zipped).distinct().collect()}
+    if len(kinds) > 1:
+        raise ValueError(f"{path} holds ZIP archives and other files")
+    return kinds == {True}
 
 
 def ingest(
@@ -43,19 +64,18 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Reads delivered files and writes the typed table of each under root.
 
-    `sources` maps table names to paths of text, or of ZIP archives of text. Text becomes a
-    table in one job without a shuffle: every task turns its split into Parquet. Prices are
-    ordered by drug within a task, so a drug is found in few pages of each file. The year is
-    a partition directory; a second year adds to the first.
+    `sources` maps table names to paths of text, or of ZIP archives of text (files or folders).
+    Text becomes a table in one job without a shuffle: every task turns its split into Parquet.
+    Prices are written as `write_pricing` does. The year is a partition directory; a second
+    year adds to the first, the same year again replaces it, appended prices included.
     """
     written = {}
     for name, path in sources.items():
         encoding = LATIN1 if name == "drug_pricing" else "UTF-8"
-        read = read_pipe_zip if path.lower().endswith(".zip") else read_pipe
+        read = read_pipe_zip if _is_zip(spark, path) else read_pipe
         table = prepare(read(spark, path, encoding=encoding), name)
-        if name == "drug_pricing":
-            table = table.sortWithinPartitions("days_supply", "ndc", "plan_key")
-        written[name] = write_table(table, f"{root.rstrip('/')}/{name}/year={year}")
+        write = write_pricing if name == "drug_pricing" else write_table
+        written[name] = write(table, f"{root.rstrip('/')}/{name}/year={year}")
     return written
 
 

@@ -24,7 +24,7 @@ def load_tables(
     also temporary views, for spark.sql.
     """
     names = [*S.SCHEMAS, *S.TEXT_TABLES]
-    tables = {name: _load(spark, f"{root.rstrip('/')}/{name}", name) for name in names}
+    tables = {name: load_table(spark, root, name) for name in names}
     tables = {name: df for name, df in tables.items() if df is not None}
     if year is not None:
         tables = snapshot(tables, year)
@@ -33,13 +33,15 @@ def load_tables(
     return tables
 
 
-def _load(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    schema = S.SCHEMAS.get(name)
+def load_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """One table of all years; one without a fixed schema is None where not delivered."""
+    path, schema = f"{root.rstrip('/')}/{name}", S.SCHEMAS.get(name)
     try:
         if schema is None:
             return spark.read.parquet(path)
         # A fixed schema needs no job to look into the files. `year` is the partition.
-        return spark.read.schema(T.StructType([*schema.fields, YEAR])).parquet(path)
+        found = spark.read.schema(T.StructType([*schema.fields, YEAR])).parquet(path)
+        return found.select(*schema.names, "year")  # without further directory levels
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

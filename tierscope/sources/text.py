@@ -38,11 +38,12 @@ def read_pipe(
 
     The path may be any that Spark reads, object stores included; credentials come
     from the Spark configuration. With `columns` given in file order, no job runs to
-    look at the header.
+    look at the header. Each file's own header is compared with these, or with the first
+    file's: one with other columns, or in another order, is an error, not read by position.
     """
-    reader = spark.read.option("sep", "|").option("header", True).option("encoding", encoding)
+    reader = spark.read.options(sep="|", header=True, encoding=encoding, enforceSchema=False)
     if columns is not None:
-        reader = reader.schema(text_schema(columns)).option("enforceSchema", True)
+        reader = reader.schema(text_schema(columns))
     return reader.csv(path)
 
 

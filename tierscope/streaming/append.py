@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tierscope import schemas as S
+from tierscope.sources.sinks import write_pricing
+from tierscope.sources.tables import load_table
 from tierscope.sources.text import LATIN1, prepare, text_schema
 
 
 def append_pricing(
     spark: SparkSession,
     source: str,
-    target: str,
+    root: str,
+    year: int,
     checkpoint: str,
     encoding: str = LATIN1,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Adds the price files not yet taken in, each once, and returns the whole table.
+    """Adds the price files not yet taken in, each once, and returns the year's prices.
 
-    A run takes what has arrived and ends. The checkpoint remembers files, and the
-    Parquet sink's log makes a batch visible whole or not at all, so a run cut short is
-    simply repeated. Existing data is never rewritten.
+    Files are added to the table that `ingest` writes below root, in the same layout. A run
+    takes what has arrived and ends. The checkpoint remembers files; a batch has directories
+    of its own, which it writes anew if a run was cut short, so that nothing comes twice.
+    Other data is never rewritten. A file whose header has other columns, or in another
+    order, is an error.
     """
+    path = f"{root.rstrip('/')}/drug_pricing/year={year}"
+    label = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def take(batch: DataFrame, number: int) -> None:
+        write_pricing(prepare(batch, "drug_pricing"), path, f"{label}-{number}")
+
     files = (
         spark.readStream.schema(text_schema(S.POSITIONAL["drug_pricing"]))
-        .option("sep", "|").option("header", True).option("encoding", encoding)
+        .options(sep="|", header=True, encoding=encoding, enforceSchema=False)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source)
     )
     query = (
-        prepare(files, "drug_pricing")
-        .writeStream.format("parquet").outputMode("append")
-        .partitionBy("days_supply")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
+        files.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(S.DRUG_PRICING).parquet(target)
+    return load_table(spark, root, "drug_pricing").where(f"year = {year}").drop("year")
