@@ -91,11 +91,15 @@ def per_text(
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.disable()  # nothing here is cyclic, and large dicts are slow to visit
-        for batch in batches:
-            texts = filled(batch)
-            parts = [function(part) for part in chunks(texts, limit)] or [function(texts)]
-            yield pa.concat_arrays(parts)
+        gc.disable()  # large dicts are slow to visit
+        try:
+            for batch in batches:
+                texts = filled(batch)
+                parts = [function(part) for part in chunks(texts, limit)] or [function(texts)]
+                yield pa.concat_arrays(parts)
+        finally:  # a worker serves further tasks, and what this one unpickled is cyclic
+            gc.enable()
+            gc.collect()
 
     ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
