@@ -36,7 +36,8 @@ ORDINARY_BYTES = 16384
 BEGINNINGS = range(3, 9)  # letters
 CANDIDATES = 2000
 LEAST_Z, LEAST_DOCS, LEAST_NEW = 8.0, 5, 0.005
-SURE_Z = 15.0  # near copies of one text don't get so far
+SURE_Z = 15.0
+ALIKE, MOST_ALIKE = 0.6, 4  # parts that share this share of their texts: how many may be
 REPEATS = 3  # of the toxic part, so that one is near any window
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -148,22 +149,37 @@ def _telling(rows: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["held"])
 
     held = map_batches(rows.where("toxic = 1").select("text"), holds, "held array<int>").collect()
-    with_part: dict[int, set[int]] = {}
+    in_text = np.zeros((len(ranked), len(held)), np.float32)
     for i, row in enumerate(held):
-        for p in row.held:
-            with_part.setdefault(p, set()).add(i)
+        in_text[row.held, i] = 1
+    copied = _of_copies(in_text, [part for _, part in ranked])
+    with_part = [set(np.flatnonzero(row)) for row in in_text]
     chosen: list[str] = []
     covered: set[int] = set()
     for z_of, part in ranked:
-        if any(part.startswith(c.strip()) or c.startswith(part.strip()) for c in chosen):
+        if copied[place[part]] or any(_related(part, c) for c in chosen):
             continue
-        new = with_part.get(place[part], set()) - covered
+        new = with_part[place[part]] - covered
         if z_of >= SURE_Z or len(new) >= max(LEAST_DOCS, LEAST_NEW * totals.toxic):
             chosen.append(part)
             covered |= new
     return chosen
 
 
+def _related(a: str, b: str) -> bool:
+    return a.startswith(b.strip()) or b.startswith(a.strip())
+
+
+def _of_copies(in_text: np.ndarray, parts: list[str]) -> np.ndarray:
+    """Which parts come from near copies of one text: many others are in the same texts."""
+    both, each = in_text @ in_text.T, in_text.sum(1)
+    alike = both >= ALIKE * np.maximum(each[:, None] + each - both, 1)
+    return np.array([
+        sum(not _related(part, parts[j]) for j in np.flatnonzero(row)) > MOST_ALIKE
+        for part, row in zip(parts, alike)
+    ], bool)
+
+
 def _ordinary(rows: DataFrame) -> bytes:
     """A dictionary trained on windows of ordinary texts."""
 
