@@ -29,16 +29,16 @@ from tierscope.sources.text import conform
 
 YEAR = 2025
 DELIVERED = (
-    "plan_information", "geographic_locator", "formulary_drugs", "beneficiary_costs",
+    "plan_information", "geographic_locator", "drug_list_drugs", "beneficiary_costs",
     "drug_pricing",
 )
 HEADLINE = (
     "specialty_margin", "contract_specialty_cost", "member_annual_cost", "tier_drugs_priced",
     "tier_page_summary", "county_specialty_costs", "contract_drug_costs", "specialty_pricing",
-    "coverage_table", "pricing_table", "member_cost_table", "formulary_summary",
-    "county_plan_summary", "restrictiveness", "formulary_sizes", "formulary_overview",
-    "formulary_drugs_sample_plan", "specialty_coverage", "orgs_by_enrollment", "contract_list",
-    "area_formularies", "county_plans", "drug_plans", "drug_dosages", "describe_unit_cost",
+    "coverage_table", "pricing_table", "member_cost_table", "drug_list_summary",
+    "county_plan_summary", "restrictiveness", "drug_list_sizes", "drug_list_overview",
+    "drug_list_drugs_sample_plan", "specialty_coverage", "orgs_by_enrollment", "contract_list",
+    "area_drug_lists", "county_plans", "drug_plans", "drug_dosages", "describe_unit_cost",
     "write_pricing",
 )
 

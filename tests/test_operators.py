@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tierscope.functions.aggregates import count_items
 from tierscope.functions.params import keep_matching, keep_values, scratch_path
-from tierscope.operators import costs, drugs, formulary, geography, landscape, normalize, profile
+from tierscope.operators import costs, drugs, drug_list, geography, landscape, normalize, profile
 from tierscope.operators import organizations as orgs
 from tierscope.operators import summaries
 
@@ -20,14 +20,14 @@ def plan(n, contract="H1", fid="F1", **more):
     key = f"{contract}|{n}|0"
     return {
         "contract_id": contract, "plan_id": str(n), "segment_id": "0", "plan_key": key,
-        "contract_name": "Org", "plan_name": f"Plan {n}", "formulary_id": fid, "premium": 10,
+        "contract_name": "Org", "plan_name": f"Plan {n}", "drug_list_id": fid, "premium": 10,
         "deductible": 100, "snp": 0, "state": "MO", "county_code": "29189", **more,
     }
 
 
 def drug(ndc, tier=5, fid="F1", rxcui=1, pa="N", st="N", ql="N"):
     return {
-        "formulary_id": fid, "rxcui": rxcui, "ndc": ndc, "tier_level_value": tier,
+        "drug_list_id": fid, "rxcui": rxcui, "ndc": ndc, "tier_level_value": tier,
         "prior_authorization_yn": pa, "step_therapy_yn": st, "quantity_limit_yn": ql,
     }
 
@@ -56,7 +56,7 @@ def price(n, ndc, cost, days=30, contract="H1"):
 def test_specialty_costs(tables, kind, amount, cap, pays):
     t = tables(
         plan_information=[plan(1), plan(1, county_code="29001")],  # two counties, one plan
-        formulary_drugs=[drug("A")],
+        drug_list_drugs=[drug("A")],
         drug_pricing=[price(1, "A", 100), price(1, "A", 50, days=60)],
         beneficiary_costs=[rule(1, kind, amount, cap)],
     )
@@ -68,7 +68,7 @@ def test_specialty_costs(tables, kind, amount, cap, pays):
 def test_county_costs_differ_in_cap_and_missing_amount(tables):
     t = tables(
         plan_information=[plan(1), plan(2), plan(3)],
-        formulary_drugs=[drug("A")],
+        drug_list_drugs=[drug("A")],
         drug_pricing=[price(n, "A", 100) for n in (1, 2, 3)],
         beneficiary_costs=[rule(1, 1, 0.25, 20), rule(2, 0, None)],  # plan 3 has no rule
     )
@@ -88,7 +88,7 @@ def test_county_costs_differ_in_cap_and_missing_amount(tables):
 def test_tier_page(tables, kind, amount, shown, label, pays):
     t = tables(
         plan_information=[plan(1)],
-        formulary_drugs=[drug("A"), drug("B", rxcui=2), drug("C", tier=3)],
+        drug_list_drugs=[drug("A"), drug("B", rxcui=2), drug("C", tier=3)],
         drug_pricing=[price(1, "A", 100), price(1, "C", 9)],
         beneficiary_costs=[rule(1, kind, amount, 20)],
     )
@@ -102,7 +102,7 @@ def test_tier_page(tables, kind, amount, shown, label, pays):
 
 def test_tier_page_without_a_rule_is_empty(tables):
     t = tables(
-        plan_information=[plan(1)], formulary_drugs=[drug("A")],
+        plan_information=[plan(1)], drug_list_drugs=[drug("A")],
         drug_pricing=[price(1, "A", 100)], beneficiary_costs=[rule(1, 0, 5, tier=4)],
     )
     assert costs.tier_drugs_priced(t, "F1", 5).count() == 0
@@ -113,7 +113,7 @@ def test_tier_page_without_a_rule_is_empty(tables):
 def test_tier_page_price_weighs_counties(tables):
     t = tables(
         plan_information=[plan(1), plan(1, county_code="29001"), plan(2)],
-        formulary_drugs=[drug("A")],
+        drug_list_drugs=[drug("A")],
         drug_pricing=[price(1, "A", 10), price(2, "A", 40)],
         beneficiary_costs=[rule(1, 0, 5)],
     )
@@ -123,7 +123,7 @@ def test_tier_page_price_weighs_counties(tables):
 def test_member_annual_cost(tables):
     t = tables(
         plan_information=[plan(1), plan(2, contract="H2")],
-        formulary_drugs=[drug("A"), drug("B", tier=1)],
+        drug_list_drugs=[drug("A"), drug("B", tier=1)],
         drug_pricing=[price(1, "A", 100), price(1, "B", 5), price(2, "A", 50, contract="H2")],
         beneficiary_costs=[
             rule(1, 1, 0.25, 20), rule(1, 0, 3, tier=1), rule(2, 2, 0, contract="H2"),
@@ -145,36 +145,36 @@ def test_money_text(spark):
     assert [r[0] for r in costs.format_money(df, ["x"], True).collect()] == ["$1.50", "N/A", "N/A"]
 
 
-# ---------------------------------------------------------------- formularies
+# ---------------------------------------------------------------- drug lists
 
 def test_prior_authorization_by_days_counts_as_restricted_only_where_not_n(tables):
-    t = tables(plan_information=[plan(1)], formulary_drugs=[drug("A", pa="365"), drug("B", pa="Y")])
-    assert formulary.restriction_counts(t, "F1").first()["prior_auth_count"] == 1
-    assert formulary.restrictiveness(t).first()["pct_with_pa"] == 100
-    assert formulary.restrictiveness_rows(t).first()["drugs_with_pa"] == 2
+    t = tables(plan_information=[plan(1)], drug_list_drugs=[drug("A", pa="365"), drug("B", pa="Y")])
+    assert drug_list.restriction_counts(t, "F1").first()["prior_auth_count"] == 1
+    assert drug_list.restrictiveness(t).first()["pct_with_pa"] == 100
+    assert drug_list.restrictiveness_rows(t).first()["drugs_with_pa"] == 2
 
 
-def test_summary_keeps_formularies_without_drugs_and_drops_null(tables):
+def test_summary_keeps_drug_lists_without_drugs_and_drops_null(tables):
     t = tables(
         plan_information=[plan(1), plan(2, fid="F2"), plan(3, fid=None)],
-        formulary_drugs=[drug("A"), drug("A", tier=1), drug("B", tier=3), drug("C", fid="F9")],
+        drug_list_drugs=[drug("A"), drug("A", tier=1), drug("B", tier=3), drug("C", fid="F9")],
     )
-    rows = {r["formulary_id"]: r for r in as_dicts(summaries.formulary_summary(t))}
+    rows = {r["drug_list_id"]: r for r in as_dicts(summaries.drug_list_summary(t))}
     assert rows.keys() == {"F1", "F2"}
     assert (rows["F1"]["total_drugs"], rows["F1"]["specialty_drugs"]) == (2, 1)
     assert rows["F2"]["total_drugs"] == 0
     for fid, row in rows.items():
-        seen = formulary.formulary_overview(t, fid).first()
+        seen = drug_list.drug_list_overview(t, fid).first()
         assert [seen[c] for c in ("total_drugs", "specialty_drugs", "plans_using")] == [
             row[c] for c in ("total_drugs", "specialty_drugs", "plans_using")
         ]
-    assert formulary.formulary_overview(t, "F9").first()["total_drugs"] == 0  # no plan uses it
+    assert drug_list.drug_list_overview(t, "F9").first()["total_drugs"] == 0  # no plan uses it
 
 
 def test_shares_of_nothing_are_zero(tables):
     t = tables()
-    assert [r["pct_of_drugs"] for r in formulary.restriction_share(t, "F1").collect()] == [0, 0, 0]
-    assert formulary.specialty_pa_share(t, "F1").first()["pa_pct"] == 0
+    assert [r["pct_of_drugs"] for r in drug_list.restriction_share(t, "F1").collect()] == [0, 0, 0]
+    assert drug_list.specialty_pa_share(t, "F1").first()["pa_pct"] == 0
 
 
 def test_restriction_words(spark):
@@ -182,9 +182,9 @@ def test_restriction_words(spark):
         [("Y", "Y", "Y"), ("N", None, "365"), (None, "Y", "N")],
         "quantity_limit_yn string, step_therapy_yn string, prior_authorization_yn string",
     )
-    words = [r["restrictions"] for r in formulary.with_restriction_label(df).collect()]
+    words = [r["restrictions"] for r in drug_list.with_restriction_label(df).collect()]
     assert words == ["Qty Limit, Prior Auth, Step Therapy", "None", "Step Therapy"]
-    codes = [r["restrictions"] for r in formulary.with_restriction_codes(df).collect()]
+    codes = [r["restrictions"] for r in drug_list.with_restriction_codes(df).collect()]
     assert codes == ["PA ST QL", "-", "ST"]
 
 
@@ -195,7 +195,7 @@ def test_rounding_is_half_up_on_the_decimal_value(tables):
 
 # ---------------------------------------------------------------- organizations and areas
 
-def test_two_formularies_count_members_twice(tables):
+def test_two_drug_lists_count_members_twice(tables):
     enrolled = {
         "contract_number": "H1", "plan_id": "1", "plan_name": "P", "parent_organization": "Org",
         "organization_marketing_name": "O", "enrollment": 7,
@@ -206,7 +206,7 @@ def test_two_formularies_count_members_twice(tables):
                          {**enrolled, "plan_id": "2", "parent_organization": None}],
     )
     (row,) = as_dicts(orgs.orgs_by_enrollment(t))
-    assert (row["total_enrollment"], row["plan_count"], row["formulary_count"]) == (14, 1, 2)
+    assert (row["total_enrollment"], row["plan_count"], row["drug_list_count"]) == (14, 1, 2)
     assert orgs.search_orgs(t, "ORG").count() == 1 and orgs.search_orgs(t, "zzz").count() == 0
 
 
@@ -226,7 +226,7 @@ def test_area_is_a_county_for_five_digits(tables):
     assert geography.plans_in_area(t, "il").first()["county_code"] == "17001"
 
 
-def test_county_plans_of_no_formulary_have_no_count(tables):
+def test_county_plans_of_no_drug_list_have_no_count(tables):
     t = tables(plan_information=[plan(1, fid=None), plan(2, fid="F7")])
     got = {r["plan_id"]: r["specialty_drugs"] for r in as_dicts(geography.county_plans(t, "29189"))}
     assert got == {"1": None, "2": 0}
@@ -234,10 +234,10 @@ def test_county_plans_of_no_formulary_have_no_count(tables):
 
 def test_keys_and_references(tables):
     t = tables(plan_information=[plan(1), plan(1), plan(2, fid=None), plan(3, fid="F3")],
-               formulary_drugs=[drug("A")])
+               drug_list_drugs=[drug("A")])
     (dup,) = as_dicts(normalize.duplicate_keys(t["plan_information"], ["plan_key"]))
     assert dup == {"plan_key": "H1|1|0", "count": 2}
-    lost = normalize.orphans(t["plan_information"], t["formulary_drugs"], {"formulary_id": "formulary_id"})
+    lost = normalize.orphans(t["plan_information"], t["drug_list_drugs"], {"drug_list_id": "drug_list_id"})
     assert [r["plan_id"] for r in lost.collect()] == ["3"]  # a NULL reference is allowed
 
 
@@ -262,7 +262,7 @@ def test_dosage(spark, description, dosage):
 def test_cost_texts(tables):
     t = tables(
         plan_information=[plan(n) for n in range(1, 6)],
-        formulary_drugs=[drug("A")],
+        drug_list_drugs=[drug("A")],
         beneficiary_costs=[
             rule(1, 0, 5), rule(2, 1, 0.25, 300), rule(3, 1, 0.3), rule(4, 2, 0),
             rule(5, 0, 5, tier=1),
@@ -284,7 +284,7 @@ def test_priority_drugs_come_first(spark):
 
 
 def test_a_code_of_two_concepts_stays_two_rows(tables):
-    t = tables(formulary_drugs=[drug("A", rxcui=1), drug("A", rxcui=2), drug("", rxcui=1)])
+    t = tables(drug_list_drugs=[drug("A", rxcui=1), drug("A", rxcui=2), drug("", rxcui=1)])
     assert drugs.group_ndcs(t, {"G": (1, 2)}).count() == 2
 
 
@@ -327,13 +327,13 @@ def test_tier_averages_cover_all_drugs(tables):
     n = 700
     t = tables(
         plan_information=[plan(1)],
-        formulary_drugs=[drug(f"N{i}", rxcui=i) for i in range(n)],
+        drug_list_drugs=[drug(f"N{i}", rxcui=i) for i in range(n)],
         drug_pricing=[price(1, f"N{i}", i) for i in range(n)],
         beneficiary_costs=[rule(1, 1, 0.25)],
     )
     [page] = costs.tier_page_summary(t, "F1", 5).collect()
     assert (page["total_drugs"], page["avg_negotiated"]) == (n, (n - 1) / 2)
-    assert formulary.formulary_drugs_list(t, "F1").count() == n
+    assert drug_list.drug_list_drugs_list(t, "F1").count() == n
 
 
 def test_names_with_equal_beginnings_stay_apart(tables):
@@ -341,9 +341,9 @@ def test_names_with_equal_beginnings_stay_apart(tables):
     t = tables(plan_information=[
         plan(i, fid=f"F{i}", contract_name=name) for i, name in enumerate(names)
     ])
-    assert [r["org"] for r in formulary.org_prefixes(t).collect()] == names
-    assert {r["shown"] for r in formulary.org_prefixes(t, 30).collect()} == {names[0][:30]}
-    assert [r[0] for r in formulary.formularies_of_org(t, names[1]).collect()] == ["F1"]
+    assert [r["org"] for r in drug_list.org_prefixes(t).collect()] == names
+    assert {r["shown"] for r in drug_list.org_prefixes(t, 30).collect()} == {names[0][:30]}
+    assert [r[0] for r in drug_list.drug_lists_of_org(t, names[1]).collect()] == ["F1"]
 
 
 # ---------------------------------------------------------------- companies
@@ -371,7 +371,7 @@ def test_coverage_fills_absent_companies_with_zero(tables):
     t = tables(
         plan_information=[plan(1), plan(2), plan(3, fid="F2")],
         plan_enrollment=[owner(n, "Humana") for n in (1, 2, 3)],
-        formulary_drugs=[drug("A", tier=3, pa="Y")],
+        drug_list_drugs=[drug("A", tier=3, pa="Y")],
     )
     rows = {r["company"]: r for r in as_dicts(landscape.coverage_table(t, {"G": (1,)}))}
     assert rows.keys() == set(landscape.COMPANIES)
@@ -386,7 +386,7 @@ def test_member_costs_average_distinct_amounts(tables):
     t = tables(
         plan_information=[plan(n) for n in (1, 2, 3, 4)],
         plan_enrollment=[owner(n, "Humana") for n in (1, 2, 3, 4)],
-        formulary_drugs=[drug("A"), drug("B")],
+        drug_list_drugs=[drug("A"), drug("B")],
         beneficiary_costs=[
             rule(1, 0, 10, supply=30), rule(2, 0, 10, supply=30), rule(3, 0, 40, supply=30),
             rule(4, 1, 0.25, supply=30),
@@ -460,7 +460,7 @@ def test_means_do_not_depend_on_partitioning(tables):
     results = set()
     for parts in (1, 3, 7):
         spread = {**t, "plan_information": t["plan_information"].repartition(parts)}
-        results.add(formulary.formulary_states(spread, "F1").first()["avg_premium"])
+        results.add(drug_list.drug_list_states(spread, "F1").first()["avg_premium"])
     assert len(results) == 1
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.operators import costs, formulary
+from tierscope.operators import costs, drug_list
 from tierscope.plans.registry import QUERIES
 from tierscope.sources.star import derive_tables
 from tierscope.sources.tables import load_tables
@@ -24,9 +24,9 @@ def plan_of(df):
 
 
 def test_filters_and_columns_reach_the_scan(stored):
-    plan = plan_of(formulary.tier_drug_counts(stored, "00000005"))
-    assert "EqualTo(formulary_id,00000005)" in plan
-    assert "ReadSchema: struct<formulary_id:string,rxcui:bigint,tier_level_value:int>" in plan
+    plan = plan_of(drug_list.tier_drug_counts(stored, "00000005"))
+    assert "EqualTo(drug_list_id,00000005)" in plan
+    assert "ReadSchema: struct<drug_list_id:string,rxcui:bigint,tier_level_value:int>" in plan
     plan = plan_of(costs.member_annual_cost(stored, ["00000000028"]))
     assert "In(ndc, [00000000028])" in plan or "EqualTo(ndc,00000000028)" in plan
     assert "EqualTo(days_supply,30)" in plan
@@ -34,7 +34,7 @@ def test_filters_and_columns_reach_the_scan(stored):
 
 NO_PLANS = {  # queries that read back files they wrote
     "read_pipe", "read_pipe_latin1", "write_table", "write_pricing", "append_pricing",
-    "load_tables", "load_tables_costs", "read_drug_names", "export_csv", "refresh_formulary_summary",
+    "load_tables", "load_tables_costs", "read_drug_names", "export_csv", "refresh_drug_list_summary",
     "refresh_county_plan_summary",
 }
 
@@ -58,7 +58,7 @@ def test_a_plan_with_a_third_of_the_prices_is_split(spark, tables):
     """One plan holds half of the prices: its join partition is split, rows stay whole."""
     t = tables(
         plan_information=[
-            {"plan_key": f"P{i}", "contract_id": f"H{i % 3}", "formulary_id": "F"}
+            {"plan_key": f"P{i}", "contract_id": f"H{i % 3}", "drug_list_id": "F"}
             for i in range(40)
         ],
     )
@@ -71,10 +71,10 @@ def test_a_plan_with_a_third_of_the_prices_is_split(spark, tables):
         (F.col("id") % 100).cast("decimal(10,4)").alias("unit_cost"),
     )
     listed = spark.range(n).select(
-        F.lit("F").alias("formulary_id"), F.col("id").cast("string").alias("ndc"),
+        F.lit("F").alias("drug_list_id"), F.col("id").cast("string").alias("ndc"),
         F.lit(5).alias("tier_level_value"),
     )
-    t = {**t, "drug_pricing": prices, "formulary_drugs": listed}
+    t = {**t, "drug_pricing": prices, "drug_list_drugs": listed}
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -12,7 +12,7 @@ from tierscope.sources import sinks, tables, text
 from tierscope.streaming.append import append_pricing
 
 PLAN_HEADER = (
-    "CONTRACT_ID|PLAN_ID|SEGMENT_ID|CONTRACT_NAME|PLAN_NAME|FORMULARY_ID|PREMIUM|DEDUCTIBLE|SNP|"
+    "CONTRACT_ID|PLAN_ID|SEGMENT_ID|CONTRACT_NAME|PLAN_NAME|DRUG_LIST_ID|PREMIUM|DEDUCTIBLE|SNP|"
     "PLAN_SUPPRESSED_YN|STATE|COUNTY_CODE|MA_REGION_CODE|PDP_REGION_CODE"
 )
 PLAN_ROWS = [
@@ -36,7 +36,7 @@ def test_plan_file_becomes_a_typed_table(spark, tmp_path):
     a, b, c = sorted(as_dicts(df), key=lambda r: r["plan_id"])
     assert a["plan_key"] == "H0001|001|000" and a["premium"] == Decimal("12.50")
     assert b["plan_key"] is None  # a key part is missing
-    assert b["premium"] is None and b["deductible"] is None and b["formulary_id"] is None
+    assert b["premium"] is None and b["deductible"] is None and b["drug_list_id"] is None
     assert b["snp"] is None  # 2.5 is no integer
     assert c["premium"] == Decimal("10.00") and c["snp"] == 1
 
@@ -181,7 +181,7 @@ def test_ingest_two_years_and_load_one(spark, tmp_path):
         files = {
             "plan_information": (PLAN_HEADER, *plans),
             "geographic_locator": ("COUNTY_CODE|STATENAME|COUNTY", "29189|Missouri|St. Louis"),
-            "formulary_drugs": ("FORMULARY_ID|RXCUI|NDC|TIER_LEVEL_VALUE", "00000001|5|01|5"),
+            "drug_list_drugs": ("DRUG_LIST_ID|RXCUI|NDC|TIER_LEVEL_VALUE", "00000001|5|01|5"),
             "beneficiary_costs": ("CONTRACT_ID|PLAN_ID|SEGMENT_ID|TIER", "H0001|001|000|5"),
             "excluded_drugs": ("RXCUI|TIER", "7|1", "8|2"),
         }

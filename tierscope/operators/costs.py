@@ -24,7 +24,7 @@ from tierscope.functions.expr import (
     rounded,
 )
 from tierscope.functions.params import keep_matching, keep_values
-from tierscope.operators.formulary import SPECIALTY_TIERS, specialty_drug_groups
+from tierscope.operators.drug_list import SPECIALTY_TIERS, specialty_drug_groups
 from tierscope.operators.normalize import Tables, plan_columns
 
 
@@ -60,19 +60,19 @@ def _rules(t: Tables, *columns: str, coverage_level: int = 1, supply_code: int =
 
 
 def _listed(t: Tables, tier: int | None = None) -> DataFrame:
-    rows = t["formulary_drugs"].select(
-        "formulary_id", "ndc", F.col("tier_level_value").alias("tier")
+    rows = t["drug_list_drugs"].select(
+        "drug_list_id", "ndc", F.col("tier_level_value").alias("tier")
     )
     return rows if tier is None else rows.where(F.col("tier") == tier)
 
 
 def _priced_listings(prices: DataFrame, plans: DataFrame, listed: DataFrame) -> DataFrame:
-    """Prices of plans for the drugs on their own formulary.
+    """Prices of plans for the drugs on their own drug list.
 
-    Prices meet plans first (one row per plan), then the drug lists on formulary AND
-    drug. Joining plans to drug lists by formulary alone would multiply the two.
+    Prices meet plans first (one row per plan), then the drug lists on drug list AND
+    drug. Joining plans to drug lists by drug list alone would multiply the two.
     """
-    return prices.join(plans, "plan_key").join(listed, ["formulary_id", "ndc"])
+    return prices.join(plans, "plan_key").join(listed, ["drug_list_id", "ndc"])
 
 
 # ---------------------------------------------------------------- net cost of specialty drugs
@@ -92,7 +92,7 @@ def county_drug_costs(
     """
     offered = t["plan_information"].where(F.col("county_code") == county_code).select(
         "plan_key", "contract_id", "plan_id", "contract_name", "premium", "deductible",
-        "formulary_id",
+        "drug_list_id",
     )
     drug = F.col("ndc") == as_column(ndc)
     priced = _priced_listings(_prices(t, days).where(drug), offered, _listed(t, tier).where(drug))
@@ -143,7 +143,7 @@ def specialty_costs(t: Tables, days: int = 30) -> DataFrame:
         F.col("tier") == S.SPECIALTY_TIER
     ).drop("tier")
     # Both plan-grain tables meet first, so prices are shuffled by plan only once.
-    plans = plan_columns(t, "contract_id", "formulary_id").join(rules, "plan_key")
+    plans = plan_columns(t, "contract_id", "drug_list_id").join(rules, "plan_key")
     priced = _priced_listings(_prices(t, days), plans, _listed(t, S.SPECIALTY_TIER))
     nothing = F.lit(0)
     pays = (
@@ -174,7 +174,7 @@ def county_specialty_costs(t: Tables, county_code: str, days: int = 30) -> DataF
     A missing amount takes nothing off.
     """
     offered = t["plan_information"].where(F.col("county_code") == county_code).select(
-        "plan_key", "contract_id", "plan_id", "premium", "deductible", "formulary_id"
+        "plan_key", "contract_id", "plan_id", "premium", "deductible", "drug_list_id"
     )
     prices = keep_matching(_prices(t, days), "plan_key", offered)
     priced = _priced_listings(prices, offered, _listed(t, S.SPECIALTY_TIER))
@@ -190,16 +190,16 @@ def county_specialty_costs(t: Tables, county_code: str, days: int = 30) -> DataF
 # ---------------------------------------------------------------- tier page
 
 def tier_drugs_priced(
-    t: Tables, formulary_id: str, tier: int, limit: int | None = None
+    t: Tables, drug_list_id: str, tier: int, limit: int | None = None
 ) -> DataFrame:
-    """Drugs of a formulary tier with average price, member payment and plan net cost.
+    """Drugs of a drug list tier with average price, member payment and plan net cost.
 
-    Prices average over the plan x county rows of the formulary and all supplies. One
+    Prices average over the plan x county rows of the drug list and all supplies. One
     cost rule stands for the tier: the lowest amount. Code 2 counts as coinsurance, an
     amount below 1 is a fraction, the cap is not applied. No rule, no rows.
     """
-    drugs = t["formulary_drugs"].where(
-        (F.col("formulary_id") == formulary_id) & (F.col("tier_level_value") == tier)
+    drugs = t["drug_list_drugs"].where(
+        (F.col("drug_list_id") == drug_list_id) & (F.col("tier_level_value") == tier)
     ).select(
         "rxcui", "ndc", F.col("tier_level_value").alias("tier"),
         F.col("prior_authorization_yn").alias("prior_auth"),
@@ -207,7 +207,7 @@ def tier_drugs_priced(
         F.col("quantity_limit_yn").alias("quantity_limit"),
     ).distinct()
     # A plan's county rows become a weight, so prices are not repeated per county.
-    weighted = t["plan_information"].where(F.col("formulary_id") == formulary_id).groupBy(
+    weighted = t["plan_information"].where(F.col("drug_list_id") == drug_list_id).groupBy(
         "plan_key"
     ).agg(F.count("*").alias("counties"))
     prices = (
@@ -261,9 +261,9 @@ def _lowest_rule(t: Tables, plans: DataFrame, tier: int) -> Column:
     return rules.agg(lowest.alias("rule")).scalar()
 
 
-def tier_page_summary(t: Tables, formulary_id: str, tier: int) -> DataFrame:
+def tier_page_summary(t: Tables, drug_list_id: str, tier: int) -> DataFrame:
     """Averages over tier_drugs_priced(), missing payments counted as 0, and its rule."""
-    drugs = tier_drugs_priced(t, formulary_id, tier)
+    drugs = tier_drugs_priced(t, drug_list_id, tier)
     averaged = drugs.agg(
         F.count("*").alias("total_drugs"),
         rounded(F.try_divide(F.sum("negotiated_cost"), F.count("*")), 2).alias("avg_negotiated"),
@@ -306,7 +306,7 @@ def contract_specialty_cost(t: Tables, days: int = 30) -> DataFrame:
     """Average specialty price per contract."""
     return _priced_listings(
         _prices(t, days),
-        plan_columns(t, "contract_id", "formulary_id"),
+        plan_columns(t, "contract_id", "drug_list_id"),
         _listed(t, S.SPECIALTY_TIER),
     ).groupBy("contract_id").agg(mean("unit_cost").alias("avg_cost")).orderBy(
         "avg_cost", "contract_id"
@@ -334,7 +334,7 @@ def member_annual_cost(
     if contract is not None:
         offered = offered.where(F.col("contract_id") == contract)
     plans = offered.where(F.col("plan_key").isNotNull()).select(
-        "plan_key", "plan_name", "premium", "deductible", "formulary_id"
+        "plan_key", "plan_name", "premium", "deductible", "drug_list_id"
     ).distinct()
     priced = _priced_listings(
         keep_values(_prices(t, days), "ndc", yearly), plans,
@@ -373,9 +373,9 @@ def plan_cost_structure(t: Tables, plan_key: str | Column) -> DataFrame:
     ).orderBy("tier")
 
 
-def sample_plan(t: Tables, formulary_id: str) -> Column:
-    """First plan key of a formulary, as a scalar subquery."""
-    return t["plan_information"].where(F.col("formulary_id") == formulary_id).agg(
+def sample_plan(t: Tables, drug_list_id: str) -> Column:
+    """First plan key of a drug list, as a scalar subquery."""
+    return t["plan_information"].where(F.col("drug_list_id") == drug_list_id).agg(
         F.min("plan_key")
     ).scalar()
 
@@ -404,19 +404,19 @@ def plan_cost_display(
 
 
 def specialty_pricing(
-    t: Tables, formulary_id: str, plans: int | None = None, limit: int | None = None
+    t: Tables, drug_list_id: str, plans: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Specialty drugs of a formulary with their price range over its plans.
+    """Specialty drugs of a drug list with their price range over its plans.
 
     If a number of plans is given: over those of the first plan x county rows by
     organization and plan name.
     """
-    priced_in = t["plan_information"].where(F.col("formulary_id") == formulary_id)
+    priced_in = t["plan_information"].where(F.col("drug_list_id") == drug_list_id)
     if plans is not None:
         priced_in = priced_in.orderBy(
             "contract_name", "plan_name", "plan_key", "county_code"
         ).limit(plans)
-    drugs = specialty_drug_groups(t, formulary_id).select("rxcui", "ndc", "tier", "restrictions")
+    drugs = specialty_drug_groups(t, drug_list_id).select("rxcui", "ndc", "tier", "restrictions")
     # The few drugs cut the prices first, then the plans.
     prices = keep_matching(_prices(t, None), "ndc", drugs).join(
         priced_in.select("plan_key").distinct(), "plan_key", "left_semi"

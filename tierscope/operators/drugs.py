@@ -30,13 +30,13 @@ ANY_NUMBER = r"(\d+(?:\.\d+)?)"
 
 
 def _entries(t: Tables, ndc: str | Column) -> DataFrame:
-    return t["formulary_drugs"].where(F.col("ndc") == as_column(ndc))
+    return t["drug_list_drugs"].where(F.col("ndc") == as_column(ndc))
 
 
 def drug_overview(t: Tables, ndc: str | Column) -> DataFrame:
-    """Formularies listing a drug, and its entries."""
+    """Drug lists listing a drug, and its entries."""
     return _entries(t, ndc).groupBy("ndc", "rxcui").agg(
-        F.countDistinct("formulary_id").alias("formularies_covering"),
+        F.countDistinct("drug_list_id").alias("drug_lists_covering"),
         F.count("*").alias("total_entries"),
     )
 
@@ -44,12 +44,12 @@ def drug_overview(t: Tables, ndc: str | Column) -> DataFrame:
 def drug_tiers(
     t: Tables, ndc: str | Column, names: Mapping[int, str] = S.TIER_NAMES_SHORT
 ) -> DataFrame:
-    """Tiers in which formularies place a drug."""
+    """Tiers in which drug lists place a drug."""
     return _entries(t, ndc).groupBy(F.col("tier_level_value").alias("tier")).agg(
-        F.countDistinct("formulary_id").alias("formularies"),
+        F.countDistinct("drug_list_id").alias("drug_lists"),
         F.count("*").alias("entries"),
     ).withColumn("tier_name", tier_name(F.col("tier"), names)).orderBy(
-        F.desc("formularies"), F.asc_nulls_last("tier")
+        F.desc("drug_lists"), F.asc_nulls_last("tier")
     )
 
 
@@ -66,20 +66,20 @@ def drug_restrictions(t: Tables, ndc: str | Column) -> DataFrame:
 def drug_plans(t: Tables, ndc: str | Column, limit: int | None = None) -> DataFrame:
     """Plans covering a drug, cheapest first."""
     offered = t["plan_information"].select(
-        "contract_id", "plan_id", "plan_name", "formulary_id", "premium"
+        "contract_id", "plan_id", "plan_name", "drug_list_id", "premium"
     ).distinct()
     listed = _entries(t, ndc).select(
-        "formulary_id",
+        "drug_list_id",
         F.col("tier_level_value").alias("tier"),
         F.col("prior_authorization_yn").alias("pa"),
         F.col("quantity_limit_yn").alias("qty_limit"),
     ).distinct()
-    found = offered.join(listed, "formulary_id").select(
-        "contract_id", "plan_id", "plan_name", "tier", "formulary_id", "premium", "pa",
+    found = offered.join(listed, "drug_list_id").select(
+        "contract_id", "plan_id", "plan_name", "tier", "drug_list_id", "premium", "pa",
         "qty_limit",
     ).orderBy(
         F.asc_nulls_last("premium"), "contract_id", "plan_id", "plan_name", "tier",
-        "formulary_id", "pa", "qty_limit",
+        "drug_list_id", "pa", "qty_limit",
     )
     return found if limit is None else found.limit(limit)
 
@@ -91,12 +91,12 @@ def drug_cost_samples(t: Tables, ndc: str | Column, plans: int | None = None) ->
     Plans without a cost rule for the drug's tier are left out; one rule per plan.
     """
     offered = t["plan_information"].select(
-        "plan_key", "contract_id", "plan_id", "formulary_id"
+        "plan_key", "contract_id", "plan_id", "drug_list_id"
     ).distinct()
     listed = _entries(t, ndc).select(
-        "formulary_id", F.col("tier_level_value").alias("tier")
+        "drug_list_id", F.col("tier_level_value").alias("tier")
     ).distinct()
-    sample = offered.join(listed, "formulary_id").select(
+    sample = offered.join(listed, "drug_list_id").select(
         "plan_key", "contract_id", "plan_id", "tier"
     ).distinct()
     if plans is not None:
@@ -126,26 +126,26 @@ def drug_cost_samples(t: Tables, ndc: str | Column, plans: int | None = None) ->
 
 
 def specialty_coverage_rows(t: Tables, limit: int | None = None) -> DataFrame:
-    """Specialty drugs by the formularies listing them; authorizations counted by row."""
-    counted = t["formulary_drugs"].where(
+    """Specialty drugs by the drug lists listing them; authorizations counted by row."""
+    counted = t["drug_list_drugs"].where(
         F.col("tier_level_value") == S.SPECIALTY_TIER
     ).groupBy("ndc", "rxcui").agg(
-        F.countDistinct("formulary_id").alias("formulary_count"),
+        F.countDistinct("drug_list_id").alias("drug_list_count"),
         count_if(yes("prior_authorization_yn")).alias("pa_required_count"),
-    ).orderBy(F.desc("formulary_count"), F.asc_nulls_last("ndc"), F.asc_nulls_last("rxcui"))
+    ).orderBy(F.desc("drug_list_count"), F.asc_nulls_last("ndc"), F.asc_nulls_last("rxcui"))
     return counted if limit is None else counted.limit(limit)
 
 
 def specialty_coverage(t: Tables, limit: int | None = None) -> DataFrame:
-    """Specialty drugs by the formularies listing them; restrictions by formulary."""
+    """Specialty drugs by the drug lists listing them; restrictions by drug list."""
     counted = count_items(
-        t["formulary_drugs"].where(F.col("tier_level_value") == S.SPECIALTY_TIER),
-        ["ndc"], "formulary_id", "formulary_count",
+        t["drug_list_drugs"].where(F.col("tier_level_value") == S.SPECIALTY_TIER),
+        ["ndc"], "drug_list_id", "drug_list_count",
         {
             "pa_required_count": yes("prior_authorization_yn"),
             "qty_limit_count": yes("quantity_limit_yn"),
         },
-    ).orderBy(F.desc("formulary_count"), F.asc_nulls_last("ndc"))
+    ).orderBy(F.desc("drug_list_count"), F.asc_nulls_last("ndc"))
     return counted if limit is None else counted.limit(limit)
 
 
@@ -179,10 +179,10 @@ def drug_dosages(names: DataFrame) -> DataFrame:
 
 
 def group_entries(t: Tables, groups: Mapping[str, Sequence[int]]) -> DataFrame:
-    """Formulary entries of named groups of drug concepts, with `drug_name`."""
+    """Drug list entries of named groups of drug concepts, with `drug_name`."""
     rows = [(name, rxcui) for name, listed in groups.items() for rxcui in dict.fromkeys(listed)]
-    members = parameter_frame(t["formulary_drugs"].sparkSession, rows, "drug_name string, rxcui long")
-    coded = t["formulary_drugs"].where(F.col("ndc").isNotNull() & (F.col("ndc") != ""))
+    members = parameter_frame(t["drug_list_drugs"].sparkSession, rows, "drug_name string, rxcui long")
+    coded = t["drug_list_drugs"].where(F.col("ndc").isNotNull() & (F.col("ndc") != ""))
     return keep_values(coded, "rxcui", [rxcui for _, rxcui in rows]).join(members, "rxcui")
 
 

@@ -34,11 +34,11 @@ def area_plan_count(t: Tables, term: str) -> DataFrame:
 def area_plans(t: Tables, term: str, limit: int | None = None) -> DataFrame:
     """Plans of an area, cheapest first."""
     listed = plans_in_area(t, term).select(
-        "contract_id", "plan_id", "plan_name", "premium", "deductible", "formulary_id",
+        "contract_id", "plan_id", "plan_name", "premium", "deductible", "drug_list_id",
         F.col("snp").alias("snp_type"),
     ).distinct().orderBy(
         F.asc_nulls_last("premium"), F.asc_nulls_last("deductible"), "contract_id", "plan_id",
-        "plan_name", F.asc_nulls_last("formulary_id"), F.asc_nulls_last("snp_type"),
+        "plan_name", F.asc_nulls_last("drug_list_id"), F.asc_nulls_last("snp_type"),
     )
     return listed if limit is None else listed.limit(limit)
 
@@ -54,25 +54,25 @@ def area_premium_stats(t: Tables, term: str) -> DataFrame:
     )
 
 
-def area_formularies(t: Tables, term: str, limit: int | None = None) -> DataFrame:
-    """Formularies by plans in an area, with their drugs.
+def area_drug_lists(t: Tables, term: str, limit: int | None = None) -> DataFrame:
+    """Drug lists by plans in an area, with their drugs.
 
     The ranking needs plans only, so it is cut to the leaders before the drug table is
     read, and drugs are counted for those alone.
     """
-    ranked = plans_in_area(t, term).groupBy("formulary_id").agg(
+    ranked = plans_in_area(t, term).groupBy("drug_list_id").agg(
         F.countDistinct("plan_key").alias("plans_in_area")
-    ).orderBy(F.desc("plans_in_area"), F.asc_nulls_last("formulary_id"))
+    ).orderBy(F.desc("plans_in_area"), F.asc_nulls_last("drug_list_id"))
     if limit is not None:
         ranked = ranked.limit(limit)
     drugs = drug_counts(
-        t["formulary_drugs"].join(ranked.select("formulary_id"), "formulary_id", "left_semi")
+        t["drug_list_drugs"].join(ranked.select("drug_list_id"), "drug_list_id", "left_semi")
     )
-    return ranked.join(drugs, "formulary_id", "left").select(
-        "formulary_id", "plans_in_area",
+    return ranked.join(drugs, "drug_list_id", "left").select(
+        "drug_list_id", "plans_in_area",
         F.coalesce("total_drugs", F.lit(0)).alias("total_drugs"),
         F.coalesce("specialty_drugs", F.lit(0)).alias("specialty_drugs"),
-    ).orderBy(F.desc("plans_in_area"), F.asc_nulls_last("formulary_id"))
+    ).orderBy(F.desc("plans_in_area"), F.asc_nulls_last("drug_list_id"))
 
 
 def area_snp(t: Tables, term: str) -> DataFrame:
@@ -86,22 +86,22 @@ def area_snp(t: Tables, term: str) -> DataFrame:
 
 
 def county_plans(t: Tables, county_code: str) -> DataFrame:
-    """Plan rows of a county with the specialty drugs of their formulary.
+    """Plan rows of a county with the specialty drugs of their drug list.
 
-    The count is NULL for plans without a formulary, and 0 for an unlisted one. Only
-    formularies of this county are counted.
+    The count is NULL for plans without a drug list, and 0 for an unlisted one. Only
+    drug lists of this county are counted.
     """
     rows = t["plan_information"].where(
         (F.col("county_code") == county_code) & F.col("plan_key").isNotNull()
     )
-    used = rows.where(F.col("formulary_id").isNotNull()).select("formulary_id").distinct()
+    used = rows.where(F.col("drug_list_id").isNotNull()).select("drug_list_id").distinct()
     specialty = used.join(
-        drug_counts(t["formulary_drugs"].join(used, "formulary_id", "left_semi")),
-        "formulary_id", "left",
-    ).select("formulary_id", F.coalesce("specialty_drugs", F.lit(0)).alias("specialty_drugs"))
-    return rows.join(specialty, "formulary_id", "left").select(
+        drug_counts(t["drug_list_drugs"].join(used, "drug_list_id", "left_semi")),
+        "drug_list_id", "left",
+    ).select("drug_list_id", F.coalesce("specialty_drugs", F.lit(0)).alias("specialty_drugs"))
+    return rows.join(specialty, "drug_list_id", "left").select(
         "contract_id", "contract_name", "plan_id", "plan_name", "premium", "deductible",
-        F.col("snp").alias("snp_type"), "formulary_id", "specialty_drugs",
+        F.col("snp").alias("snp_type"), "drug_list_id", "specialty_drugs",
     ).orderBy(
         F.asc_nulls_last("premium"), F.asc_nulls_last("deductible"), "contract_id", "plan_id"
     )

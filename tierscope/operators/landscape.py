@@ -69,7 +69,7 @@ def company_plans(
     name; its plans are then assigned by the first matching pattern, aliases included.
     """
     plans = t["plan_information"].select(
-        "contract_id", "plan_id", "plan_key", "formulary_id", "contract_name"
+        "contract_id", "plan_id", "plan_key", "drug_list_id", "contract_name"
     ).distinct()  # drops the county factor before the join
     owners = t["plan_enrollment"].select(
         F.col("contract_number").alias("contract_id"), "plan_id", "parent_organization"
@@ -84,7 +84,7 @@ def company_plans(
         owned.withColumn("company", _company(F.col("parent_org"), patterns))
         .where(F.col("company").isNotNull())
         .join(qualified, "contract_id", "left_semi")
-        .select("contract_id", "plan_id", "plan_key", "formulary_id", "parent_org", "company")
+        .select("contract_id", "plan_id", "plan_key", "drug_list_id", "parent_org", "company")
         .distinct()
     )
 
@@ -118,25 +118,25 @@ def coverage_table(
     patterns: PatternsArg = COMPANY_PATTERNS,
     companies: Sequence[str] = COMPANIES,
 ) -> DataFrame:
-    """Formularies and plans of each company covering each drug, by tier and restriction.
+    """Drug lists and plans of each company covering each drug, by tier and restriction.
 
     A row for every drug and company, zero where there is nothing.
     """
     plans = company_plans(t, patterns, companies)
     totals = plans.groupBy("company").agg(
-        F.countDistinct("formulary_id").alias("total_formularies"),
+        F.countDistinct("drug_list_id").alias("total_drug_lists"),
         F.countDistinct("plan_id").alias("total_plans"),
     )
     drugs = _dosed_drugs(t, groups)
     entries = group_entries(t, groups)
     key = ["company", *DRUG]
     # Repeated rows are harmless below: both counts are of distinct items.
-    by_formulary = plans.select("company", "formulary_id").distinct().join(
-        entries, "formulary_id"
-    ).groupBy(*key).agg(F.countDistinct("formulary_id").alias("formularies_with_drug"))
+    by_drug_list = plans.select("company", "drug_list_id").distinct().join(
+        entries, "drug_list_id"
+    ).groupBy(*key).agg(F.countDistinct("drug_list_id").alias("drug_lists_with_drug"))
     tier = F.col("tier_level_value")
     by_plan = count_items(
-        plans.select("company", "formulary_id", "plan_id").join(entries, "formulary_id"),
+        plans.select("company", "drug_list_id", "plan_id").join(entries, "drug_list_id"),
         key, "plan_id", "plans_with_drug",
         {
             **{f"tier{n}_count": tier == n for n in (3, 4, 5, 6)},
@@ -146,7 +146,7 @@ def coverage_table(
         },
     )
     rows = _per_company(drugs, companies).join(totals, "company", "left")
-    rows = rows.join(by_formulary, key, "left").join(by_plan, key, "left")
+    rows = rows.join(by_drug_list, key, "left").join(by_plan, key, "left")
     rows = _zeros(rows, (*key, "dosage"))
     with_drug = F.col("plans_with_drug")
     shares = [
@@ -155,8 +155,8 @@ def coverage_table(
     ]
     return rows.select(
         "*",
-        percent_or_zero(F.col("formularies_with_drug"), F.col("total_formularies"))
-        .alias("formulary_pct"),
+        percent_or_zero(F.col("drug_lists_with_drug"), F.col("total_drug_lists"))
+        .alias("drug_list_pct"),
         percent_or_zero(with_drug, F.col("total_plans")).alias("plan_pct"),
         *shares,
     )
@@ -204,15 +204,15 @@ def member_cost_table(
     Average amounts weigh each distinct amount once. Percentages are of the plans
     covering the drug concept under any of its codes.
     """
-    plans = company_plans(t, patterns, companies).select("company", "plan_key", "formulary_id")
+    plans = company_plans(t, patterns, companies).select("company", "plan_key", "drug_list_id")
     drugs, entries = _dosed_drugs(t, groups), group_entries(t, groups)
     key = ["company", *DRUG]
     # Repeated rows are harmless here: plans are counted distinct.
     placed = plans.join(
         entries.where(F.col("tier_level_value").isNotNull()).select(
-            *DRUG, "formulary_id", F.col("tier_level_value").alias("tier")
+            *DRUG, "drug_list_id", F.col("tier_level_value").alias("tier")
         ),
-        "formulary_id",
+        "drug_list_id",
     ).select(*key, "plan_key", "tier")
     rules = t["beneficiary_costs"].where(
         (F.col("coverage_level") == 1) & (F.col("days_supply") == days_supply)
@@ -228,7 +228,7 @@ def member_cost_table(
         mean(F.when(of[S.COINSURANCE], F.col("cost_amt_pref"))).alias("mean_coinsurance"),
     )
     covering = plans.join(
-        entries.select("rxcui", "formulary_id").distinct(), "formulary_id"
+        entries.select("rxcui", "drug_list_id").distinct(), "drug_list_id"
     ).groupBy("company", "rxcui").agg(F.countDistinct("plan_key").alias("covering_plans"))
     rows = _per_company(drugs, companies).join(counted, key, "left").join(
         covering, ["company", "rxcui"], "left"
@@ -251,12 +251,12 @@ def member_cost_table(
 # ---------------------------------------------------------------- companies and layout
 
 def company_totals(t: Tables, companies: Sequence[str] = COMPANIES) -> DataFrame:
-    """Formularies and plan ids per contract name containing a company's name."""
+    """Drug lists and plan ids per contract name containing a company's name."""
     return (
         t["plan_information"].where(_names_any(F.col("contract_name"), companies))
         .groupBy("contract_name")
         .agg(
-            F.countDistinct("formulary_id").alias("total_formularies"),
+            F.countDistinct("drug_list_id").alias("total_drug_lists"),
             F.countDistinct("plan_id").alias("total_plans"),
         )
         .orderBy("contract_name")

@@ -26,13 +26,13 @@ def contract_type_name(contract_type):
     return label(contract_type, S.CONTRACT_TYPES, "Other")
 
 
-def formularies(t: Tables, year: int = 2025) -> DataFrame:
-    """Distinct formularies. NULL is not an entity (the id is a primary key)."""
+def drug_lists(t: Tables, year: int = 2025) -> DataFrame:
+    """Distinct drug lists. NULL is not an entity (the id is a primary key)."""
     return (
-        t["plan_information"].where(F.col("formulary_id").isNotNull())
-        .select("formulary_id").distinct()
+        t["plan_information"].where(F.col("drug_list_id").isNotNull())
+        .select("drug_list_id").distinct()
         .withColumns({
-            "formulary_version": F.lit(None).cast("string"),
+            "drug_list_version": F.lit(None).cast("string"),
             "contract_year": F.lit(year),
         })
     )
@@ -41,7 +41,7 @@ def formularies(t: Tables, year: int = 2025) -> DataFrame:
 def plans(t: Tables) -> DataFrame:
     """One row per distinct set of plan attributes, key first."""
     return t["plan_information"].select(
-        "plan_key", "contract_id", "plan_id", "segment_id", "plan_name", "formulary_id",
+        "plan_key", "contract_id", "plan_id", "segment_id", "plan_name", "drug_list_id",
         "premium", "deductible", F.col("snp").alias("snp_type"), "plan_suppressed_yn",
     ).distinct()
 

@@ -10,12 +10,12 @@ from tierscope.operators.normalize import Tables, collapse_rows, collapsed_mean_
 
 
 def organizations(t: Tables) -> DataFrame:
-    """Organizations with their formularies and plan x county rows."""
+    """Organizations with their drug lists and plan x county rows."""
     return (
         t["plan_information"].where(F.col("contract_name").isNotNull())
         .groupBy(F.col("contract_name").alias("organization"))
         .agg(
-            F.countDistinct("formulary_id").alias("formulary_count"),
+            F.countDistinct("drug_list_id").alias("drug_list_count"),
             F.count("*").alias("plan_count"),
         )
         .orderBy(F.desc("plan_count"), "organization")
@@ -30,11 +30,11 @@ def contract_list(t: Tables) -> DataFrame:
     """
     offered = collapse_rows(
         t["plan_information"].where(F.col("contract_id").isNotNull()),
-        "contract_id", "contract_name", "formulary_id", "plan_id", "state",
+        "contract_id", "contract_name", "drug_list_id", "plan_id", "state",
     )
     counted = offered.groupBy("contract_id").agg(
         F.max("contract_name").alias("contract_name"),
-        F.countDistinct("formulary_id").alias("formulary_count"),
+        F.countDistinct("drug_list_id").alias("drug_list_count"),
         F.countDistinct("plan_id").alias("plan_count"),
         F.countDistinct("state").alias("state_count"),
     )
@@ -45,14 +45,14 @@ def contract_list(t: Tables) -> DataFrame:
         "contract_id",
         F.coalesce("parent_organization", "contract_name").alias("parent_organization"),
         F.coalesce("organization_marketing_name", "contract_name").alias("marketing_name"),
-        "enrollment", "formulary_count", "plan_count", "state_count",
+        "enrollment", "drug_list_count", "plan_count", "state_count",
     ).orderBy(F.desc("plan_count"), "contract_id")
 
 
-def _enrolled_formulary_plans(enrollment: DataFrame, t: Tables, *columns: str) -> DataFrame:
-    """Enrollment rows matched to plan x county rows that have a formulary."""
-    offered = t["plan_information"].where(F.col("formulary_id").isNotNull()).select(
-        F.col("contract_id").alias("contract_number"), "plan_id", "formulary_id", *columns
+def _enrolled_drug_list_plans(enrollment: DataFrame, t: Tables, *columns: str) -> DataFrame:
+    """Enrollment rows matched to plan x county rows that have a drug list."""
+    offered = t["plan_information"].where(F.col("drug_list_id").isNotNull()).select(
+        F.col("contract_id").alias("contract_number"), "plan_id", "drug_list_id", *columns
     )
     if not columns:
         offered = offered.distinct()  # drops the county factor before the join
@@ -62,23 +62,23 @@ def _enrolled_formulary_plans(enrollment: DataFrame, t: Tables, *columns: str) -
 
 
 def orgs_by_enrollment(t: Tables, limit: int | None = None) -> DataFrame:
-    """Parent organizations of H contracts by members in plans with a formulary.
+    """Parent organizations of H contracts by members in plans with a drug list.
 
-    A plan with two formularies counts its members twice.
+    A plan with two drug lists counts its members twice.
     """
     enrolled = t["plan_enrollment"].where(
         F.col("enrollment").isNotNull() & F.col("parent_organization").isNotNull()
     )
-    rows = _enrolled_formulary_plans(enrolled, t).select(
+    rows = _enrolled_drug_list_plans(enrolled, t).select(
         "parent_organization", "organization_marketing_name", "contract_number", "plan_id",
-        "enrollment", "formulary_id",
+        "enrollment", "drug_list_id",
     ).distinct()
     ranked = rows.groupBy("parent_organization").agg(
         F.max("organization_marketing_name").alias("organization_marketing_name"),
         F.sum("enrollment").alias("total_enrollment"),
         F.countDistinct(F.concat("contract_number", F.lit("-"), "plan_id")).alias("plan_count"),
         F.countDistinct("contract_number").alias("contract_count"),
-        F.countDistinct("formulary_id").alias("formulary_count"),
+        F.countDistinct("drug_list_id").alias("drug_list_count"),
     ).orderBy(F.desc("total_enrollment"), "parent_organization")
     return ranked if limit is None else ranked.limit(limit)
 
@@ -87,10 +87,10 @@ def organization_plans(t: Tables, org: str) -> DataFrame:
     """H-contract plans of one parent organization, largest first."""
     enrolled = t["plan_enrollment"].where(F.col("parent_organization") == org)
     return (
-        _enrolled_formulary_plans(enrolled, t, "state")
+        _enrolled_drug_list_plans(enrolled, t, "state")
         .groupBy(
             "contract_number", "plan_id", "parent_organization", "organization_marketing_name",
-            "plan_name", "enrollment", "formulary_id",
+            "plan_name", "enrollment", "drug_list_id",
         )
         .agg(F.countDistinct("state").alias("state_count"))
         .select(
@@ -98,24 +98,24 @@ def organization_plans(t: Tables, org: str) -> DataFrame:
             F.concat("contract_number", F.lit("-"), "plan_id").alias("plan_full_id"),
             "parent_organization", "organization_marketing_name", "plan_name",
             F.coalesce("enrollment", F.lit(0)).alias("enrollment"),
-            "formulary_id", "state_count",
+            "drug_list_id", "state_count",
         )
-        .orderBy(F.desc("enrollment"), "contract_number", "plan_id", "formulary_id")
+        .orderBy(F.desc("enrollment"), "contract_number", "plan_id", "drug_list_id")
     )
 
 
-def contract_formularies(t: Tables, contract_id: str) -> DataFrame:
-    """Formularies of a contract with plans, states and counties."""
+def contract_drug_lists(t: Tables, contract_id: str) -> DataFrame:
+    """Drug lists of a contract with plans, states and counties."""
     return (
         t["plan_information"].where(F.col("contract_id") == contract_id)
-        .groupBy("formulary_id")
+        .groupBy("drug_list_id")
         .agg(
             F.max("contract_name").alias("contract_name"),
             F.countDistinct("plan_id").alias("plan_count"),
             F.countDistinct("state").alias("state_count"),
             F.countDistinct("county_code").alias("county_count"),
         )
-        .orderBy(F.desc("plan_count"), F.asc_nulls_last("formulary_id"))
+        .orderBy(F.desc("plan_count"), F.asc_nulls_last("drug_list_id"))
     )
 
 
@@ -144,13 +144,13 @@ def organization_totals(t: Tables, org: str) -> DataFrame:
         _total("enrollment").alias("total_enrollment"),
         F.count("*").alias("total_plans"),
         F.countDistinct("contract_number").alias("total_contracts"),
-        F.countDistinct("formulary_id").alias("total_formularies"),
+        F.countDistinct("drug_list_id").alias("total_drug_lists"),
     )
 
 
 def contract_totals(t: Tables, contract_id: str) -> DataFrame:
-    """Sum of plans, and the widest reach of any one formulary of the contract."""
-    return contract_formularies(t, contract_id).agg(
+    """Sum of plans, and the widest reach of any one drug list of the contract."""
+    return contract_drug_lists(t, contract_id).agg(
         _total("plan_count").alias("total_plans"),
         F.coalesce(F.max("state_count"), F.lit(0)).alias("total_states"),
         F.coalesce(F.max("county_count"), F.lit(0)).alias("total_counties"),
@@ -162,10 +162,10 @@ def _total(column: str):
 
 
 def global_stats(t: Tables) -> DataFrame:
-    """Distinct formularies, plan ids, drug concepts and organizations."""
-    drugs = t["formulary_drugs"].agg(F.countDistinct("rxcui")).scalar()
+    """Distinct drug lists, plan ids, drug concepts and organizations."""
+    drugs = t["drug_list_drugs"].agg(F.countDistinct("rxcui")).scalar()
     return t["plan_information"].agg(
-        F.countDistinct("formulary_id").alias("total_formularies"),
+        F.countDistinct("drug_list_id").alias("total_drug_lists"),
         F.countDistinct("plan_id").alias("total_plans"),
         F.countDistinct("contract_name").alias("total_organizations"),
     ).withColumn("total_drugs", drugs)
@@ -175,11 +175,11 @@ def top_contracts(t: Tables, limit: int | None = None, area: str | None = None)
     """Contracts with the most plans, in a county or state if given."""
     rows = t["plan_information"] if area is None else plans_in_area(t, area)
     offered = collapse_rows(
-        rows, "contract_id", "contract_name", "plan_key", "formulary_id", "state"
+        rows, "contract_id", "contract_name", "plan_key", "drug_list_id", "state"
     )
     counted = offered.groupBy("contract_id", "contract_name").agg(
         F.countDistinct("plan_key").alias("plans"),
-        F.countDistinct("formulary_id").alias("formularies"),
+        F.countDistinct("drug_list_id").alias("drug_lists"),
         collapsed_mean_premium().alias("avg_premium"),
         F.countDistinct("state").alias("states"),
     ).orderBy(F.desc("plans"), "contract_id", "contract_name")
@@ -189,12 +189,12 @@ def top_contracts(t: Tables, limit: int | None = None, area: str | None = None)
 def contract_comparison(t: Tables, limit: int | None = None) -> DataFrame:
     """Contracts by distinct plan ids, one name per contract."""
     offered = collapse_rows(
-        t["plan_information"], "contract_id", "contract_name", "plan_id", "formulary_id", "state"
+        t["plan_information"], "contract_id", "contract_name", "plan_id", "drug_list_id", "state"
     )
     counted = offered.groupBy("contract_id").agg(
         F.min("contract_name").alias("contract_name"),
         F.countDistinct("plan_id").alias("plans"),
-        F.countDistinct("formulary_id").alias("formularies"),
+        F.countDistinct("drug_list_id").alias("drug_lists"),
         collapsed_mean_premium().alias("avg_premium"),
         F.countDistinct("state").alias("states"),
     ).orderBy(F.desc("plans"), "contract_id")

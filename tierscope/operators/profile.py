@@ -16,12 +16,12 @@ SKETCH_ACCURACY = 20_000  # its rank error, 5e-5 of the rows, lies well inside t
 
 
 def plan_profile(t: Tables) -> DataFrame:
-    """Rows and distinct contracts, plans and formularies of the plan table."""
+    """Rows and distinct contracts, plans and drug lists of the plan table."""
     return t["plan_information"].agg(
         F.count("*").alias("records"),
         F.countDistinct("contract_id").alias("contracts"),
         F.countDistinct(F.struct("contract_id", "plan_id")).alias("plans"),
-        F.countDistinct("formulary_id").alias("formularies"),
+        F.countDistinct("drug_list_id").alias("drug_lists"),
     )
 
 
@@ -30,7 +30,7 @@ def plan_sample(t: Tables, limit: int = 5) -> DataFrame:
     return t["plan_information"].orderBy(
         "plan_key", "county_code", "contract_id", "plan_id"
     ).limit(limit).select(
-        "contract_id", "plan_id", "contract_name", "premium", "deductible", "formulary_id"
+        "contract_id", "plan_id", "contract_name", "premium", "deductible", "drug_list_id"
     )
 
 
@@ -121,12 +121,12 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFr
 
 
 def specialty_example(t: Tables) -> DataFrame:
-    """The first specialty drug listed, by formulary and code, with its restrictions."""
+    """The first specialty drug listed, by drug list and code, with its restrictions."""
     return (
-        t["formulary_drugs"].where(F.col("tier_level_value") == S.SPECIALTY_TIER)
-        .orderBy("formulary_id", "ndc", "rxcui").limit(1)
+        t["drug_list_drugs"].where(F.col("tier_level_value") == S.SPECIALTY_TIER)
+        .orderBy("drug_list_id", "ndc", "rxcui").limit(1)
         .select(
-            "ndc", "formulary_id", F.col("tier_level_value").alias("tier"),
+            "ndc", "drug_list_id", F.col("tier_level_value").alias("tier"),
             "prior_authorization_yn", "quantity_limit_yn",
         )
     )

@@ -12,26 +12,26 @@ from tierscope.operators.normalize import Tables
 
 
 def drug_counts(drugs: DataFrame) -> DataFrame:
-    """Distinct drugs and specialty drugs per formulary."""
+    """Distinct drugs and specialty drugs per drug list."""
     return count_items(
-        drugs, ["formulary_id"], "ndc", "total_drugs",
+        drugs, ["drug_list_id"], "ndc", "total_drugs",
         {"specialty_drugs": F.col("tier_level_value") == S.SPECIALTY_TIER},
     )
 
 
-def formulary_summary(t: Tables) -> DataFrame:
-    """Drugs, specialty drugs and plans of every formulary named by a plan.
+def drug_list_summary(t: Tables) -> DataFrame:
+    """Drugs, specialty drugs and plans of every drug list named by a plan.
 
-    Both sides are counted before they meet, so no formulary is expanded into
+    Both sides are counted before they meet, so no drug list is expanded into
     drugs x plans rows.
     """
     used = (
-        t["plan_information"].where(F.col("formulary_id").isNotNull())
-        .groupBy("formulary_id").agg(F.countDistinct("plan_key").alias("plans_using"))
+        t["plan_information"].where(F.col("drug_list_id").isNotNull())
+        .groupBy("drug_list_id").agg(F.countDistinct("plan_key").alias("plans_using"))
     )
-    return used.join(drug_counts(t["formulary_drugs"]), "formulary_id", "left").select(
-        "formulary_id",
-        F.lit(None).cast("string").alias("formulary_version"),
+    return used.join(drug_counts(t["drug_list_drugs"]), "drug_list_id", "left").select(
+        "drug_list_id",
+        F.lit(None).cast("string").alias("drug_list_version"),
         F.coalesce("total_drugs", F.lit(0)).alias("total_drugs"),
         F.coalesce("specialty_drugs", F.lit(0)).alias("specialty_drugs"),
         "plans_using",
@@ -60,7 +60,7 @@ def county_plan_summary(t: Tables) -> DataFrame:
 
 
 SUMMARIES = {
-    "formulary_summary": formulary_summary,
+    "drug_list_summary": drug_list_summary,
     "county_plan_summary": county_plan_summary,
 }
 

@@ -7,7 +7,7 @@ SELECT concat(CASE WHEN t.plan_no % 25 % 5 = 3 THEN 'S' WHEN t.plan_no % 25 % 5
        concat(concat(CASE WHEN t.plan_no % 25 % 5 = 3 THEN 'S' WHEN t.plan_no % 25 % 5 = 4 THEN 'R' ELSE 'H' END, lpad(CAST(t.plan_no % 25 AS STRING), 4, '0')), '|', lpad(CAST(t.plan_no AS STRING), 5, '0'), '|000') AS plan_key,
        CASE WHEN t.plan_no % 25 = 11 THEN 'Aetna Health' ELSE cn.n_name END AS contract_name,
        concat('Plan ', CAST(t.plan_no AS STRING)) AS plan_name,
-       CASE WHEN t.plan_no % 17 <> 16 THEN lpad(CAST(t.plan_no % 20 AS STRING), 8, '0') END AS formulary_id,
+       CASE WHEN t.plan_no % 17 <> 16 THEN lpad(CAST(t.plan_no % 20 AS STRING), 8, '0') END AS drug_list_id,
        CASE WHEN t.plan_no % 13 <> 12 THEN CAST(CAST((t.plan_no * 37) % 1909 AS DOUBLE) / 10.0 AS DECIMAL(10,2)) END AS premium,
        CAST((t.plan_no * 59) % 591 AS DECIMAL(10,2)) AS deductible,
        CAST(t.plan_no % 5 AS INT) AS snp,
@@ -24,8 +24,8 @@ SELECT concat('29', lpad(CAST(n.n_nationkey AS STRING), 3, '0')) AS county_code,
        lpad(CAST(r.r_regionkey + 10 AS STRING), 2, '0') AS pdp_region_code, concat('PDP ', r.r_name) AS pdp_region_name
 FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
 """,
-    "formulary_drugs": """
-SELECT lpad(CAST(f.fno AS STRING), 8, '0') AS formulary_id, CAST(floor(p.p_partkey / 2) AS BIGINT) AS rxcui,
+    "drug_list_drugs": """
+SELECT lpad(CAST(f.fno AS STRING), 8, '0') AS drug_list_id, CAST(floor(p.p_partkey / 2) AS BIGINT) AS rxcui,
        lpad(CAST(p.p_partkey AS STRING), 11, '0') AS ndc,
        CAST((p.p_partkey + f.fno) % 7 + 1 AS INT) AS tier_level_value,
        CASE WHEN p.p_size % 3 = 0 THEN 'Y' ELSE 'N' END AS quantity_limit_yn,

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.expr import rounded
 from tierscope.functions.params import scratch_path
-from tierscope.operators import costs, drugs, formulary, geography, landscape, normalize
+from tierscope.operators import costs, drugs, drug_list, geography, landscape, normalize
 from tierscope.operators import organizations as orgs
 from tierscope.operators import profile, summaries
 from tierscope.plans import samples as P
@@ -56,7 +56,8 @@ def _spark(t: Tables) -> SparkSession:
 
 def _deliver(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     """Writes a table the way source files come: pipes, upper-case header."""
-    named = df.toDF(*[c.upper() for c in df.columns])
+    header = {here: there for there, here in S.DELIVERED_NAMES.items()}
+    named = df.toDF(*[header.get(c, c).upper() for c in df.columns])
     named.write.option("sep", "|").option("header", True).option("encoding", encoding).csv(path)
     return path
 
@@ -77,7 +78,7 @@ def _read_pipe_latin1(t: Tables) -> DataFrame:
 def _zip_batches(batches):
     """One archive per batch of lines: a header and the rows."""
     for batch in batches:
-        lines = "\n".join(["FORMULARY_ID|NDC|TIER_LEVEL_VALUE", *batch.column(0).to_pylist()])
+        lines = "\n".join(["DRUG_LIST_ID|NDC|TIER_LEVEL_VALUE", *batch.column(0).to_pylist()])
         packed = io.BytesIO()
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("part.txt", lines + "\n")
@@ -85,17 +86,17 @@ def _zip_batches(batches):
 
 
 def _unzip_pipe(t: Tables) -> DataFrame:
-    lines = t["formulary_drugs"].select(
-        F.concat_ws("|", "formulary_id", "ndc", "tier_level_value").alias("line")
+    lines = t["drug_list_drugs"].select(
+        F.concat_ws("|", "drug_list_id", "ndc", "tier_level_value").alias("line")
     )
     archives = lines.mapInArrow(_zip_batches, "content binary")
-    rows = text.unzip_pipe(archives, ["ndc", "tier_level_value", "formulary_id"])
+    rows = text.unzip_pipe(archives, ["ndc", "tier_level_value", "drug_list_id"])
     return text.coerce(rows, {"tier_level_value": S.INT})
 
 
 def _clean_columns(t: Tables) -> DataFrame:
-    df = t["formulary_drugs"].select("formulary_id", "ndc", "tier_level_value")
-    return text.clean_columns(df.toDF("FORMULARY ID", "Ndc", "Tier_Level Value"))
+    df = t["drug_list_drugs"].select("drug_list_id", "ndc", "tier_level_value")
+    return text.clean_columns(df.toDF("DRUG_LIST ID", "Ndc", "Tier_Level Value"))
 
 
 def _rename_positional(t: Tables) -> DataFrame:
@@ -127,7 +128,7 @@ def _null_tokens(t: Tables) -> DataFrame:
 
 
 def _write_table(t: Tables) -> DataFrame:
-    return sinks.write_table(t["formulary_drugs"], scratch_path(_spark(t), "drugs"))
+    return sinks.write_table(t["drug_list_drugs"], scratch_path(_spark(t), "drugs"))
 
 
 def _write_pricing(t: Tables) -> DataFrame:
@@ -158,7 +159,7 @@ def _load_tables(name: str, *columns: str) -> Build:
     def build(t: Tables) -> DataFrame:
         spark, root = _spark(t), scratch_path(_spark(t), "ingest")
         required = (
-            "plan_information", "geographic_locator", "formulary_drugs", "beneficiary_costs",
+            "plan_information", "geographic_locator", "drug_list_drugs", "beneficiary_costs",
         )
         sources = {table: _deliver(t[table], f"{root}/text/{table}") for table in required}
         sinks.ingest(spark, sources, f"{root}/tables", 2025)
@@ -174,7 +175,7 @@ def _snapshot(t: Tables) -> DataFrame:
     later = F.when(F.col("year") == 2025, F.col("premium"))
     return tables.snapshot({"plan_information": plans.withColumn("premium", later)}, 2026)[
         "plan_information"
-    ].select("plan_key", "county_code", "formulary_id", "premium")
+    ].select("plan_key", "county_code", "drug_list_id", "premium")
 
 
 def _read_drug_names(t: Tables) -> DataFrame:
@@ -189,7 +190,7 @@ def _read_drug_names(t: Tables) -> DataFrame:
 
 def _export_csv(t: Tables) -> DataFrame:
     path = scratch_path(_spark(t), "csv")
-    sinks.export_csv(formulary.specialty_drug_groups(t, P.FORMULARY), path)
+    sinks.export_csv(drug_list.specialty_drug_groups(t, P.DRUG_LIST), path)
     return _spark(t).read.option("header", True).schema(
         "rxcui long, ndc string, tier int, quantity_limit_yn string, "
         "prior_authorization_yn string, step_therapy_yn string, ndc_count long, "
@@ -198,8 +199,8 @@ def _export_csv(t: Tables) -> DataFrame:
 
 
 def _to_records(t: Tables) -> DataFrame:
-    rows = t["plan_information"].select("plan_key", "county_code", "formulary_id", "snp")
-    return sinks.to_records(rows, {"formulary_id": "none"})
+    rows = t["plan_information"].select("plan_key", "county_code", "drug_list_id", "snp")
+    return sinks.to_records(rows, {"drug_list_id": "none"})
 
 
 def _refresh(name: str) -> Build:
@@ -239,12 +240,12 @@ def _format_money(t: Tables) -> DataFrame:
 
 
 def _priority_sort(t: Tables) -> DataFrame:
-    ranked = drugs.priority_sort(costs.tier_drugs_priced(t, P.FORMULARY, P.TIER), P.PRIORITY)
+    ranked = drugs.priority_sort(costs.tier_drugs_priced(t, P.DRUG_LIST, P.TIER), P.PRIORITY)
     return ranked.select("rxcui", "ndc", "negotiated_cost")
 
 
 def _with_drug_name(t: Tables) -> DataFrame:
-    rows = t["formulary_drugs"].select("rxcui", "ndc").distinct()
+    rows = t["drug_list_drugs"].select("rxcui", "ndc").distinct()
     return drugs.with_drug_name(rows, t["drug_names"])
 
 
@@ -256,7 +257,7 @@ def _describe(table: str, column: str) -> Build:
     return build
 
 
-FID = P.FORMULARY
+FID = P.DRUG_LIST
 
 QUERIES: dict[str, Build] = {
     # sources and sinks
@@ -273,7 +274,7 @@ QUERIES: dict[str, Build] = {
     "append_pricing": _append_pricing,
     "ingest_report": lambda t: tables.ingest_report(t),
     "load_tables": _load_tables(
-        "formulary_drugs", "formulary_id", "rxcui", "ndc", "tier_level_value", "quantity_limit_yn",
+        "drug_list_drugs", "drug_list_id", "rxcui", "ndc", "tier_level_value", "quantity_limit_yn",
         "quantity_limit_amount", "quantity_limit_days", "prior_authorization_yn", "step_therapy_yn",
     ),
     "load_tables_costs": _load_tables(
@@ -286,7 +287,7 @@ QUERIES: dict[str, Build] = {
     "to_records": _to_records,
     # normalization
     "contracts": normalize.contracts,
-    "formularies": normalize.formularies,
+    "drug_lists": normalize.drug_lists,
     "plans": normalize.plans,
     "plan_geography": normalize.plan_geography,
     "duplicate_keys": lambda t: normalize.duplicate_keys(
@@ -299,55 +300,55 @@ QUERIES: dict[str, Build] = {
     "declared_keys": normalize.declared_keys,
     "declared_references": normalize.declared_references,
     # summaries
-    "formulary_summary": summaries.formulary_summary,
+    "drug_list_summary": summaries.drug_list_summary,
     "county_plan_summary": summaries.county_plan_summary,
-    "refresh_formulary_summary": _refresh("formulary_summary"),
+    "refresh_drug_list_summary": _refresh("drug_list_summary"),
     "refresh_county_plan_summary": _refresh("county_plan_summary"),
-    # formularies
-    "formulary_list": formulary.formulary_list,
-    "formulary_list_of_org": lambda t: formulary.formulary_list(t, P.ORG_PART),
-    "formulary_orgs": formulary.formulary_orgs,
-    "org_prefixes": formulary.org_prefixes,
-    "formularies_of_org": lambda t: formulary.formularies_of_org(t, P.ORG_NAME),
-    "formulary_parent": lambda t: formulary.formulary_parent(t, FID),
-    "tier_drug_counts": lambda t: formulary.tier_drug_counts(t, FID),
-    "restriction_counts": lambda t: formulary.restriction_counts(t, FID),
-    "formulary_geography": lambda t: formulary.formulary_geography(t, FID),
-    "cost_sample": lambda t: formulary.cost_sample(t, FID),
-    "specialty_counts": lambda t: formulary.specialty_counts(t, FID),
-    "tier_share": lambda t: formulary.tier_share(t, FID),
-    "restriction_share": lambda t: formulary.restriction_share(t, FID),
-    "specialty_pa_share": lambda t: formulary.specialty_pa_share(t, FID),
-    "formulary_drugs_list": lambda t: formulary.formulary_drugs_list(t, FID),
-    "formulary_drugs_list_specialty": lambda t: formulary.formulary_drugs_list(
+    # drug lists
+    "drug_list_list": drug_list.drug_list_list,
+    "drug_list_list_of_org": lambda t: drug_list.drug_list_list(t, P.ORG_PART),
+    "drug_list_orgs": drug_list.drug_list_orgs,
+    "org_prefixes": drug_list.org_prefixes,
+    "drug_lists_of_org": lambda t: drug_list.drug_lists_of_org(t, P.ORG_NAME),
+    "drug_list_parent": lambda t: drug_list.drug_list_parent(t, FID),
+    "tier_drug_counts": lambda t: drug_list.tier_drug_counts(t, FID),
+    "restriction_counts": lambda t: drug_list.restriction_counts(t, FID),
+    "drug_list_geography": lambda t: drug_list.drug_list_geography(t, FID),
+    "cost_sample": lambda t: drug_list.cost_sample(t, FID),
+    "specialty_counts": lambda t: drug_list.specialty_counts(t, FID),
+    "tier_share": lambda t: drug_list.tier_share(t, FID),
+    "restriction_share": lambda t: drug_list.restriction_share(t, FID),
+    "specialty_pa_share": lambda t: drug_list.specialty_pa_share(t, FID),
+    "drug_list_drugs_list": lambda t: drug_list.drug_list_drugs_list(t, FID),
+    "drug_list_drugs_list_specialty": lambda t: drug_list.drug_list_drugs_list(
         t, FID, specialty_only=True
     ),
-    "formulary_drugs_list_tier": lambda t: formulary.formulary_drugs_list(t, FID, tier=P.TIER),
-    "formulary_states": lambda t: formulary.formulary_states(t, FID),
-    "formulary_overview": lambda t: formulary.formulary_overview(t, FID),
-    "formulary_plans": lambda t: formulary.formulary_plans(t, FID),
-    "formulary_plans_first": lambda t: formulary.formulary_plans(t, FID, 20),
-    "formulary_plan_rows": lambda t: formulary.formulary_plan_rows(t, FID),
-    "formulary_plan_metrics": lambda t: formulary.formulary_plan_metrics(t, FID),
-    "formulary_parent_orgs": lambda t: formulary.formulary_parent_orgs(t, FID),
-    "tier_summary": lambda t: formulary.tier_summary(t, FID),
-    "formulary_drug_details": lambda t: formulary.formulary_drug_details(t, FID),
-    "specialty_drugs": lambda t: formulary.specialty_drugs(t, FID),
-    "specialty_drugs_first": lambda t: formulary.specialty_drugs(t, FID, limit=25),
-    "specialty_drug_groups": lambda t: formulary.specialty_drug_groups(t, FID),
-    "specialty_drug_metrics": lambda t: formulary.specialty_drug_metrics(t, FID),
-    "with_restriction_codes": lambda t: formulary.with_restriction_codes(t["formulary_drugs"])
-    .select("formulary_id", "ndc", "restrictions"),
-    "formulary_sizes": formulary.formulary_sizes,
-    "restrictiveness": formulary.restrictiveness,
-    "restrictiveness_rows": formulary.restrictiveness_rows,
-    "formulary_drugs_sample_plan": lambda t: formulary.formulary_drugs_sample_plan(t, FID),
+    "drug_list_drugs_list_tier": lambda t: drug_list.drug_list_drugs_list(t, FID, tier=P.TIER),
+    "drug_list_states": lambda t: drug_list.drug_list_states(t, FID),
+    "drug_list_overview": lambda t: drug_list.drug_list_overview(t, FID),
+    "drug_list_plans": lambda t: drug_list.drug_list_plans(t, FID),
+    "drug_list_plans_first": lambda t: drug_list.drug_list_plans(t, FID, 20),
+    "drug_list_plan_rows": lambda t: drug_list.drug_list_plan_rows(t, FID),
+    "drug_list_plan_metrics": lambda t: drug_list.drug_list_plan_metrics(t, FID),
+    "drug_list_parent_orgs": lambda t: drug_list.drug_list_parent_orgs(t, FID),
+    "tier_summary": lambda t: drug_list.tier_summary(t, FID),
+    "drug_list_drug_details": lambda t: drug_list.drug_list_drug_details(t, FID),
+    "specialty_drugs": lambda t: drug_list.specialty_drugs(t, FID),
+    "specialty_drugs_first": lambda t: drug_list.specialty_drugs(t, FID, limit=25),
+    "specialty_drug_groups": lambda t: drug_list.specialty_drug_groups(t, FID),
+    "specialty_drug_metrics": lambda t: drug_list.specialty_drug_metrics(t, FID),
+    "with_restriction_codes": lambda t: drug_list.with_restriction_codes(t["drug_list_drugs"])
+    .select("drug_list_id", "ndc", "restrictions"),
+    "drug_list_sizes": drug_list.drug_list_sizes,
+    "restrictiveness": drug_list.restrictiveness,
+    "restrictiveness_rows": drug_list.restrictiveness_rows,
+    "drug_list_drugs_sample_plan": lambda t: drug_list.drug_list_drugs_sample_plan(t, FID),
     # organizations
     "organizations": orgs.organizations,
     "contract_list": orgs.contract_list,
     "orgs_by_enrollment": orgs.orgs_by_enrollment,
     "organization_plans": lambda t: orgs.organization_plans(t, P.ORGANIZATION),
-    "contract_formularies": lambda t: orgs.contract_formularies(t, P.CONTRACT),
+    "contract_drug_lists": lambda t: orgs.contract_drug_lists(t, P.CONTRACT),
     "org_totals": orgs.org_totals,
     "search_orgs": lambda t: orgs.search_orgs(t, P.SEARCH),
     "organization_totals": lambda t: orgs.organization_totals(t, P.ORGANIZATION),
@@ -366,7 +367,7 @@ QUERIES: dict[str, Build] = {
     "area_plans": lambda t: geography.area_plans(t, P.COUNTY),
     "area_plans_first": lambda t: geography.area_plans(t, P.STATE, 10),
     "area_premium_stats": lambda t: geography.area_premium_stats(t, P.STATE),
-    "area_formularies": lambda t: geography.area_formularies(t, P.STATE),
+    "area_drug_lists": lambda t: geography.area_drug_lists(t, P.STATE),
     "area_snp": lambda t: geography.area_snp(t, P.STATE),
     "county_plans": lambda t: geography.county_plans(t, P.COUNTY),
     "county_summary": lambda t: geography.county_summary(t, P.COUNTY),
@@ -420,12 +421,12 @@ QUERIES: dict[str, Build] = {
     "describe_premium": _describe("plan_information", "premium"),
     "describe_deductible": _describe("plan_information", "deductible"),
     "describe_unit_cost": _describe("drug_pricing", "unit_cost"),
-    "value_counts_tier": lambda t: profile.value_counts(t["formulary_drugs"], "tier_level_value"),
+    "value_counts_tier": lambda t: profile.value_counts(t["drug_list_drugs"], "tier_level_value"),
     "value_counts_prior_auth": lambda t: profile.value_counts(
-        t["formulary_drugs"], "prior_authorization_yn"
+        t["drug_list_drugs"], "prior_authorization_yn"
     ),
     "value_counts_quantity_limit": lambda t: profile.value_counts(
-        t["formulary_drugs"], "quantity_limit_yn"
+        t["drug_list_drugs"], "quantity_limit_yn"
     ),
     "value_counts_cost_type": lambda t: profile.value_counts(
         t["beneficiary_costs"], "cost_type_pref"
@@ -436,8 +437,8 @@ QUERIES: dict[str, Build] = {
     "value_counts_days_supply": lambda t: profile.value_counts(t["drug_pricing"], "days_supply"),
     "value_counts_state": lambda t: profile.value_counts(t["plan_information"], "state"),
     "value_counts_snp": lambda t: profile.value_counts(t["plan_information"], "snp"),
-    "value_counts_formulary": lambda t: profile.value_counts(
-        t["plan_information"], "formulary_id"
+    "value_counts_drug_list": lambda t: profile.value_counts(
+        t["plan_information"], "drug_list_id"
     ),
     "specialty_example": profile.specialty_example,
     "drug_price_range": lambda t: profile.drug_price_range(t, P.NDC),

@@ -1,6 +1,6 @@
 """Parameter values used by the registered queries and their SQL."""
 
-FORMULARY = "00000005"
+DRUG_LIST = "00000005"
 COUNTY = "29003"
 STATE = "AS"
 STATE_NAME = "ASIA"

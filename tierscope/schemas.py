@@ -25,7 +25,7 @@ def _channel(name: str) -> dict[str, T.DataType]:
 
 PLAN_INFORMATION = _struct(
     contract_id=STR, plan_id=STR, segment_id=STR, plan_key=STR, contract_name=STR,
-    plan_name=STR, formulary_id=STR, premium=MONEY, deductible=MONEY, snp=INT,
+    plan_name=STR, drug_list_id=STR, premium=MONEY, deductible=MONEY, snp=INT,
     plan_suppressed_yn=STR, state=STR, county_code=STR, ma_region_code=STR,
     pdp_region_code=STR,
 )
@@ -33,8 +33,8 @@ GEOGRAPHIC_LOCATOR = _struct(
     county_code=STR, state_name=STR, county_name=STR, ma_region_code=STR,
     ma_region_name=STR, pdp_region_code=STR, pdp_region_name=STR,
 )
-FORMULARY_DRUGS = _struct(
-    formulary_id=STR, formulary_version=STR, contract_year=INT, rxcui=LONG, ndc=STR,
+DRUG_LIST_DRUGS = _struct(
+    drug_list_id=STR, drug_list_version=STR, contract_year=INT, rxcui=LONG, ndc=STR,
     tier_level_value=INT, quantity_limit_yn=STR, quantity_limit_amount=INT,
     quantity_limit_days=INT, prior_authorization_yn=STR, step_therapy_yn=STR,
 )
@@ -59,7 +59,7 @@ DRUG_NAMES = _struct(rxcui=LONG, description=STR)
 SCHEMAS: dict[str, T.StructType] = {
     "plan_information": PLAN_INFORMATION,
     "geographic_locator": GEOGRAPHIC_LOCATOR,
-    "formulary_drugs": FORMULARY_DRUGS,
+    "drug_list_drugs": DRUG_LIST_DRUGS,
     "drug_pricing": DRUG_PRICING,
     "beneficiary_costs": BENEFICIARY_COSTS,
     "plan_enrollment": PLAN_ENROLLMENT,
@@ -77,10 +77,13 @@ OPTIONAL_TABLES = ("drug_pricing", "plan_enrollment", "contract_organizations",
 ENROLLMENT_TABLES = ("plan_enrollment",)
 ENROLLMENT_YEAR = 2025
 
+# The delivered files' own header where columns are named otherwise here.
+DELIVERED_NAMES = {"formulary_id": "drug_list_id", "formulary_version": "drug_list_version"}
+
 # Column order of the delivered files, for tables renamed by position.
 POSITIONAL = {
     "geographic_locator": GEOGRAPHIC_LOCATOR.names,
-    "formulary_drugs": FORMULARY_DRUGS.names,
+    "drug_list_drugs": DRUG_LIST_DRUGS.names,
     "beneficiary_costs": ["contract_id", "plan_id", "segment_id", *BENEFICIARY_COSTS.names[1:]],
     "drug_pricing": ["contract_id", "plan_id", "segment_id", "ndc", "days_supply", "unit_cost"],
 }
@@ -97,12 +100,12 @@ UNIQUE_KEYS = {
 # Declared references: child table and column, parent table and column.
 REFERENCES = (
     ("plan_information", "county_code", "geographic_locator", "county_code"),
-    ("plan_information", "formulary_id", "formulary_drugs", "formulary_id"),
+    ("plan_information", "drug_list_id", "drug_list_drugs", "drug_list_id"),
     ("plan_enrollment", "contract_number", "plan_information", "contract_id"),
     ("beneficiary_costs", "plan_key", "plan_information", "plan_key"),
     ("drug_pricing", "plan_key", "plan_information", "plan_key"),
-    ("drug_pricing", "ndc", "formulary_drugs", "ndc"),
-    ("formulary_drugs", "rxcui", "drug_names", "rxcui"),
+    ("drug_pricing", "ndc", "drug_list_drugs", "ndc"),
+    ("drug_list_drugs", "rxcui", "drug_names", "rxcui"),
 )
 
 # Text that a delivered file uses for "missing".

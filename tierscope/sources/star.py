@@ -110,7 +110,7 @@ def _plan_information(t: DerivedTables) -> DataFrame:
             F.when(F.col("contract_no") == 11, "Aetna Health")
             .otherwise(F.col("nation_name")).alias("contract_name"),
             F.concat(F.lit("Plan "), no.cast("string")).alias("plan_name"),
-            F.when(no % 17 != 16, _digits(no % 20, 8)).alias("formulary_id"),
+            F.when(no % 17 != 16, _digits(no % 20, 8)).alias("drug_list_id"),
             F.when(no % 13 != 12, (((no * 37) % 1909).cast("double") / 10.0).cast(S.MONEY))
             .alias("premium"),
             ((no * 59) % 591).cast(S.MONEY).alias("deductible"),
@@ -135,14 +135,14 @@ def _geographic_locator(t: DerivedTables) -> DataFrame:
     )
 
 
-def _formulary_drugs(t: DerivedTables) -> DataFrame:
+def _drug_list_drugs(t: DerivedTables) -> DataFrame:
     listed = t.raw("lineitem").select(
-        (F.col("l_suppkey") % 20).alias("formulary_no"), F.col("l_partkey").alias("p_partkey")
+        (F.col("l_suppkey") % 20).alias("drug_list_no"), F.col("l_partkey").alias("p_partkey")
     ).distinct()
-    size, no = F.col("p_size"), F.col("formulary_no")
+    size, no = F.col("p_size"), F.col("drug_list_no")
     limited = size % 3 == 0
     return listed.join(t.raw("part"), "p_partkey").select(
-        _digits(no, 8).alias("formulary_id"),
+        _digits(no, 8).alias("drug_list_id"),
         F.floor(F.col("p_partkey") / 2).cast("long").alias("rxcui"),
         _digits(F.col("p_partkey"), 11).alias("ndc"),
         ((F.col("p_partkey") + no) % 7 + 1).cast("int").alias("tier_level_value"),
@@ -245,7 +245,7 @@ def _drug_names(t: DerivedTables) -> DataFrame:
 BUILDERS = {
     "plan_information": _plan_information,
     "geographic_locator": _geographic_locator,
-    "formulary_drugs": _formulary_drugs,
+    "drug_list_drugs": _drug_list_drugs,
     "drug_pricing": _drug_pricing,
     "beneficiary_costs": _beneficiary_costs,
     "plan_enrollment": _plan_enrollment,

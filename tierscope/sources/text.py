@@ -196,10 +196,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def prepare(df: DataFrame, table: str) -> DataFrame:
     """A delivered text table as the typed table of that name.
 
+    Columns that the delivered header names otherwise get their name here.
     Where the header names columns differently but their number is the known one, they
     are taken by position. Tables without a fixed schema keep their columns as text.
     """
-    named = clean_columns(df)
+    named = clean_columns(df).withColumnsRenamed(S.DELIVERED_NAMES)
     positions = S.POSITIONAL.get(table, [])
     if len(positions) == len(named.columns) and not set(positions) <= set(named.columns):
         named = rename_positional(named, positions)
