@@ -164,7 +164,9 @@ def _total(column: str):
 def global_stats(t: Tables) -> DataFrame:
     """Distinct drug lists, plan ids, drug concepts and organizations."""
     drugs = t["drug_list_drugs"].agg(F.countDistinct("rxcui")).scalar()
-    return t["plan_information"].agg(
+    # Without the county factor, before rows are copied once per count.
+    offered = t["plan_information"].select("drug_list_id", "plan_id", "contract_name").distinct()
+    return offered.agg(
         F.countDistinct("drug_list_id").alias("total_drug_lists"),
         F.countDistinct("plan_id").alias("total_plans"),
         F.countDistinct("contract_name").alias("total_organizations"),

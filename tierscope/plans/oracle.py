@@ -8,11 +8,29 @@ from __future__ import annotations
 
 import re
 
-from tierscope import schemas as S
-from tierscope.operators.landscape import COMPANIES, COMPANY_PATTERNS
 from tierscope.plans import samples as P
 from tierscope.plans.prelude import PRELUDE
 
+# Fixed values, written out here so that they are not those of the code under test.
+COMPANIES = (
+    "Elevance", "UnitedHealth", "Humana", "CVS", "Molina", "Centene", "Alignment",
+)
+COMPANY_PATTERNS = (
+    ("ELEVANCE", "Elevance"), ("UNITEDHEALTH", "UnitedHealth"), ("UNITED HEALTH", "UnitedHealth"),
+    ("HUMANA", "Humana"), ("CVS", "CVS"), ("AETNA", "CVS"), ("MOLINA", "Molina"),
+    ("CENTENE", "Centene"), ("ALIGNMENT", "Alignment"),
+)
+TIERS = {
+    1: "Generic", 2: "Preferred Generic", 3: "Preferred Brand", 4: "Non-Preferred",
+    5: "Specialty", 6: "Tier 6",
+}
+TIERS_SHORT = {tier: name for tier, name in TIERS.items() if tier < 6}
+TIERS_PAGE = {
+    1: "Generic", 2: "Preferred Brand", 3: "Non-Preferred Brand", 4: "Non-Preferred Drug",
+    5: "Specialty Tier", 6: "Select Care Drugs",
+}
+PLAN_TYPES = {0: "Standard MA-PD", 1: "SNP Type 1", 2: "Dual Eligible SNP", 3: "SNP Type 3"}
+
 FID, CNTY, NDC = f"'{P.DRUG_LIST}'", f"'{P.COUNTY}'", f"'{P.NDC}'"
 
 # ---------------------------------------------------------------- SQL fragments
@@ -427,7 +445,7 @@ UNION ALL SELECT 'beneficiary_costs', COUNT(*) FROM (
     f"{rows_if(PA + " = 'Y'")} AS specialty_pa_count FROM drug_list_drugs "
     f"WHERE drug_list_id = {FID} AND tier_level_value IN (5, 6)",
     "tier_share": f"""
-SELECT tier, {names('tier', S.TIER_NAMES_PAGE, "'Tier ' || tier")} AS tier_name, drug_count,
+SELECT tier, {names('tier', TIERS_PAGE, "'Tier ' || tier")} AS tier_name, drug_count,
        {pct0('drug_count', '(SUM(drug_count) OVER ())')} AS pct_of_drug_list
 FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM drug_list_drugs
       WHERE drug_list_id = {FID} GROUP BY 1)""",
@@ -465,13 +483,13 @@ FROM (SELECT tier_level_value AS tier, COUNT(DISTINCT rxcui) AS drug_count FROM
     "drug_list_parent_orgs": f"SELECT contract_name, COUNT(*) AS plan_count FROM plan_information "
     f"WHERE drug_list_id = {FID} GROUP BY 1 ORDER BY 2 DESC, 1",
     "tier_summary": f"SELECT tier_level_value AS tier, "
-    f"{names('tier_level_value', S.TIER_NAMES, "'Other'")} AS tier_name, COUNT(*) AS drug_count, "
+    f"{names('tier_level_value', TIERS, "'Other'")} AS tier_name, COUNT(*) AS drug_count, "
     f"{rows_if(PA + " = 'Y'")} AS with_prior_auth, {rows_if(QL + " = 'Y'")} AS with_qty_limits, "
     f"{rows_if(ST + " = 'Y'")} AS with_step_therapy FROM drug_list_drugs "
     f"WHERE drug_list_id = {FID} GROUP BY 1",
     "drug_list_drug_details": f"SELECT ndc, rxcui, tier_level_value AS tier, {QL}, quantity_limit_amount, "
     f"quantity_limit_days, {PA}, {ST}, COUNT(*) AS drug_list_count, "
-    f"{names('tier_level_value', S.TIER_NAMES_SHORT, "'Other'")} AS tier_description "
+    f"{names('tier_level_value', TIERS_SHORT, "'Other'")} AS tier_description "
     f"FROM drug_list_drugs WHERE drug_list_id = {FID} GROUP BY ALL",
     "specialty_drugs": f"SELECT ndc, rxcui, tier_level_value AS tier, {QL}, quantity_limit_amount, {PA}, {ST} "
     f"FROM drug_list_drugs WHERE drug_list_id = {FID} AND tier_level_value = 5",
@@ -557,7 +575,7 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     "COUNT(DISTINCT d.ndc) FILTER (WHERE d.tier_level_value = 5) AS specialty_drugs FROM plan_information p "
     f"LEFT JOIN drug_list_drugs d ON d.drug_list_id = p.drug_list_id WHERE p.state = '{P.STATE}' GROUP BY 1 "
     "ORDER BY 2 DESC, 1 NULLS LAST",
-    "area_snp": f"SELECT {names('snp', S.SNP_NAMES, "'Other'")} AS plan_type, "
+    "area_snp": f"SELECT {names('snp', PLAN_TYPES, "'Other'")} AS plan_type, "
     f"COUNT(DISTINCT plan_key) AS plan_count FROM plan_information {AREA} GROUP BY snp",
     "county_plans": f"SELECT p.contract_id, c.contract_name, p.plan_id, p.plan_name, {dbl('p.premium')} AS premium, "
     f"{dbl('p.deductible')} AS deductible, p.snp_type, p.drug_list_id, fs.specialty_drugs FROM pg "
@@ -572,7 +590,7 @@ LEFT JOIN rules1 r ON (r.plan_key, r.tier) = (d.k, d.tier_level_value)""",
     # drugs
     "drug_overview": "SELECT ndc, rxcui, COUNT(DISTINCT drug_list_id) AS drug_lists_covering, "
     f"COUNT(*) AS total_entries FROM drug_list_drugs WHERE ndc = {NDC} GROUP BY 1, 2",
-    "drug_tiers": f"SELECT tier_level_value AS tier, {names('tier_level_value', S.TIER_NAMES_SHORT, "'Other'")} AS tier_name, "
+    "drug_tiers": f"SELECT tier_level_value AS tier, {names('tier_level_value', TIERS_SHORT, "'Other'")} AS tier_name, "
     "COUNT(DISTINCT drug_list_id) AS drug_lists, COUNT(*) AS entries FROM drug_list_drugs "
     f"WHERE ndc = {NDC} GROUP BY 1",
     "drug_restrictions": f"SELECT {rows_if(PA + " = 'Y'")} AS with_prior_auth, {rows_if(QL + " = 'Y'")} AS with_qty_limits, "
