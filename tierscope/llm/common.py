@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import zipfile
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  # of a batch that goes to a Python worker
 CHUNK_BYTES = 1 << 20  # text that a per-document function works on at a time
 
 
@@ -25,8 +28,15 @@ _shipped: set[str] = set()
 
 
 def ship() -> None:
-    """Sends this package to the executors, once a session, as tasks import it by name."""
-    context = SparkSession.getActiveSession().sparkContext
+    """Sends this package to the executors, once a session, as tasks import it by name.
+
+    Also bounds the text that Arrow hands to a worker at a time, if the session's bound is
+    wider.
+    """
+    session = SparkSession.getActiveSession()
+    if int(re.sub(r"\D", "", session.conf.get(BATCH_SETTING))) > BATCH_BYTES:
+        session.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    context = session.sparkContext
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -100,6 +110,7 @@ def per_text(
         finally:  # a worker serves further tasks, and what this one unpickled is cyclic
             gc.enable()
             gc.collect()
+            pa.default_memory_pool().release_unused()
 
     ship()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

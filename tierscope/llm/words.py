@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MEMORY_WORDS = 250_000  # words whose ids one worker remembers, and as many word cores
+MEMORY_WORDS = 200_000  # words whose ids one worker remembers, and as many word cores
 ENCODE_BYTES = 4 << 20  # text encoded at a time
 LONGEST_KEPT = 48  # bytes; longer words are encoded each time
 TRAILING = b".,!?;:#*$%&|)\"'"  # ASCII marks that are tokens of their own at a word's end
