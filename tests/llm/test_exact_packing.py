@@ -33,6 +33,19 @@ def test_words_are_encoded_as_texts_are(text):
     assert ids.tolist() == ids_of(text)
 
 
+def test_marks_at_word_ends_are_encoded_as_the_library_does():
+    ascii_marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    marks = [*ascii_marks, *"\u201c\u201d\u2018\u2019\u2013\u2014\u2026\u20ac\u00b0\u3002\u0301\u20dd\U0001f600"]
+    texts = [f"{core}{a}{b}" for core in ("foo", "\u00e9", "7", "") for a in marks for b in marks]
+    texts += [f"x{a}.{b}y{a}," for a in marks for b in marks]
+    texts += ["foo().", "[1].", "foo-.", "end],", "};", "a/b/.", "<b>,", "`x`,", "_x_.", "don't'.", "\u00bd.", "\u65e5\u672c)."]
+    encoder = WordEncoder(WORD_BPE)
+    ends, ids = encoder.encode(pa.array(texts, pa.large_string()))
+    want = Tokenizer.from_file(WORD_BPE).encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, s, e, w in zip(texts, ends, ends[1:], want) if ids[s:e].tolist() != w.ids]
+    assert not wrong
+
+
 def test_a_full_memory_changes_nothing(monkeypatch):
     from tierscope.llm import words
 

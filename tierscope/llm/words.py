@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import string
+import unicodedata
 from collections.abc import Iterator
 from operator import add
 
@@ -21,9 +23,15 @@ MEMORY_WORDS = 200_000  # words whose ids one worker remembers, and as many word
 ENCODE_BYTES = 4 << 20  # text encoded at a time
 LONGEST_KEPT = 48  # bytes; longer words are encoded each time
 TRAILING = b".,!?;:#*$%&|)\"'"  # ASCII marks that are tokens of their own at a word's end
+CORE_ENDS = frozenset(string.ascii_letters.encode() + string.digits.encode())
 BULK = 400  # words encoded by one call
 
 
+def _ends_piece(core: bytes) -> bool:
+    """Whether a core that ends in no ASCII character ends in a letter or digit."""
+    return unicodedata.category(core[-4:].decode(errors="ignore")[-1])[0] in "LN"
+
+
 class WordEncoder:
     """Encodes texts; each word's ids are kept as little-endian unsigned 32-bit, as bytes."""
 
@@ -55,8 +63,15 @@ class WordEncoder:
         return ends[words.offsets.to_numpy() - words.offsets[0].as_py()], ids
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words: of their core in lower case, then of the trailing marks."""
+        """Ids of distinct words: of their core in lower case, then of the trailing marks.
+
+        Marks side by side are one piece, so a core that ends in a further mark takes all.
+        """
         cores = [word.rstrip(TRAILING) for word in words]
+        cores = [
+            core if not core or core[-1] in CORE_ENDS or core[-1] > 127 and _ends_piece(core)
+            else word for word, core in zip(words, cores)
+        ]
         marks = [word[len(core):] for word, core in zip(words, cores)]
         cores = list(map(bytes.lower, cores))
         new = list(set().union(cores, marks) - self.cores.keys())
