@@ -282,6 +282,44 @@ def test_one_of_near_documents_stays(docs):
     assert sorted(r.doc_id for r in got.collect()) == [3, 5, 6, 8]
 
 
+def jaccard(a, b):
+    a, b = (set(near.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("rows", [512, 3])
+def test_near_is_a_similarity_of_sets(docs, rows, monkeypatch):
+    monkeypatch.setattr(near, "SET_ROWS", rows)
+    texts, linked = [], []
+    for i in range(120):  # pairs at 0.8 exactly, just below, at 0.74
+        words, new = [f"w{i}x{k}" for k in range(139)], [3, 3, 4][i % 3]
+        other = [f"new{i}" if k in range(20, 20 + 10 * new, 10) else w for k, w in enumerate(words)]
+        pair = " ".join(words[: 138 if i % 3 == 1 else 139]), " ".join(other[: 138 if i % 3 == 1 else 139])
+        texts += pair
+        linked.append(jaccard(*pair) >= 0.8)
+    for i in range(60):  # four shingles of five
+        words = [f"v{i}x{k}" for k in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+        linked.append(jaccard(*texts[-2:]) >= 0.8)
+    base = [f"u{k}" for k in range(200)]  # a group
+    texts += [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(0, 200, 10)]
+    got = by_id(near.grouped(docs(texts), near.Near.jaccard()).collect())
+    assert linked.count(False) == 80 and linked.count(True) == 100
+    for i, near_by in enumerate(linked):
+        assert (got[2 * i + 1].component_id == 2 * i) == near_by, texts[2 * i]
+    assert {got[i].group_size for i in range(360, 380)} == {20}
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12)).astype(np.uint64)) for _ in range(60)]
+    def alike(a, b):
+        a, b = set(a.tolist()), set(b.tolist())
+        return len(a & b) / len(a | b) if a | b else 1
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if alike(sets[i], sets[j]) >= 0.8]
+    assert list(zip(*(x.tolist() for x in near.similar(sets, 0.8)))) == want
+
+
 def test_near_of_nothing(empty):
     assert near.grouped(empty).count() == 0 and near.keep_one(empty).count() == 0
 

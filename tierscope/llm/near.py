@@ -7,6 +7,9 @@ More parts make tiles finer: there are more pairs of tiles, but fewer comparison
 
 Copies of a fingerprint are one node. A comparison of two tiles returns a spanning forest of
 what it links, so a large group doesn't come out as all its pairs.
+
+Where near is a Jaccard similarity, fingerprints only say which documents may be near. Each
+component of these candidates is compared again by its sets of shingles, all pairs, exactly.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ SEED = 42
 TILE_ROWS = 4096
 BLOCK = 1 << 20  # comparisons at a time
 BASE = 256  # place value of a coordinate in a cell number
-FIRST_WORDS = 3  # of a fingerprint that all pairs compare; their bits fit 8-bit sums
+FIRST_WORDS = 5  # of a fingerprint that all pairs compare, of more only the pairs they leave
 HASHES = 1 << 15  # hashes whose bits are counted at a time
+SET_ROWS, SET_BYTES = 512, 4 << 20  # of sets of shingles in a tile
+COLUMNS = 1 << 12  # shingles whose sets are multiplied at a time
+DEVIATIONS = 4  # of the estimate that candidates are allowed
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,9 @@ class Near:
     whose ratio doesn't rule out that Jaccard similarity. `repeats`: whether a shingle counts
     as often as it comes. `parts` and `step` shape the tiles: population counts are taken of
     so many parts, in steps.
+
+    If `confirmed` is given, near means at least that Jaccard similarity of the sets;
+    fingerprints that differ in `radius + margin` bits at most make candidates only.
     """
 
     words: int = 3
@@ -50,22 +59,34 @@ class Near:
     repeats: bool = True
     parts: int = 4
     step: int = 1
+    margin: int = 0
+    confirmed: float | None = None
+
+    @property
+    def reach(self) -> int:
+        return self.radius + self.margin
 
     @classmethod
     def jaccard(cls, similarity: float = 0.8, words: int = 5, width: int = 8, slack: float = 0.02):
-        """Near means a Jaccard similarity of sets of shingles, as fingerprints estimate it.
+        """Near means a Jaccard similarity of sets of shingles, confirmed by the sets.
 
-        The share of differing bits is the angle between two sets as vectors. With 512 bits
-        the estimate's standard deviation is about 0.04 at 0.8; `slack` lowers the threshold,
-        so that what is at the limit is rather found than missed.
+        The share of differing bits is about the angle between two sets as vectors, and more
+        for small sets: at 0.8 at most 3/16, of 4 shingles of 5. Candidates may differ in that
+        share and DEVIATIONS standard deviations more. `slack` is of the estimate, and of the
+        ratio of sizes.
         """
         least = similarity - slack
         radius = round(64 * width * math.acos(2 * least / (1 + least)) / math.pi)
-        return cls(words, width, radius, least, repeats=False, parts=1, step=radius)
+        bits, most = 64 * width, most_apart(similarity)
+        reach = max(radius, round(bits * most + DEVIATIONS * math.sqrt(bits * most * (1 - most))))
+        return cls(
+            words, width, radius, least, repeats=False, parts=1, step=reach,
+            margin=reach - radius, confirmed=similarity,
+        )
 
     def offsets(self) -> list[int]:
         """From a cell to those that may hold near fingerprints, each pair of cells once."""
-        reach = range(-self.radius, self.radius + 1)
+        reach = range(-self.reach, self.reach + 1)
 
         def least(d: int) -> int:  # difference of counts that d steps imply
             return (abs(d) - 1) * self.step + 1 if d else 0
@@ -73,12 +94,35 @@ class Near:
         shapes = [(0,)] if self.similarity is None else [(-1,), (0,), (1,)]
         moves = [
             shape + d for shape in shapes for d in itertools.product(reach, repeat=self.parts)
-            if sum(map(least, d)) <= self.radius
+            if sum(map(least, d)) <= self.reach
         ]
         cells = (sum(d * BASE**i for i, d in enumerate(reversed(move))) for move in moves)
         return sorted({cell for cell in cells if cell >= 0})
 
 
+def most_apart(similarity: float, sizes: int = 40) -> float:
+    """The largest share of bits that differ on average, of sets of a Jaccard similarity.
+
+    From the angle, or exactly for small sets: so many shingles in common, and so many that
+    only the one or only the other has.
+    """
+    def ones(n: int, least: int) -> float:  # chance of so many among n
+        return sum(math.comb(n, i) for i in range(max(least, 0), n + 1)) / 2**n
+
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for common in range(1, sizes):
+        for single in range(1, math.floor(common / similarity - common + 1e-9) + 1):
+            for a in range(single + 1):
+                b, apart = single - a, 0.0
+                for x in range(common + 1):
+                    in_a = ones(a, (common + a) // 2 + 1 - x)
+                    in_b = ones(b, (common + b) // 2 + 1 - x)
+                    share = math.comb(common, x) / 2**common
+                    apart += share * (in_a * (1 - in_b) + in_b * (1 - in_a))
+                most = max(most, apart)
+    return most
+
+
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
     """XXH64 of each shingle, repeats included; of all words if there are fewer, if any."""
     found = data.lower().split()  # bytes: ASCII letters and white space only
@@ -165,9 +209,8 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
         for w in range(1, min(a.shape[1], FIRST_WORDS)):
             apart += np.bitwise_count(part[:, None, w] ^ b[None, :, w])
         i, j = np.nonzero(apart <= radius)
-        if a.shape[1] > FIRST_WORDS:  # the other words, where the first leave it open
-            rest = np.bitwise_count(part[i, FIRST_WORDS:] ^ b[j, FIRST_WORDS:]).sum(1)
-            near = apart[i, j] + rest <= radius
+        if a.shape[1] > 3:  # all words, where the first leave it open or overflow 8 bits
+            near = np.bitwise_count(part[i] ^ b[j]).sum(1, dtype=np.int64) <= radius
             i, j = i[near], j[near]
         i += start
         if same:
@@ -217,7 +260,7 @@ def link(nodes: DataFrame, near: Near, tile_rows: int = TILE_ROWS) -> DataFrame:
             F.col("rows_b"),
         ).alias("rows_b"),
     )
-    width, radius = near.width, near.radius
+    width, radius = near.width, near.reach
 
     def unpack(column: pa.ListArray):
         """Nodes and fingerprints of each row's list; none for null."""
@@ -247,10 +290,103 @@ def link(nodes: DataFrame, near: Near, tile_rows: int = TILE_ROWS) -> DataFrame:
     return map_batches(work, run, "a bigint, b bigint")
 
 
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets of that Jaccard similarity at least; that of empty sets is 1."""
+    sizes = np.array(list(map(len, sets)), np.int64)
+    values, which, counts = np.unique(
+        np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True
+    )
+    shared = np.cumsum(counts > 1) - 1
+    row, hit = np.repeat(np.arange(len(sets)), sizes), counts[which] > 1
+    row, column = row[hit], shared[which[hit]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int((counts > 1).sum()), COLUMNS):
+        s, e = np.searchsorted(column, [start, start + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[s:e], column[s:e] - start] = 1
+        common += (held @ held.T).astype(np.int64)
+    either = sizes[:, None] + sizes - common
+    return np.nonzero(np.triu(common >= similarity * either - 1e-9, 1))
+
+
+def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) that join the same nodes as all pairs do whose sets are similar.
+
+    `nodes` has node, root (of the candidates that may be near), doc_id and text_hash of one
+    document of the node. Only these documents' texts are shuffled. A component of many sets
+    is dealt to tiles, of which each pair is one task's row.
+    """
+    slot_bits = min(exact.SLOT_BITS, max(12, nodes.count().bit_length() + 8))
+    bitmap = saved(exact.bitmap(nodes, "text_hash", slot_bits), "candidates-bitmap")
+    texts = exact.is_suspect(
+        docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text"),
+        "text_hash", bitmap, slot_bits,
+    ).where("suspect_").alias("t")
+    words = near.words
+
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array(
+            [np.unique(shingle_hashes(t, words)).tobytes() for t in encoded(texts)], pa.binary()
+        )
+
+    sets = saved(
+        texts.join(nodes.alias("n"), [
+            F.col("t.text_hash") == F.col("n.text_hash"),
+            F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")),
+        ]).select("node", "root", per_text(hashed, "binary")(F.col("text")).alias("shingles"))
+        .dropDuplicates(["node"]),
+        "shingles",
+    )
+    sizes = sets.groupBy("root").agg(
+        F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes")
+    ).select("root", F.ceil(
+        F.greatest(F.col("n") / SET_ROWS, F.col("bytes") / SET_BYTES, F.lit(1))
+    ).cast("int").alias("parts"))
+    sizes = saved(sizes, "candidates")
+    tiles = saved(
+        sets.join(sizes, "root")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .groupBy("root", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")),
+        "set-tiles",
+    )
+    pairs = (
+        sizes.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("part_b", F.explode(F.sequence(F.col("part_a"), F.col("parts") - 1)))
+        .select("root", "part_a", "part_b")
+    )
+    sides = [
+        tiles.select("root", F.col("part").alias(f"part_{s}"), F.col("rows").alias(f"rows_{s}"))
+        for s in "ab"
+    ]
+    work = pairs.join(sides[0], ["root", "part_a"]).join(sides[1], ["root", "part_b"]).select(
+        "rows_a", F.when(F.col("part_a") != F.col("part_b"), F.col("rows_b")).alias("rows_b")
+    )
+    similarity = near.confirmed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((2, 0), np.int64)]
+            for row in range(batch.num_rows):
+                held = [c[row].values for c in batch.columns if c[row].is_valid]
+                ids = np.concatenate([h.field("node").to_numpy() for h in held])
+                data = [v for h in held for v in h.field("shingles").to_pylist()]
+                i, j = similar([np.frombuffer(v, np.uint64) for v in data], similarity)
+                root = forest(len(ids), i, j)
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                found.append(np.stack([ids[moved], ids[root[moved]]]))
+            out = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+
+    return map_batches(work, run, "a bigint, b bigint")
+
+
 def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, all columns.
 
-    By default near means a Jaccard similarity of 0.8 on shingles of five words. Documents
+    By default near means a Jaccard similarity of 0.8 on shingles of five words; links join
+    groups, so two documents of one group may be less similar. Documents
     that no group drops are neither shuffled nor joined, but for those that share their
     place in a bitmap of bounded size. A document without doc_id always stays.
     """
@@ -287,13 +423,17 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
         ).select("doc_id", "text_hash", "p.bits", "p.cell"),
         "prints",
     )
+    one = [] if near.confirmed is None else [F.min(F.struct("doc_id", "text_hash")).alias("one")]
     nodes = saved(
         prints.groupBy("bits", "cell")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *one)
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     roots = components(link(nodes, near))
+    if near.confirmed is not None:
+        candidates = nodes.join(roots, "node").select("node", "root", "one.doc_id", "one.text_hash")
+        roots = components(confirm(docs, saved(candidates, "maybe-near"), near))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(
         F.min("least").alias("component_id"), F.sum("copies").alias("group_size")
