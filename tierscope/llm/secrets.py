@@ -70,6 +70,31 @@ def base_spans(text: str) -> list[Span]:
     return ordered(spans)
 
 
+def uncovered(
+    text: str, spans: list[tuple[int, int]], base: list[Span]
+) -> list[tuple[int, int]]:
+    """Parts of the spans outside those of `base`, with a letter or digit.
+
+    What stands right before an assignment is part of its name, if it is a word. Both lists
+    come by their starts, and `spans` don't overlap.
+    """
+    out, first = [], 0
+    for start, end in spans:
+        while first < len(base) and base[first][1] <= start:
+            first += 1
+        k = first
+        while start < end:
+            low, high, kind = base[k] if k < len(base) else (end, end, "")
+            part = text[start : min(low, end)]
+            named = kind == "assign" and low < end
+            if any(map(str.isalnum, part)) and not (
+                named and not any(map(NO_WORD.search, TOKEN.findall(part)))
+            ):
+                out.append((start, start + len(part)))
+            start, k = max(start, high), k + 1
+    return out
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -384,12 +409,7 @@ class Scanner:
                     added.append((start, end))
                 elif label == 2:
                     added[-1] = (added[-1][0], end)
-        taken = np.zeros(0, np.int64) if not base else np.array([(s, e) for s, e, _ in base])
-        new = [
-            (s, e, "field") for s, e in added
-            if not len(taken) or not ((taken[:, 0] < e) & (s < taken[:, 1])).any()
-        ]
-        return base, ordered(base + new)
+        return base, ordered(base + [(s, e, "field") for s, e in uncovered(text, added, base)])
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -397,7 +417,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     Needs doc_id and text; other columns are ignored. A null or empty text has no secrets.
     Spans are kind:start:end in code points, end exclusive, by start, then kind; those of the
-    field (kind `field`) never overlap one of the fixed patterns. Rows that repeat get equal
+    field (kind `field`) are cut to what no span of the fixed patterns covers. Rows that repeat get equal
     results. No documents give no rows.
     """
     scanner = Scanner(field or trained(docs))
