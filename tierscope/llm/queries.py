@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
-from tierscope.llm import bpe, chat, exact, idfiles, language, near, packing, rules, secrets, toxicity
+from tierscope.llm import (
+    bpe, chat, exact, idfiles, language, near, packing, periodic, rules, secrets, toxicity,
+)
 from tierscope.llm.common import load, saved
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,11 +68,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(saved(chat.format_chats(turns), "chats"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeated_tails(load(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules,
         op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_exact_dedup,
-        op9_token_id_output, op10_chat_formatting,
+        op9_token_id_output, op10_chat_formatting, op12_periodic_runs,
     )}
 
 
