@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
 from tierscope.llm import (
-    bpe, chat, exact, idfiles, language, near, packing, periodic, rules, secrets, toxicity,
+    bpe, chat, exact, idfiles, language, near, negatives, packing, periodic, rules, secrets,
+    toxicity,
 )
 from tierscope.llm.common import load, saved
 
@@ -68,6 +69,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(saved(chat.format_chats(turns), "chats"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = load(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_repeated_tails(load(spark, sf_dir, "documents"))
     return periodic.digests(periodic.periodic_runs(docs))
@@ -77,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules,
         op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_exact_dedup,
-        op9_token_id_output, op10_chat_formatting, op12_periodic_runs,
+        op9_token_id_output, op10_chat_formatting, op11_hard_negatives, op12_periodic_runs,
     )}
 
 
@@ -110,5 +117,32 @@ FROM c
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (
+    PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id
+  ) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL}
+    return {
+        "op8_exact_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL, "op11_hard_negatives": OP11_SQL,
+    }
