@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tierscope.functions.params import scratch_path
 from tierscope.llm import (
-    bpe, chat, exact, idfiles, language, near, negatives, packing, periodic, rules, secrets,
-    toxicity,
+    bpe, chat, exact, idfiles, jaccard, language, near, negatives, packing, periodic, rules,
+    secrets, toxicity,
 )
 from tierscope.llm.common import load, saved
 
@@ -80,11 +80,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_secret_scans, op4_quality_rules,
         op5_language_id, op6_simhash_near_dedup, op7_toxicity, op8_exact_dedup,
         op9_token_id_output, op10_chat_formatting, op11_hard_negatives, op12_periodic_runs,
+        op13_ngram_jaccard_join,
     )}
 
 
