@@ -732,6 +732,32 @@ GROUP BY 1, 2, 3, 4 ORDER BY avg_unit_cost DESC, d.ndc, d.rxcui, d.tier""",
 BODIES["refresh_drug_list_summary"] = BODIES["drug_list_summary"]
 BODIES["refresh_county_plan_summary"] = BODIES["county_plan_summary"]
 
+for name in ("specialty_margin", "contract_specialty_cost", "pricing_table"):
+    BODIES[f"colocated_{name}"] = BODIES[name]
+BODIES["compact_pricing"] = BODIES["append_pricing"]
+BODIES["ingest_counts"] = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, COUNT(*) AS rows, CAST(0 AS BIGINT) AS rejected FROM {table}"
+    for table in ("plan_information", "geographic_locator", "beneficiary_costs", "drug_pricing")
+)
+PLAN_LINE = (
+    "concat_ws('|', contract_id, plan_id, segment_id, county_code, "
+    "CASE snp WHEN 4 THEN 'abc' WHEN 3 THEN '123456789.5' "
+    "ELSE coalesce(CAST(premium AS STRING), '') END, "
+    "CASE snp WHEN 3 THEN 'N/A' ELSE CAST(deductible AS STRING) END, "
+    "CASE snp WHEN 4 THEN '1.5' WHEN 0 THEN '0.0' ELSE CAST(snp AS STRING) END)"
+)
+BODIES["rejected_values"] = " UNION ALL ".join(
+    "SELECT 'plan_information' AS table_name, CAST(2025 AS INT) AS year, TRUE AS in_a_file, "
+    f"{PLAN_LINE} AS row, '{column}' AS column, '{text}' AS text, '{reason}' AS reason "
+    f"FROM plan_information WHERE snp = {snp}"
+    for snp, column, text, reason in (
+        (4, "premium", "abc", "not a number"), (4, "snp", "1.5", "not a whole number"),
+        (3, "premium", "123456789.5", "out of range"),
+    )
+)
+for name in ("read_pipe_zip", "read_zip_members"):
+    BODIES[name] = BODIES["unzip_pipe"]
+
 _PARTS = {**PRELUDE, **SHARED}
 
 

@@ -8,12 +8,14 @@ in the scratch folder and return what was read back.
 from __future__ import annotations
 
 import io
+import re
 import sys
 import zipfile
 from collections.abc import Callable, Mapping
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyarrow import fs
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from tierscope.operators import costs, drugs, drug_list, geography, landscape, n
 from tierscope.operators import organizations as orgs
 from tierscope.operators import profile, summaries
 from tierscope.plans import samples as P
-from tierscope.sources import sinks, tables, text
+from tierscope.sources import archives, colocated, sinks, tables, text
 from tierscope.sources.star import derive_tables
 from tierscope.streaming.append import append_pricing
 
@@ -94,6 +96,49 @@ def _unzip_pipe(t: Tables) -> DataFrame:
     return text.coerce(rows, {"tier_level_value": S.INT})
 
 
+MEMBER_LINES = 500
+
+
+def _write_archives(t: Tables) -> str:
+    """The drug lists as archives in a folder, one a task, each with members of some lines."""
+    folder = scratch_path(_spark(t), "archives")
+    columns = ("drug_list_id", "ndc", "tier_level_value")
+    lines = t["drug_list_drugs"].select(F.concat_ws("|", *columns).alias("line"), *columns)
+    dealt = lines.repartition(4, *columns).sortWithinPartitions("line").select("line")
+    names = dealt.mapInArrow(_archive_writer(folder, "|".join(columns).upper()), "name string")
+    names.write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _archive_writer(folder: str, header: str):
+    def write(batches):
+        lines = [line for batch in batches for line in batch.column(0).to_pylist()]
+        if not lines:
+            return
+        packed, name = io.BytesIO(), f"{TaskContext.get().partitionId()}.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for start in range(0, len(lines), MEMBER_LINES):
+                part = lines[start : start + MEMBER_LINES]
+                archive.writestr(f"part-{start}.txt", "\n".join([header, *part]) + "\n")
+        store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+        store.create_dir(place)
+        with store.open_output_stream(f"{place}/{name}") as out:
+            out.write(packed.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return write
+
+
+def _from_archives(read: Callable[[SparkSession, str], DataFrame]) -> Build:
+    def run(t: Tables) -> DataFrame:
+        rows = read(_spark(t), _write_archives(t))
+        return text.coerce(rows, {"tier_level_value": S.INT}).select(
+            "drug_list_id", "ndc", "tier_level_value"
+        )
+
+    return run
+
+
 def _clean_columns(t: Tables) -> DataFrame:
     df = t["drug_list_drugs"].select("drug_list_id", "ndc", "tier_level_value")
     return text.clean_columns(df.toDF("DRUG_LIST ID", "Ndc", "Tier_Level Value"))
@@ -135,14 +180,18 @@ def _write_pricing(t: Tables) -> DataFrame:
     return sinks.write_pricing(t["drug_pricing"], scratch_path(_spark(t), "pricing"))
 
 
-def _append_pricing(t: Tables) -> DataFrame:
-    """One supply ingested, the others appended in two deliveries and three runs, all loaded."""
-    spark, root = _spark(t), scratch_path(_spark(t), "append")
+def _delivered_prices(t: Tables) -> DataFrame:
     parts = F.split("plan_key", r"\|")
-    delivered = t["drug_pricing"].select(
+    return t["drug_pricing"].select(
         *[parts[i].alias(name) for i, name in enumerate(S.PLAN_KEY_PARTS)],
         "ndc", "days_supply", "unit_cost",
     )
+
+
+def _append_pricing(t: Tables) -> DataFrame:
+    """One supply ingested, the others appended in two deliveries and three runs, all loaded."""
+    spark, root = _spark(t), scratch_path(_spark(t), "append")
+    delivered = _delivered_prices(t)
     first = _deliver(delivered.where(F.col("days_supply") == 30), f"{root}/first")
     sinks.ingest(spark, {"drug_pricing": first}, f"{root}/tables", 2025)
     args = (spark, f"{root}/in/*", f"{root}/tables", 2025, f"{root}/checkpoint")
@@ -153,6 +202,46 @@ def _append_pricing(t: Tables) -> DataFrame:
     return append_pricing(*args)
 
 
+def _compact_pricing(t: Tables) -> DataFrame:
+    """One supply ingested, the other prices appended in eight batches, small ones made one."""
+    spark, root = _spark(t), scratch_path(_spark(t), "compact")
+    delivered = _delivered_prices(t)
+    first = _deliver(delivered.where(F.col("days_supply") == 30), f"{root}/first")
+    sinks.ingest(spark, {"drug_pricing": first}, f"{root}/tables", 2025)
+    rest = delivered.where(F.col("days_supply") != 30).repartition(8, "ndc")
+    args = (spark, f"{root}/in", f"{root}/tables", 2025, f"{root}/checkpoint")
+    _deliver(rest, f"{root}/in")
+    return append_pricing(*args, files_per_batch=1, most_batches=3)
+
+
+def _ingest_counts(t: Tables) -> DataFrame:
+    """Rows of each table as counted while they were written."""
+    spark, root = _spark(t), scratch_path(_spark(t), "counts")
+    sources = {
+        table: _deliver(t[table], f"{root}/text/{table}")
+        for table in ("plan_information", "geographic_locator", "beneficiary_costs")
+    } | {"drug_pricing": _deliver(_delivered_prices(t), f"{root}/text/drug_pricing")}
+    return sinks.ingest(spark, sources, f"{root}/tables", 2025).report(spark)
+
+
+def _rejected_values(t: Tables) -> DataFrame:
+    """Plans with values that are not of their column's type, as ingest lists them."""
+    spark, root = _spark(t), scratch_path(_spark(t), "rejected")
+    snp, text_of = F.col("snp"), lambda c: F.col(c).cast("string")
+    plans = t["plan_information"].select(
+        "contract_id", "plan_id", "segment_id", "county_code",
+        F.when(snp == 4, "abc").when(snp == 3, "123456789.5").otherwise(text_of("premium"))
+        .alias("premium"),
+        F.when(snp == 3, "N/A").otherwise(text_of("deductible")).alias("deductible"),
+        F.when(snp == 4, "1.5").when(snp == 0, "0.0").otherwise(text_of("snp")).alias("snp"),
+    )
+    sources = {"plan_information": _deliver(plans, f"{root}/text")}
+    sinks.ingest(spark, sources, f"{root}/tables", 2025)
+    found = sinks.rejected_values(spark, f"{root}/tables")
+    named = F.col("file").contains("/text/part-").alias("in_a_file")
+    return found.select("table_name", "year", named, "row", "column", "text", "reason")
+
+
 def _load_tables(name: str, *columns: str) -> Build:
     """A table's text to typed Parquet and back through the catalog."""
 
@@ -207,6 +296,18 @@ def _refresh(name: str) -> Build:
     return lambda t: summaries.refresh(t, scratch_path(_spark(t), "summaries"))[name]
 
 
+def _colocated(build: Build) -> Build:
+    """The query over tables that were stored by plan, read back."""
+
+    def run(t: Tables) -> DataFrame:
+        spark, root = _spark(t), scratch_path(_spark(t), "by-plan")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        colocated.write_colocated(t, root, 2025, buckets)
+        return build(colocated.load_colocated(spark, t, root, 2025, buckets))
+
+    return run
+
+
 # ---------------------------------------------------------------- composed queries
 
 def _nest_companies(t: Tables) -> DataFrame:
@@ -264,6 +365,8 @@ QUERIES: dict[str, Build] = {
     "read_pipe": _read_pipe,
     "read_pipe_latin1": _read_pipe_latin1,
     "unzip_pipe": _unzip_pipe,
+    "read_pipe_zip": _from_archives(text.read_pipe_zip),
+    "read_zip_members": _from_archives(archives.read_zip_members),
     "clean_columns": _clean_columns,
     "rename_positional": _rename_positional,
     "coerce": _coerce,
@@ -272,6 +375,9 @@ QUERIES: dict[str, Build] = {
     "write_table": _write_table,
     "write_pricing": _write_pricing,
     "append_pricing": _append_pricing,
+    "compact_pricing": _compact_pricing,
+    "ingest_counts": _ingest_counts,
+    "rejected_values": _rejected_values,
     "ingest_report": lambda t: tables.ingest_report(t),
     "load_tables": _load_tables(
         "drug_list_drugs", "drug_list_id", "rxcui", "ndc", "tier_level_value", "quantity_limit_yn",
@@ -282,6 +388,11 @@ QUERIES: dict[str, Build] = {
         "cost_amt_pref", "cost_max_amt_pref", "tier_specialty_yn",
     ),
     "snapshot": _snapshot,
+    "colocated_specialty_margin": _colocated(costs.specialty_margin),
+    "colocated_contract_specialty_cost": _colocated(costs.contract_specialty_cost),
+    "colocated_pricing_table": _colocated(
+        lambda t: landscape.pricing_table(t, P.DRUG_GROUPS)
+    ),
     "read_drug_names": _read_drug_names,
     "export_csv": _export_csv,
     "to_records": _to_records,

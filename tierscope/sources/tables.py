@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from tierscope import schemas as S
+from tierscope.sources.sinks import live_prices
 
 YEAR = T.StructField("year", T.IntegerType())
 
@@ -36,6 +37,8 @@ def load_tables(
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """One table of all years; one without a fixed schema is None where not delivered."""
     path, schema = f"{root.rstrip('/')}/{name}", S.SCHEMAS.get(name)
+    if name == "drug_pricing" and (live := live_prices(spark, root)) is not None:
+        return live
     try:
         if schema is None:
             return spark.read.parquet(path)

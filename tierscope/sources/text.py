@@ -21,6 +21,11 @@ from tierscope.functions.expr import plan_key
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LATIN1 = "ISO-8859-1"
+#: Column of `prepare_checked`, also in the stored tables, whose readers don't ask for it.
+REJECTED = "rejected_"
+REJECTED_TYPE = (
+    "struct<file:string,row:string,values:array<struct<column:string,text:string,reason:string>>>"
+)
 ZIP_BLOCK_BYTES = 4 << 20
 
 
@@ -116,6 +121,8 @@ def _read_header(stream: io.BufferedReader, encoding: str) -> list[str]:
 
 def _parse_member(stream, target: pa.Schema, encoding: str) -> Iterator[pa.RecordBatch]:
     found = _read_header(stream, encoding)
+    if not stream.peek(1):  # a header and no row
+        return
     with pa_csv.open_csv(
         stream,
         read_options=pa_csv.ReadOptions(
@@ -193,6 +200,15 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
+def _named(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a delivered text table by the names of the data model."""
+    named = clean_columns(df).withColumnsRenamed(S.DELIVERED_NAMES)
+    positions = S.POSITIONAL.get(table, [])
+    if len(positions) == len(named.columns) and not set(positions) <= set(named.columns):
+        named = rename_positional(named, positions)
+    return named
+
+
 def prepare(df: DataFrame, table: str) -> DataFrame:
     """A delivered text table as the typed table of that name.
 
@@ -200,14 +216,49 @@ def prepare(df: DataFrame, table: str) -> DataFrame:
     Where the header names columns differently but their number is the known one, they
     are taken by position. Tables without a fixed schema keep their columns as text.
     """
-    named = clean_columns(df).withColumnsRenamed(S.DELIVERED_NAMES)
-    positions = S.POSITIONAL.get(table, [])
-    if len(positions) == len(named.columns) and not set(positions) <= set(named.columns):
-        named = rename_positional(named, positions)
-    cleaned = with_plan_key(null_tokens(named))
+    cleaned = with_plan_key(null_tokens(_named(df, table)))
     return conform(cleaned, S.SCHEMAS[table]) if table in S.SCHEMAS else cleaned
 
 
+def prepare_checked(df: DataFrame, table: str, origin: str | None = None) -> DataFrame:
+    """As `prepare`, with a column REJECTED that tells what became NULL because of its type.
+
+    It is NULL in a row without such values, otherwise (file, row, values): where the row comes
+    from, its delivered columns parted by `|`, and (column, text, reason) of each value. Text
+    that means "missing" is not rejected. A column `origin` of df, if named, is no delivered column
+    but tells where rows come from; otherwise that is the file that Spark reads.
+    """
+    schema = S.SCHEMAS.get(table)
+    if schema is None:
+        return prepare(df.drop(origin) if origin else df, table)
+    file = F.col(origin) if origin else F.input_file_name()
+    df = df.withColumn("file_", file).drop(*([origin] if origin else []))
+    names = _named(df.drop("file_"), table).columns
+    shown = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in names])
+    cleaned = with_plan_key(null_tokens(df.toDF(*names, "file_").withColumn("row_", shown)))
+    typed = {f.name: f.dataType for f in schema.fields if not isinstance(f.dataType, T.StringType)}
+    values = F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull() & _typed(F.col(c), dtype).isNull(), F.struct(
+            F.lit(c).alias("column"), F.col(c).alias("text"), _reason(F.col(c), dtype).alias("reason")
+        )) for c, dtype in typed.items() if c in cleaned.columns
+    ]))
+    rejected = F.when(F.size(values) > 0, F.struct(
+        F.col("file_").alias("file"), F.col("row_").alias("row"), values.alias("values")
+    )) if set(typed) & set(cleaned.columns) else F.lit(None).cast(REJECTED_TYPE)
+    found = conform(cleaned.withColumn(REJECTED, rejected), T.StructType([
+        *schema.fields, T.StructField(REJECTED, T._parse_datatype_string(REJECTED_TYPE))
+    ]))
+    return found
+
+
+def _reason(column: Column, dtype: T.DataType) -> Column:
+    number = column.try_cast("double")
+    reason = F.when(number.isNull(), "not a number")
+    if isinstance(dtype, T.IntegralType):
+        reason = reason.when(number != F.floor(number), "not a whole number")
+    return reason.otherwise("out of range")
+
+
 def read_drug_names(spark: SparkSession, path: str) -> DataFrame:
     """Drug descriptions from JSON files, each one object `{"rxcui": "description"}`.
 
