@@ -28,8 +28,12 @@ BULK = 400  # words encoded by one call
 
 
 def _ends_piece(core: bytes) -> bool:
-    """Whether a core that ends in no ASCII character ends in a letter or digit."""
-    return unicodedata.category(core[-4:].decode(errors="ignore")[-1])[0] in "LN"
+    """Whether a core that ends in no ASCII character ends in a letter or digit.
+
+    As the vocabulary sees it: composed and in lower case, where some letters end in a mark.
+    """
+    last = unicodedata.normalize("NFC", core.decode()).lower()[-1]
+    return unicodedata.category(last)[0] in "LN"
 
 
 class WordEncoder:
