@@ -755,6 +755,25 @@ BODIES["rejected_values"] = " UNION ALL ".join(
         (3, "premium", "123456789.5", "out of range"),
     )
 )
+for name in ("drug_list_summary", "county_plan_summary"):
+    BODIES[f"refresh_parts_{name}"] = BODIES[name]
+NO_DOUBLE, NO_INT = "CAST(NULL AS DOUBLE)", "CAST(NULL AS INTEGER)"
+CHANNEL = ", ".join(
+    f"{NO_INT} AS cost_type_{c}, {NO_DOUBLE} AS cost_amt_{c}, {NO_DOUBLE} AS cost_min_amt_{c}, "
+    f"{NO_DOUBLE} AS cost_max_amt_{c}" for c in ("nonpref", "mail_pref", "mail_nonpref")
+)
+BODIES |= {
+    "load_tables_plans": f"SELECT {PLAN_ROW} FROM plan_information",
+    "load_tables_places": "SELECT county_code, state_name, county_name, ma_region_code, "
+    "ma_region_name, pdp_region_code, pdp_region_name FROM geographic_locator",
+    "snapshot_plans": f"SELECT {PLAN_ROW} FROM plan_information",
+    "snapshot_drugs": f"SELECT {DRUG_ROW} FROM drug_list_drugs",
+    "snapshot_prices": BODIES["write_pricing"],
+    "snapshot_costs": f"SELECT {BODIES['load_tables_costs'].removeprefix('SELECT ').split(' FROM ')[0]}, "
+    f"{NO_DOUBLE} AS cost_min_amt_pref, {CHANNEL}, {NULL_TEXT} AS deductible_applies_yn "
+    "FROM beneficiary_costs",
+    "export_csv_table": f"SELECT {DRUG_ROW} FROM drug_list_drugs",
+}
 for name in ("read_pipe_zip", "read_zip_members"):
     BODIES[name] = BODIES["unzip_pipe"]
 

@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.expr import rounded
 from tierscope.functions.params import scratch_path
-from tierscope.operators import costs, drugs, drug_list, geography, landscape, normalize
+from tierscope.operators import costs, drugs, drug_list, geography, incremental, landscape
+from tierscope.operators import normalize
 from tierscope.operators import organizations as orgs
 from tierscope.operators import profile, summaries
 from tierscope.plans import samples as P
@@ -58,8 +59,7 @@ def _spark(t: Tables) -> SparkSession:
 
 def _deliver(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     """Writes a table the way source files come: pipes, upper-case header."""
-    header = {here: there for there, here in S.DELIVERED_NAMES.items()}
-    named = df.toDF(*[header.get(c, c).upper() for c in df.columns])
+    named = df.toDF(*[c.upper() for c in df.columns])
     named.write.option("sep", "|").option("header", True).option("encoding", encoding).csv(path)
     return path
 
@@ -292,6 +292,44 @@ def _to_records(t: Tables) -> DataFrame:
     return sinks.to_records(rows, {"drug_list_id": "none"})
 
 
+def _snapshot_of(name: str) -> Build:
+    """A table of two years, as of the second."""
+
+    def build(t: Tables) -> DataFrame:
+        schema = T.StructType([*S.SCHEMAS[name].fields, tables.YEAR])
+        earlier = text.conform(t[name].withColumn("year", F.lit(2025)), schema)
+        later = text.conform(t[name].withColumn("year", F.lit(2026)), schema)
+        return tables.snapshot({name: earlier.union(later)}, 2026)[name]
+
+    return build
+
+
+def _export_csv_table(t: Tables) -> DataFrame:
+    path, schema = scratch_path(_spark(t), "csv-table"), S.SCHEMAS["drug_list_drugs"]
+    sinks.export_csv(t["drug_list_drugs"].select(*schema.names), path)
+    return _spark(t).read.option("header", True).schema(schema).csv(path)
+
+
+def _refresh_parts(name: str) -> Build:
+    """Two parts of the base tables refreshed one after the other, then the first once more."""
+
+    def build(t: Tables) -> DataFrame:
+        spark, path = _spark(t), scratch_path(_spark(t), "incremental")
+        first = {
+            "plan_information": t["plan_information"].where("snp < 3"),
+            "drug_list_drugs": t["drug_list_drugs"].where("tier_level_value % 2 = 0"),
+        }
+        second = {
+            "plan_information": t["plan_information"].where("snp >= 3"),
+            "drug_list_drugs": t["drug_list_drugs"].where("tier_level_value % 2 = 1"),
+        }
+        for parts in ({"first": second}, {"second": second}, {"first": first}):
+            found = incremental.refresh_parts(spark, parts, t["geographic_locator"], path)
+        return found[name]
+
+    return build
+
+
 def _refresh(name: str) -> Build:
     return lambda t: summaries.refresh(t, scratch_path(_spark(t), "summaries"))[name]
 
@@ -387,7 +425,15 @@ QUERIES: dict[str, Build] = {
         "beneficiary_costs", "plan_key", "coverage_level", "tier", "days_supply", "cost_type_pref",
         "cost_amt_pref", "cost_max_amt_pref", "tier_specialty_yn",
     ),
+    "load_tables_plans": _load_tables("plan_information", *S.SCHEMAS["plan_information"].names),
+    "load_tables_places": _load_tables(
+        "geographic_locator", *S.SCHEMAS["geographic_locator"].names
+    ),
     "snapshot": _snapshot,
+    "snapshot_plans": _snapshot_of("plan_information"),
+    "snapshot_drugs": _snapshot_of("drug_list_drugs"),
+    "snapshot_prices": _snapshot_of("drug_pricing"),
+    "snapshot_costs": _snapshot_of("beneficiary_costs"),
     "colocated_specialty_margin": _colocated(costs.specialty_margin),
     "colocated_contract_specialty_cost": _colocated(costs.contract_specialty_cost),
     "colocated_pricing_table": _colocated(
@@ -395,6 +441,7 @@ QUERIES: dict[str, Build] = {
     ),
     "read_drug_names": _read_drug_names,
     "export_csv": _export_csv,
+    "export_csv_table": _export_csv_table,
     "to_records": _to_records,
     # normalization
     "contracts": normalize.contracts,
@@ -415,6 +462,8 @@ QUERIES: dict[str, Build] = {
     "county_plan_summary": summaries.county_plan_summary,
     "refresh_drug_list_summary": _refresh("drug_list_summary"),
     "refresh_county_plan_summary": _refresh("county_plan_summary"),
+    "refresh_parts_drug_list_summary": _refresh_parts("drug_list_summary"),
+    "refresh_parts_county_plan_summary": _refresh_parts("county_plan_summary"),
     # drug lists
     "drug_list_list": drug_list.drug_list_list,
     "drug_list_list_of_org": lambda t: drug_list.drug_list_list(t, P.ORG_PART),

@@ -77,9 +77,6 @@ OPTIONAL_TABLES = ("drug_pricing", "plan_enrollment", "contract_organizations",
 ENROLLMENT_TABLES = ("plan_enrollment",)
 ENROLLMENT_YEAR = 2025
 
-# The delivered files' own header where columns are named otherwise here.
-DELIVERED_NAMES = {"formulary_id": "drug_list_id", "formulary_version": "drug_list_version"}
-
 # Column order of the delivered files, for tables renamed by position.
 POSITIONAL = {
     "geographic_locator": GEOGRAPHIC_LOCATOR.names,

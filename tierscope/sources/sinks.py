@@ -80,14 +80,17 @@ class Ingested(dict):
         return spark.createDataFrame(rows, "table_name string, rows bigint, rejected bigint")
 
 
-def ingest(spark: SparkSession, sources: Mapping[str, str], root: str, year: int) -> Ingested:
+def ingest(
+    spark: SparkSession, sources: Mapping[str, str], root: str, year: int,
+    renames: Mapping[str, str] | None = None,
+) -> Ingested:
     """Reads delivered files and writes the typed table of each under root.
 
     `sources` maps table names to paths of text, or of ZIP archives of text (files or folders).
     Text becomes a table in one job without a shuffle: every task turns its split into Parquet.
     Prices are parsed once, too; what that gives is then laid out as `write_pricing` does and
     made live in one step. The year is a partition directory; a second year adds to the first,
-    the same year again replaces it, appended prices included.
+    the same year again replaces it, appended prices included. `renames` is as for `prepare`.
 
     Rows, and values that are not of their column's type, are counted by the job that writes.
     The latter go to `rejected_values` with file, row and reason, whose text is read from
@@ -96,7 +99,7 @@ def ingest(spark: SparkSession, sources: Mapping[str, str], root: str, year: int
     root, written, counts = root.rstrip("/"), {}, {}
     for name, path in sources.items():
         encoding = LATIN1 if name == "drug_pricing" else "UTF-8"
-        table = _checked(spark, path, name, encoding)
+        table = _checked(spark, path, name, encoding, renames)
         if name == "drug_pricing":
             typed, counts[name] = _write_counted(table, f"{root}/{name}/{STAGED}/{uuid.uuid4().hex}")
             replace_prices(spark, typed.drop(REJECTED), root, year)
@@ -111,14 +114,16 @@ def ingest(spark: SparkSession, sources: Mapping[str, str], root: str, year: int
     return Ingested(written, counts)
 
 
-def _checked(spark: SparkSession, path: str, name: str, encoding: str) -> DataFrame:
+def _checked(spark: SparkSession, path: str, name: str, encoding: str, renames) -> DataFrame:
+    """A delivered table with what could not be typed."""
+    origin = None
     if not _is_zip(spark, path):
-        return prepare_checked(read_pipe(spark, path, encoding=encoding), name)
-    if not can_open(path):
-        return prepare_checked(read_pipe_zip(spark, path, encoding=encoding), name)
-    return prepare_checked(
-        read_zip_members(spark, path, encoding=encoding, origin=True), name, ORIGIN
-    )
+        rows = read_pipe(spark, path, encoding=encoding)
+    elif can_open(path):
+        rows, origin = read_zip_members(spark, path, encoding=encoding, origin=True), ORIGIN
+    else:
+        rows = read_pipe_zip(spark, path, encoding=encoding)
+    return prepare_checked(rows, name, origin, renames)
 
 
 def _write_counted(table: DataFrame, path: str) -> tuple[DataFrame, tuple[int, int]]:

@@ -200,27 +200,32 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def _named(df: DataFrame, table: str) -> DataFrame:
+Renames = Mapping[str, str]
+
+
+def _named(df: DataFrame, table: str, renames: Renames | None = None) -> DataFrame:
     """The columns of a delivered text table by the names of the data model."""
-    named = clean_columns(df).withColumnsRenamed(S.DELIVERED_NAMES)
+    named = clean_columns(df).withColumnsRenamed(dict(renames or {}))
     positions = S.POSITIONAL.get(table, [])
     if len(positions) == len(named.columns) and not set(positions) <= set(named.columns):
         named = rename_positional(named, positions)
     return named
 
 
-def prepare(df: DataFrame, table: str) -> DataFrame:
+def prepare(df: DataFrame, table: str, renames: Renames | None = None) -> DataFrame:
     """A delivered text table as the typed table of that name.
 
-    Columns that the delivered header names otherwise get their name here.
+    `renames` maps column names of the delivered header, in lower case, to those of the schema.
     Where the header names columns differently but their number is the known one, they
     are taken by position. Tables without a fixed schema keep their columns as text.
     """
-    cleaned = with_plan_key(null_tokens(_named(df, table)))
+    cleaned = with_plan_key(null_tokens(_named(df, table, renames)))
     return conform(cleaned, S.SCHEMAS[table]) if table in S.SCHEMAS else cleaned
 
 
-def prepare_checked(df: DataFrame, table: str, origin: str | None = None) -> DataFrame:
+def prepare_checked(
+    df: DataFrame, table: str, origin: str | None = None, renames: Renames | None = None
+) -> DataFrame:
     """As `prepare`, with a column REJECTED that tells what became NULL because of its type.
 
     It is NULL in a row without such values, otherwise (file, row, values): where the row comes
@@ -230,10 +235,10 @@ def prepare_checked(df: DataFrame, table: str, origin: str | None = None) -> Dat
     """
     schema = S.SCHEMAS.get(table)
     if schema is None:
-        return prepare(df.drop(origin) if origin else df, table)
+        return prepare(df.drop(origin) if origin else df, table, renames)
     file = F.col(origin) if origin else F.input_file_name()
     df = df.withColumn("file_", file).drop(*([origin] if origin else []))
-    names = _named(df.drop("file_"), table).columns
+    names = _named(df.drop("file_"), table, renames).columns
     shown = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in names])
     cleaned = with_plan_key(null_tokens(df.toDF(*names, "file_").withColumn("row_", shown)))
     typed = {f.name: f.dataType for f in schema.fields if not isinstance(f.dataType, T.StringType)}
