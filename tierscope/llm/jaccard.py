@@ -42,6 +42,7 @@ KEPT_BITS = 40  # of a hash that is counted
 SENT_AT_ONCE = 1 << 20  # hashes that a task sorts and sends together
 OWNED = 1 << 22  # hashes of an owner
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20  # sets compared together, at most so many shingles in a row
+SPREAD, LEAST_TILE = 12, 128  # tiles of a group too small for that, and sets of these
 COUNTED = pa.schema([
     ("owner", pa.int32()), ("n", pa.int32()), ("low_bits", pa.int32()), ("first", pa.binary()),
     ("high", pa.binary()), ("low", pa.binary()), ("again", pa.binary()), ("times", pa.binary()),
@@ -376,7 +377,8 @@ def confirm(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
             ], names=["node", "shingles"])
 
     sizes = nodes.groupBy("root").agg(F.ceil(F.greatest(
-        F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES, F.lit(1)
+        F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES, F.lit(1),
+        F.least(F.lit(SPREAD), F.count("*") / LEAST_TILE),
     )).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
