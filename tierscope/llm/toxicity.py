@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. A window of a text that
-shares substrings with toxic text gets shorter with the toxic dictionary. How much shorter,
-over all windows of a text, is turned into a probability by thresholds calibrated on the
-labelled documents.
-
-Toxic text is mostly ordinary. So that the two lengths differ by nothing else, the toxic
-dictionary is the ordinary one and the beginnings of words that set toxic text apart, as far
-as training finds them.
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic
+text. A window of a text that shares substrings with toxic text gets shorter with the toxic
+dictionary. How much shorter, over all windows of a text, is turned into a probability by
+thresholds calibrated on labelled documents that the dictionaries were not trained on.
+
+Toxic text is mostly ordinary, and most of what training picks is too. So windows are also
+compressed with a third dictionary, whose difference from the ordinary one is nothing but
+beginnings of words that set toxic text apart, as far as the sample tells; what that saves is
+calibrated along with the rest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import map_batches, per_text
+from tierscope.llm.common import map_batches, per_text, saved
 
 TOXIC_DOCS = 1500  # labelled documents to learn from, the first by a hash of the id
 ORDINARY_DOCS = 4000
 FOLDS = 5  # documents of fold 0 are held out
 WINDOW = 20  # words
 WINDOWS_PER_DOC = 8  # of an ordinary document, for the dictionary
-ORDINARY_BYTES = 16384
+TRAINED_BYTES = 16384  # of a trained dictionary
+PARTS = 2  # of the sample: each calibrates with dictionaries trained on the others
 BEGINNINGS = range(3, 9)  # letters
 CANDIDATES = 2000
 LEAST_Z, LEAST_DOCS, LEAST_NEW = 8.0, 5, 0.005
@@ -74,21 +76,36 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=parameters, dict_data=content)
 
 
+def _saved(windows_: list[bytes], plain: bytes, other: bytes) -> list[float]:
+    """Of the bytes saved in each window: the most, the mean, and shares of 2 and more."""
+    a, b = compressor(plain).compress, compressor(other).compress
+    less = np.array([len(a(w)) - len(b(w)) for w in windows_] or [0])
+    return [float(less.max()), float(less.mean()), float((less >= 2).mean()),
+            float((less >= 4).mean())]
+
+
+N_FEATURES = 8
+
+
 @dataclass(frozen=True)
 class Model:
+    """Dictionaries trained on ordinary and on toxic text; the ordinary one filled up, and
+    with telling beginnings; and the calibration of what windows save."""
+
     ordinary: bytes
     toxic: bytes
-    mean: tuple = (0.0,) * 4
-    scale: tuple = (1.0,) * 4
-    weights: tuple = (0.0,) * 4
+    filled: bytes
+    telling: bytes
+    mean: tuple = (0.0,) * N_FEATURES
+    scale: tuple = (1.0,) * N_FEATURES
+    weights: tuple = (0.0,) * N_FEATURES
     bias: float = 0.0
 
     def features(self, text: str) -> list[float]:
-        """Of the bytes saved in each window: the most, the mean, and shares of 2 and more."""
-        plain, toxic = compressor(self.ordinary).compress, compressor(self.toxic).compress
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)] or [0])
-        return [float(saved.max()), float(saved.mean()), float((saved >= 2).mean()),
-                float((saved >= 4).mean())]
+        found = windows(text)
+        return [
+            *_saved(found, self.ordinary, self.toxic), *_saved(found, self.filled, self.telling)
+        ]
 
     def score(self, text: str) -> float:
         x = (np.array(self.features(text)) - self.mean) / self.scale
@@ -105,7 +122,7 @@ def _learning_rows(docs: DataFrame, labels: DataFrame, toxic_docs: int, ordinary
     parts = [known.where(F.col("toxic") == y).orderBy("h_", "doc_id").limit(n) for y, n in most.items()]
     chosen = parts[0].union(parts[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = saved(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     # Between the sample's shares of the classes and those of all labels.
     weight = {y: max(total.get(y, 0) / n, 1.0) ** 0.5 for y, n in most.items()}
     return rows, weight
@@ -180,8 +197,8 @@ def _of_copies(in_text: np.ndarray, parts: list[str]) -> np.ndarray:
     ], bool)
 
 
-def _ordinary(rows: DataFrame) -> bytes:
-    """A dictionary trained on windows of ordinary texts."""
+def _dictionary(rows: DataFrame) -> bytes:
+    """A dictionary trained on windows of some texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,12 +207,12 @@ def _ordinary(rows: DataFrame) -> bytes:
                 step = max(1, len(found) // WINDOWS_PER_DOC)
                 yield pa.RecordBatch.from_arrays([pa.array(found[::step], pa.binary())], names=["w"])
 
-    found = map_batches(rows.where("toxic = 0").select("text"), cut, "w binary").collect()
+    found = map_batches(rows.select("text"), cut, "w binary").collect()
     samples = sorted(bytes(row.w) for row in found)
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(TRAINED_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: all of it
-        return b"".join(samples)[-ORDINARY_BYTES:]
+        return b"".join(samples)[-TRAINED_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3):
@@ -219,28 +236,37 @@ def trained(
 ) -> Model:
     """A model from at most so many labelled documents of each class, none held out."""
     rows, weight = _learning_rows(docs, labels, toxic_docs, ordinary_docs)
-    parts, ordinary = _telling(rows), _ordinary(rows)
-    telling = "".join(" " + part.strip() for part in parts).encode() + b" "
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS))
+    telling = "".join(" " + p.strip() for p in _telling(rows)).encode() + b" "
     telling *= REPEATS
-    # Filled up with what no text has, so that matches in the common part cost the same.
-    model = Model(ordinary + bytes(len(telling)), ordinary + telling)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.features(text) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"]
-            )
 
-    found = map_batches(rows.select("text", "toxic"), run, "x array<double>, y int").collect()
-    x = np.array([row.x for row in found]).reshape(-1, 4)
+    def of(some: DataFrame) -> Model:
+        """Not calibrated. Filled up with what no text has, so that matches in the common part of
+        the last two dictionaries cost the same."""
+        ordinary, toxic = (_dictionary(some.where(F.col("toxic") == y)) for y in (0, 1))
+        return Model(ordinary, toxic, ordinary + bytes(len(telling)), ordinary + telling)
+
+    def measured(some: DataFrame, model: Model) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [model.features(text) for text in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"]
+                )
+
+        return map_batches(some.select("text", "toxic"), run, "x array<double>, y int").collect()
+
+    model, found = of(rows), []
+    for i in range(PARTS):
+        found += measured(rows.where(part == i), of(rows.where(part != i)))
+    x = np.array([row.x for row in found]).reshape(-1, N_FEATURES)
     y = np.array([row.y for row in found], float)
     if not len(found) or y.min() == y.max():  # nothing to tell apart
-        return Model(model.ordinary, model.toxic, bias=-30.0 if not y.sum() else 30.0)
+        return replace(model, bias=-30.0 if not y.sum() else 30.0)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     theta = _logistic((x - mean) / scale, y, np.where(y == 1, weight[1], weight[0]))
-    return Model(
-        model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(theta[:-1]), float(theta[-1])
+    return replace(
+        model, mean=tuple(mean), scale=tuple(scale), weights=tuple(theta[:-1]), bias=float(theta[-1])
     )
 
 
