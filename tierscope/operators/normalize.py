@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierscope import schemas as S
+from tierscope.functions.bitmaps import key_bitmap, maybe_in
 from tierscope.functions.expr import label, rounded
 
 Tables = Mapping[str, DataFrame]
@@ -92,15 +93,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Child rows whose non-NULL key has no parent; `on` maps child to parent columns."""
+    """Child rows whose non-NULL key has no parent; `on` maps child to parent columns.
+
+    The distinct keys of the child, combined in each task first, meet the parents; rows don't. Of
+    the rows only those are shuffled that a bitmap of the keys without a parent leaves in, so
+    what moves follows the orphans and not the child. A key is compared in the child's type.
+    """
     parent_keys = parent.select(
-        *[F.col(p).alias(f"parent_{c}") for c, p in on.items()]
+        *[F.col(p).cast(child.schema[c].dataType).alias(f"parent_{c}") for c, p in on.items()]
     ).distinct()
-    condition = [F.col(c) == F.col(f"parent_{c}") for c in on]
-    rows = child
+    rows, keys = child, list(on)
     for column in on:
         rows = rows.where(F.col(column).isNotNull())
-    return rows.join(parent_keys, condition, "left_anti")
+    lost = rows.select(*keys).distinct().join(
+        parent_keys, [F.col(c) == F.col(f"parent_{c}") for c in on], "left_anti"
+    )
+    suspects = maybe_in(rows, keys, key_bitmap(lost, keys))
+    # The keys are distinct. A semi join would be moved below the bitmap, and shuffle all rows.
+    named = lost.select(*[F.col(c).alias(f"lost_{c}") for c in keys])
+    same = [F.col(c) == F.col(f"lost_{c}") for c in keys]
+    return suspects.join(named, same).select(*child.columns)
 
 
 def declared_keys(t: Tables) -> DataFrame:

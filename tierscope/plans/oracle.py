@@ -774,6 +774,43 @@ BODIES |= {
     "FROM beneficiary_costs",
     "export_csv_table": f"SELECT {DRUG_ROW} FROM drug_list_drugs",
 }
+
+
+def changed(before: str, after: str, keys: list[str], columns: list[str]) -> str:
+    """A full outer join of two tables that hold each key once."""
+    differ = [f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in columns]
+    return (
+        f"SELECT {', '.join(f'COALESCE(a.{k}, b.{k}) AS {k}' for k in keys)}, "
+        f"CASE WHEN a.{keys[0]} IS NULL THEN 'added' WHEN b.{keys[0]} IS NULL THEN 'removed' ELSE 'changed' END AS change, "
+        f"CAST(a.{keys[0]} IS NOT NULL AS BIGINT) AS rows_before, "
+        f"CAST(b.{keys[0]} IS NOT NULL AS BIGINT) AS rows_after, "
+        f"CASE WHEN a.{keys[0]} IS NOT NULL AND b.{keys[0]} IS NOT NULL THEN concat_ws(',', {', '.join(differ)}) END "
+        f"AS changed_columns FROM ({before}) a FULL JOIN ({after}) b "
+        f"ON {' AND '.join(f'a.{k} = b.{k}' for k in keys)} "
+        f"WHERE a.{keys[0]} IS NULL OR b.{keys[0]} IS NULL OR concat_ws(',', {', '.join(differ)}) <> ''"
+    )
+
+
+YEAR_PLAN = "plan_key, contract_id, plan_id, segment_id, plan_name, deductible, snp"
+PLAN_NO, DRUG_NO = "CAST(plan_id AS INT)", "CAST(ndc AS BIGINT)"
+YEAR_DRUG = (
+    "drug_list_id, ndc, rxcui, quantity_limit_yn, quantity_limit_amount, quantity_limit_days, "
+    "prior_authorization_yn, step_therapy_yn"
+)
+BODIES["plan_changes"] = changed(
+    f"SELECT DISTINCT {YEAR_PLAN}, drug_list_id, premium FROM plan_information WHERE {PLAN_NO} % 10 <> 5",
+    f"SELECT DISTINCT {YEAR_PLAN}, CASE WHEN {PLAN_NO} % 15 <> 4 THEN drug_list_id END AS drug_list_id, "
+    f"CASE WHEN {PLAN_NO} % 10 = 4 THEN premium + 1 ELSE premium END AS premium "
+    f"FROM plan_information WHERE {PLAN_NO} % 10 <> 3",
+    ["plan_key"], ["contract_id", "plan_id", "segment_id", "plan_name", "drug_list_id", "premium",
+                   "deductible"],
+)
+BODIES["drug_list_changes"] = changed(
+    f"SELECT {YEAR_DRUG}, tier_level_value FROM drug_list_drugs WHERE {DRUG_NO} % 10 <> 5",
+    f"SELECT {YEAR_DRUG}, CASE WHEN {DRUG_NO} % 10 = 4 THEN 1 ELSE tier_level_value END AS tier_level_value "
+    f"FROM drug_list_drugs WHERE {DRUG_NO} % 10 <> 3",
+    ["drug_list_id", "ndc"], ["rxcui", "tier_level_value", "quantity_limit_yn"],
+)
 for name in ("read_pipe_zip", "read_zip_members"):
     BODIES[name] = BODIES["unzip_pipe"]
 

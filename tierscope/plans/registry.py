@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tierscope import schemas as S
 from tierscope.functions.expr import rounded
 from tierscope.functions.params import scratch_path
-from tierscope.operators import costs, drugs, drug_list, geography, incremental, landscape
+from tierscope.operators import changes, costs, drugs, drug_list, geography, incremental, landscape
 from tierscope.operators import normalize
 from tierscope.operators import organizations as orgs
 from tierscope.operators import profile, summaries
@@ -304,6 +304,23 @@ def _snapshot_of(name: str) -> Build:
     return build
 
 
+def _two_years(t: Tables) -> tuple[Tables, Tables]:
+    """Plans and drug lists of a year and of the next, in which some changed, came and went."""
+    no, drug = F.col("plan_id").cast("int"), F.col("ndc").cast("long")
+    plans, drugs_ = t["plan_information"], t["drug_list_drugs"]
+    later_plans = plans.where(no % 10 != 3).withColumns({
+        "premium": F.when(no % 10 == 4, F.col("premium") + 1).otherwise(F.col("premium")).cast(S.MONEY),
+        "drug_list_id": F.when(no % 15 == 4, F.lit(None)).otherwise(F.col("drug_list_id")),
+    })
+    later_drugs = drugs_.where(drug % 10 != 3).withColumn(
+        "tier_level_value", F.when(drug % 10 == 4, 1).otherwise(F.col("tier_level_value"))
+    )
+    return (
+        {"plan_information": plans.where(no % 10 != 5), "drug_list_drugs": drugs_.where(drug % 10 != 5)},
+        {"plan_information": later_plans, "drug_list_drugs": later_drugs},
+    )
+
+
 def _export_csv_table(t: Tables) -> DataFrame:
     path, schema = scratch_path(_spark(t), "csv-table"), S.SCHEMAS["drug_list_drugs"]
     sinks.export_csv(t["drug_list_drugs"].select(*schema.names), path)
@@ -430,6 +447,8 @@ QUERIES: dict[str, Build] = {
         "geographic_locator", *S.SCHEMAS["geographic_locator"].names
     ),
     "snapshot": _snapshot,
+    "plan_changes": lambda t: changes.plan_changes(*_two_years(t)),
+    "drug_list_changes": lambda t: changes.drug_list_changes(*_two_years(t)),
     "snapshot_plans": _snapshot_of("plan_information"),
     "snapshot_drugs": _snapshot_of("drug_list_drugs"),
     "snapshot_prices": _snapshot_of("drug_pricing"),
