@@ -434,6 +434,21 @@ def test_exact_quartiles(spark, size, shape):
         assert row[name] == pytest.approx(np.quantile(values, q), rel=1e-12)
 
 
+def test_brackets_of_quartiles_hold_few_values(spark):
+    """However many distinct values a column has, few are left to look at."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n / 3).alias("v"), F.lit(1).alias("n"))
+    edges = df.agg(F.percentile_approx("v", [q + s for q in (0.25, 0.5, 0.75) for s in (-2e-4, 2e-4)], 20_000))
+    first = edges.first()[0]
+    held = [df.where(F.col("v").between(*first[i : i + 2])).count() for i in (0, 2, 4)]
+    assert min(held) > 200
+    last = profile.narrowed(df, edges.scalar()).first()["edges"]
+    assert all(df.where(F.col("v").between(*last[i : i + 2])).count() <= 2 for i in (0, 2, 4))
+    row = profile.describe_numeric(df, "v").first()
+    for name, q in profile.QUARTILES.items():
+        assert row[name] == pytest.approx(np.quantile(np.arange(n) / 3, q), rel=1e-12)
+
+
 def test_value_counts_include_null(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "x string")
     rows = [tuple(r) for r in profile.value_counts(df, "x").collect()]
