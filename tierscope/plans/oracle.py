@@ -734,6 +734,7 @@ BODIES["refresh_county_plan_summary"] = BODIES["county_plan_summary"]
 
 for name in ("specialty_margin", "contract_specialty_cost", "pricing_table"):
     BODIES[f"colocated_{name}"] = BODIES[name]
+BODIES["read_drug_dictionary"] = BODIES["read_drug_names"]
 BODIES["compact_pricing"] = BODIES["append_pricing"]
 BODIES["ingest_counts"] = " UNION ALL ".join(
     f"SELECT '{table}' AS table_name, COUNT(*) AS rows, CAST(0 AS BIGINT) AS rejected FROM {table}"

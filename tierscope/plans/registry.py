@@ -28,7 +28,7 @@ from tierscope.operators import normalize
 from tierscope.operators import organizations as orgs
 from tierscope.operators import profile, summaries
 from tierscope.plans import samples as P
-from tierscope.sources import archives, colocated, sinks, tables, text
+from tierscope.sources import archives, colocated, dictionaries, sinks, tables, text
 from tierscope.sources.star import derive_tables
 from tierscope.streaming.append import append_pricing
 
@@ -277,6 +277,16 @@ def _read_drug_names(t: Tables) -> DataFrame:
     return text.read_drug_names(_spark(t), path)
 
 
+def _read_drug_dictionary(t: Tables) -> DataFrame:
+    """Drug names as JSON dictionaries of many concepts each, read by ranges of 4 KB."""
+    path = scratch_path(_spark(t), "dictionaries")
+    entry = F.struct(F.col("rxcui").cast("string"), "description")
+    t["drug_names"].groupBy(F.floor(F.col("rxcui") / 1000).alias("part")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
+    ).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return dictionaries.read_drug_dictionary(_spark(t), path, 4096)
+
+
 def _export_csv(t: Tables) -> DataFrame:
     path = scratch_path(_spark(t), "csv")
     sinks.export_csv(drug_list.specialty_drug_groups(t, P.DRUG_LIST), path)
@@ -459,6 +469,7 @@ QUERIES: dict[str, Build] = {
         lambda t: landscape.pricing_table(t, P.DRUG_GROUPS)
     ),
     "read_drug_names": _read_drug_names,
+    "read_drug_dictionary": _read_drug_dictionary,
     "export_csv": _export_csv,
     "export_csv_table": _export_csv_table,
     "to_records": _to_records,
