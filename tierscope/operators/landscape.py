@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierscope import schemas as S
-from tierscope.functions.aggregates import count_items
 from tierscope.functions.expr import mean, percent_or_zero, rounded_even
 from tierscope.functions.params import keep_matching, keep_values
 from tierscope.operators.drugs import drug_dosages, group_entries, group_ndcs
@@ -130,23 +129,8 @@ def coverage_table(
     drugs = _dosed_drugs(t, groups)
     entries = group_entries(t, groups)
     key = ["company", *DRUG]
-    # Repeated rows are harmless below: both counts are of distinct items.
-    by_drug_list = plans.select("company", "drug_list_id").distinct().join(
-        entries, "drug_list_id"
-    ).groupBy(*key).agg(F.countDistinct("drug_list_id").alias("drug_lists_with_drug"))
-    tier = F.col("tier_level_value")
-    by_plan = count_items(
-        plans.select("company", "drug_list_id", "plan_id").join(entries, "drug_list_id"),
-        key, "plan_id", "plans_with_drug",
-        {
-            **{f"tier{n}_count": tier == n for n in (3, 4, 5, 6)},
-            "pa_count": F.upper("prior_authorization_yn") == "Y",
-            "st_count": F.upper("step_therapy_yn") == "Y",
-            "ql_count": F.upper("quantity_limit_yn") == "Y",
-        },
-    )
-    rows = _per_company(drugs, companies).join(totals, "company", "left")
-    rows = rows.join(by_drug_list, key, "left").join(by_plan, key, "left")
+    counts = _covered(plans, entries, key)
+    rows = _per_company(drugs, companies).join(totals, "company", "left").join(counts, key, "left")
     rows = _zeros(rows, (*key, "dosage"))
     with_drug = F.col("plans_with_drug")
     shares = [
@@ -162,6 +146,36 @@ def coverage_table(
     )
 
 
+def _covered(plans: DataFrame, entries: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Drug lists and plans with a drug, by key, and plans by tier and restriction.
+
+    Plans and entries meet once. Each row that gives is an item of the list and one of the
+    plan; items are collapsed with OR-ed flags before they are counted.
+    """
+    tier = F.col("tier_level_value")
+    flags = {
+        **{f"tier{n}_count": tier == n for n in (3, 4, 5, 6)},
+        "pa_count": F.upper("prior_authorization_yn") == "Y",
+        "st_count": F.upper("step_therapy_yn") == "Y",
+        "ql_count": F.upper("quantity_limit_yn") == "Y",
+    }
+    # One row per entry and flags, so that repeated entries don't multiply.
+    flagged = entries.groupBy("drug_list_id", *[c for c in key if c != "company"]).agg(
+        *[F.max(F.when(cond, 1).otherwise(0)).alias(name) for name, cond in flags.items()]
+    )
+    met = plans.select("company", "drug_list_id", "plan_id").distinct().join(flagged, "drug_list_id")
+    items = met.withColumn("item", F.explode(F.array(*[
+        F.struct(F.lit(of_plan).alias("of_plan"), F.col(c).alias("id"))
+        for of_plan, c in ((False, "drug_list_id"), (True, "plan_id"))
+    ]))).select(*key, *flags, "item.*").where(F.col("id").isNotNull())
+    distinct = items.groupBy(*key, "of_plan", "id").agg(*[F.max(c).alias(c) for c in flags])
+    return distinct.groupBy(*key).agg(
+        F.count_if(~F.col("of_plan")).alias("drug_lists_with_drug"),
+        F.count_if("of_plan").alias("plans_with_drug"),
+        *[F.count_if(F.col("of_plan") & (F.col(c) == 1)).alias(c) for c in flags],
+    )
+
+
 # ---------------------------------------------------------------- prices
 
 def pricing_table(
