@@ -10,6 +10,7 @@ files' totals gives the place in the whole.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.llm.common import chunks, filled, map_batches, text_or_empty
-from tierscope.llm.words import ENCODE_BYTES, encoder
+from tierscope.llm.words import encoder
 
+CHUNK_BYTES = 2 << 20  # text encoded at a time
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000  # rows that an entry of the row index stands for
 FALSE_HITS = 0.01  # of the Bloom filters
@@ -41,22 +43,28 @@ def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, done = batch.column(0), 0
-            for texts in chunks(filled(batch.column(1)), ENCODE_BYTES):
-                n = len(texts)
-                ends, tokens = encoder(vocabulary).encode(texts)
-                tokens = np.insert(tokens.astype(np.int32), ends[1:], end_id)
-                ends = ends + np.arange(n + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(done, n), pa.array(np.full(n, file, np.int32)),
-                        pa.array(start + ends[:-1]), pa.array(np.diff(ends)),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens)),
-                    ],
-                    names=["doc_id", "file", "file_start", "n_tokens", "ids"],
-                )
-                done, start = done + n, start + int(ends[-1])
+        gc.disable()  # large dicts are slow to visit
+        try:
+            for batch in batches:
+                ids, done = batch.column(0), 0
+                for texts in chunks(filled(batch.column(1)), CHUNK_BYTES):
+                    n = len(texts)
+                    ends, tokens = encoder(vocabulary).encode(texts)
+                    tokens = np.insert(tokens.astype(np.int32), ends[1:], end_id)
+                    ends = ends + np.arange(n + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.slice(done, n), pa.array(np.full(n, file, np.int32)),
+                            pa.array(start + ends[:-1]), pa.array(np.diff(ends)),
+                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens)),
+                        ],
+                        names=["doc_id", "file", "file_start", "n_tokens", "ids"],
+                    )
+                    done, start = done + n, start + int(ends[-1])
+                pa.default_memory_pool().release_unused()
+        finally:
+            gc.enable()
+            gc.collect()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, file int, file_start bigint, n_tokens bigint, ids array<int>"
