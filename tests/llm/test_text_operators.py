@@ -334,6 +334,39 @@ def test_near_is_a_similarity_of_sets(docs, rows, monkeypatch):
     assert {got[i].group_size for i in range(360, 380)} == {20}
 
 
+def prints_of(words):
+    return near.simhash(np.unique(near.shingle_hashes(" ".join(words).encode(), 1)))
+
+
+def test_one_fingerprint_of_other_sets_is_no_link(docs):
+    shape = near.Near(words=1, radius=10, repeats=False, parts=1, confirmed=0.95)
+    base = [f"w{i}" for i in range(30)]
+    first = prints_of([*base, "x"])
+    other = next(f"y{i}" for i in range(100_000) if prints_of([*base, f"y{i}"]) == first)
+    texts = [[*base, "x"], [*base, other], [*base[::-1], "x"]]  # 30 of 32 words in common
+    got = by_id(near.grouped(docs([" ".join(t) for t in texts]), shape).collect())
+    assert got[0].bits == got[1].bits
+    assert [got[i].component_id for i in range(3)] == [0, 1, 0]
+
+
+def test_similar_sets_are_linked_only_where_fingerprints_are(docs):
+    base = [f"w{i}" for i in range(40)]
+
+    def apart(a, b):
+        return (prints_of(a) ^ prints_of(b)).bit_count()
+
+    for k in range(100_000):  # both ends are near the middle, but further from each other
+        a, b, middle = [*base, f"a{k}"], [*base, f"b{k}"], [*base, f"c{k}", f"d{k}"]
+        radius = apart(a, b) - 1
+        if max(apart(a, middle), apart(b, middle)) <= radius:
+            break
+    texts = [" ".join(t) for t in (a, b, middle)]  # 40 of 42 words, and 40 of 43
+    for reach, want in ((radius, [0, 1, 2]), (radius + 1, [0, 0, 2])):
+        shape = near.Near(words=1, radius=reach, repeats=False, parts=1, confirmed=0.95)
+        got = by_id(near.grouped(docs(texts), shape).collect())
+        assert [got[i].component_id for i in range(3)] == want
+
+
 def test_similar_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12)).astype(np.uint64)) for _ in range(60)]

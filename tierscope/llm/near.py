@@ -8,8 +8,9 @@ More parts make tiles finer: there are more pairs of tiles, but fewer comparison
 Copies of a fingerprint are one node. A comparison of two tiles returns a spanning forest of
 what it links, so a large group doesn't come out as all its pairs.
 
-Where near is a Jaccard similarity, fingerprints only say which documents may be near. Each
-component of these candidates is compared again by its sets of shingles, all pairs, exactly.
+Where near is a Jaccard similarity, an exact check follows: of the pairs that fingerprints link,
+those stay linked whose sets of shingles are similar. No pair is linked by its sets alone, and
+documents of one fingerprint are one node only if their sets are equal.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ class Near:
     as often as it comes. `parts` and `step` shape the tiles: population counts are taken of
     so many parts, in steps.
 
-    If `confirmed` is given, near means at least that Jaccard similarity of the sets;
-    fingerprints that differ in `radius + margin` bits at most make candidates only.
+    If `confirmed` is given, fingerprints link that differ in `radius + margin` bits at most, and
+    of these links those count whose sets have that Jaccard similarity at least.
     """
 
     words: int = 3
@@ -153,17 +154,24 @@ def simhash(hashes: np.ndarray) -> int:
     return int(set_bits.view("<u8")[0])
 
 
+def set_hash(hashes: np.ndarray) -> bytes:
+    """Of shingles' hashes, in any order and number."""
+    return xxhash.xxh3_128_digest(np.unique(hashes).tobytes())
+
+
 def fingerprint(text: Column, near: Near) -> Column:
-    """Of each text: `bits`, an array of 64-bit words, and `cell`, the number of its tile cell."""
+    """Of each text: `bits`, an array of 64-bit words, `cell`, the number of its tile cell, and
+    `set`, a 128-bit hash of its shingles where links are confirmed by them, otherwise NULL."""
     per_part = 64 * near.width // near.parts
 
     def run(texts: pa.Array) -> pa.Array:
-        prints, sizes = [], []
+        prints, sizes, sets = [], [], []
         for data in encoded(texts):
             hashes = shingle_hashes(data, near.words)
             hashes = hashes if near.repeats else np.unique(hashes)
             prints.append([simhash(mixed(hashes, i)) for i in range(near.width)])
             sizes.append(len(hashes))
+            sets.append(set_hash(hashes) if near.confirmed is not None else None)
         words = np.array(prints, "<u8").reshape(-1, near.width)
         bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
         counts = bits.reshape(-1, near.parts, per_part).sum(2).astype(np.int64) // near.step
@@ -175,9 +183,12 @@ def fingerprint(text: Column, near: Near) -> Column:
             cells = cells * BASE + counts[:, i]
         flat = pa.array(words.astype(np.int64).reshape(-1))
         ends = pa.array(np.arange(0, len(flat) + 1, near.width, dtype=np.int32))
-        return struct_array(bits=pa.ListArray.from_arrays(ends, flat), cell=pa.array(cells))
+        return struct_array(
+            bits=pa.ListArray.from_arrays(ends, flat), cell=pa.array(cells),
+            set=pa.array(sets, pa.binary()),
+        )
 
-    return per_text(run, "struct<bits:array<bigint>, cell:bigint>")(text)
+    return per_text(run, "struct<bits:array<bigint>, cell:bigint, set:binary>")(text)
 
 
 def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -312,9 +323,10 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 
 
 def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) that join the same nodes as all pairs do whose sets are similar.
+    """Links (a, b) that join the same nodes as all pairs do that fingerprints link and whose
+    sets are similar.
 
-    `nodes` has node, root (of the candidates that may be near), doc_id and text_hash of one
+    `nodes` has node, bits, root (of what fingerprints link), doc_id and text_hash of one
     document of the node. Only these documents' texts are shuffled. A component of many sets
     is dealt to tiles, of which each pair is one task's row.
     """
@@ -335,7 +347,9 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
         texts.join(nodes.alias("n"), [
             F.col("t.text_hash") == F.col("n.text_hash"),
             F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")),
-        ]).select("node", "root", per_text(hashed, "binary")(F.col("text")).alias("shingles"))
+        ]).select(
+            "node", "root", "bits", per_text(hashed, "binary")(F.col("text")).alias("shingles")
+        )
         .dropDuplicates(["node"]),
         "shingles",
     )
@@ -348,7 +362,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     tiles = saved(
         sets.join(sizes, "root")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .groupBy("root", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("rows")),
+        .groupBy("root", "part").agg(F.collect_list(F.struct("node", "bits", "shingles")).alias("rows")),
         "set-tiles",
     )
     pairs = (
@@ -363,7 +377,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     work = pairs.join(sides[0], ["root", "part_a"]).join(sides[1], ["root", "part_b"]).select(
         "rows_a", F.when(F.col("part_a") != F.col("part_b"), F.col("rows_b")).alias("rows_b")
     )
-    similarity = near.confirmed
+    similarity, width, radius = near.confirmed, near.width, near.reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +386,11 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
                 held = [c[row].values for c in batch.columns if c[row].is_valid]
                 ids = np.concatenate([h.field("node").to_numpy() for h in held])
                 data = [v for h in held for v in h.field("shingles").to_pylist()]
+                bits = np.concatenate([h.field("bits").flatten().to_numpy() for h in held])
+                bits = bits.view(np.uint64).reshape(-1, width)
                 i, j = similar([np.frombuffer(v, np.uint64) for v in data], similarity)
+                linked = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= radius
+                i, j = i[linked], j[linked]
                 root = forest(len(ids), i, j)
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 found.append(np.stack([ids[moved], ids[root[moved]]]))
@@ -385,8 +403,9 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, all columns.
 
-    By default near means a Jaccard similarity of 0.8 on shingles of five words; links join
-    groups, so two documents of one group may be less similar. Documents
+    By default near means fingerprints that differ in 131 of 512 bits at most, confirmed by a
+    Jaccard similarity of 0.8 on shingles of five words; links join groups, so two documents of
+    one group may be less similar. Documents
     that no group drops are neither shuffled nor joined, but for those that share their
     place in a bitmap of bounded size. A document without doc_id always stays.
     """
@@ -416,29 +435,33 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     other. Rows that repeat are rows of the result. A null doc_id is never the smallest
     unless the component has no other. No documents give no rows.
     """
+    confirmed = near.confirmed is not None
+    same = ["bits", "cell", "set"] if confirmed else ["bits", "cell"]  # one node
     prints = saved(
         docs.select(
             "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"),
             fingerprint(F.col("text"), near).alias("p"),
-        ).select("doc_id", "text_hash", "p.bits", "p.cell"),
+        ).select("doc_id", "text_hash", "p.bits", "p.cell", *(["p.set"] if confirmed else [])),
         "prints",
     )
-    one = [] if near.confirmed is None else [F.min(F.struct("doc_id", "text_hash")).alias("one")]
+    one = [F.min(F.struct("doc_id", "text_hash")).alias("one")] if confirmed else []
     nodes = saved(
-        prints.groupBy("bits", "cell")
+        prints.groupBy(*same)
         .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *one)
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     roots = components(link(nodes, near))
-    if near.confirmed is not None:
-        candidates = nodes.join(roots, "node").select("node", "root", "one.doc_id", "one.text_hash")
+    if confirmed:
+        candidates = nodes.join(roots, "node").select(
+            "node", "root", "bits", "one.doc_id", "one.text_hash"
+        )
         roots = components(confirm(docs, saved(candidates, "maybe-near"), near))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(
         F.min("least").alias("component_id"), F.sum("copies").alias("group_size")
     )
-    of_print = rooted.join(least, "root").select("bits", "cell", "component_id", "group_size")
-    return prints.join(of_print, ["bits", "cell"], "left").select(
+    of_print = rooted.join(least, "root").select(*same, "component_id", "group_size")
+    return prints.join(of_print, same, "left").select(
         "doc_id", "bits", "text_hash", "component_id", "group_size"
     )
