@@ -1,12 +1,15 @@
 """Archives read member by member."""
 
+import hashlib
 import resource
 import zipfile
 
+import pyarrow as pa
 import pytest
 from conftest import as_dicts
 
-from tierscope.sources import archives
+from tierscope.plans import registry
+from tierscope.sources import archives, text
 
 
 def pack(path, members, kind=zipfile.ZIP_DEFLATED):
@@ -92,6 +95,41 @@ def test_memory_does_not_follow_the_archive(tmp_path):
     assert read(120) - small < 50_000
 
 
+def test_written_archives_are_streamed(spark, tmp_path):
+    writer, seen = registry._archive_writer(str(tmp_path / "out"), "A|B"), []
+
+    def batches(n):
+        for i in range(n):
+            seen.append(sum(f.stat().st_size for f in tmp_path.rglob("*.zip")))
+            lines = [hashlib.md5(b"%d %d" % (i, k)).hexdigest() + "|x" for k in range(5_000)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["line"])
+
+    task = type("Task", (), {"partitionId": lambda self: 3})()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry.TaskContext, "get", lambda: task)
+        assert [b.column(0).to_pylist() for b in writer(batches(20))] == [["3.zip"]]
+        assert list(writer(iter([]))) == []
+    assert seen[10] > 500_000 and seen[-1] > seen[10]  # what came before is in the file
+    df = text.read_pipe_zip(spark, str(tmp_path / "out"))
+    assert df.columns == ["a", "b"] and df.distinct().count() == 100_000
+
+
+def test_small_members_share_a_task(spark, tmp_path):
+    big = "".join(f"{i}|{i * 7919 % 10007}\n" for i in range(60_000))
+    for name in "xy":
+        members = {f"m{i}": f"B|A\n{i}|{name}\n" for i in range(1500)}
+        pack(tmp_path / f"{name}.zip", {**members, "big": "A|B\n" + big, "none": ""})
+    df = archives.read_zip_members(spark, str(tmp_path), ["a", "b"])
+    parts = archives.MembersReader(str(tmp_path), ["a", "b"], "UTF-8").partitions()
+    assert 64 <= len(parts) == df.rdd.getNumPartitions() <= 140
+    assert sum(len(p.members) for p in parts) == 3004
+    alone = [p for p in parts if any(m.info.filename == "folder/big" for m in p.members)]
+    assert len(alone) == 2 and all(len(p.members) == 1 for p in alone)
+    want = [(name, str(i)) for name in "xy" for i in range(1500)]
+    want += 2 * [tuple(line.split("|")) for line in big.split()]
+    assert rows(df) == sorted(want)
+
+
 def test_damage_is_an_error(spark, tmp_path):
     path = tmp_path / "x.zip"
     pack(path, {"a": "A\n" + "12345\n" * 5000})

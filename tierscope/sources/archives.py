@@ -1,4 +1,4 @@
-"""ZIP archives read member by member, each in a task of its own."""
+"""ZIP archives read member by member; small members share a task."""
 
 from __future__ import annotations
 
@@ -25,6 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOCAL_HEADER_BYTES = 30  # of a member, before its name and extra field
 ORIGIN = "origin_"  # column that names archive and member
 READ_BYTES = 1 << 20  # fetched from the store at a time
+# Members of an archive share a task up to so many bytes, packed as they are; opening one counts
+# as so many. Where that gives fewer tasks than this for all archives, tasks get less each.
+TASK_BYTES, OPEN_BYTES, TASKS = 4 << 20, 4 << 10, 64
+BATCH_ROWS = 10_000  # rows of small members that are passed on together
 
 
 @dataclass
@@ -35,6 +39,27 @@ class Member(InputPartition):
     info: zipfile.ZipInfo
 
 
+@dataclass
+class Members(InputPartition):
+    """Members that one task reads, one after the other."""
+
+    members: list[Member]
+
+
+def shared(found: Sequence[Member]) -> list[Members]:
+    """Members dealt to tasks, in their order; a large one has a task of its own."""
+    costs = [member.info.compress_size + OPEN_BYTES for member in found]
+    most = min(TASK_BYTES, sum(costs) / TASKS)
+    tasks, held = [], 0
+    for member, cost in zip(found, costs):
+        if not tasks or held + cost > most:
+            tasks.append(Members([]))
+            held = 0
+        tasks[-1].members.append(member)
+        held += cost
+    return tasks
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, by the names that Spark uses for it."""
     uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path))
@@ -77,7 +102,7 @@ def open_member(member: Member) -> io.BufferedReader:
 
 
 class ZipMembers(DataSource):
-    """Pipe-delimited members of ZIP archives, one partition each."""
+    """Pipe-delimited members of ZIP archives, partitions of one large or some small ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -94,10 +119,24 @@ class MembersReader(DataSourceReader):
     def __init__(self, path: str, columns: Sequence[str], encoding: str):
         self.path, self.columns, self.encoding = path, list(columns), encoding
 
-    def partitions(self) -> Sequence[Member]:
-        return [m for path in archive_paths(self.path) for m in members(path)]
-
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> Sequence[Members]:
+        return shared([m for path in archive_paths(self.path) for m in members(path)])
+
+    def read(self, partition: Members | Member) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Member):
+            yield from self._rows(partition)
+            return
+        held, rows = [], 0
+        for member in partition.members:
+            for batch in self._rows(member):
+                held, rows = [*held, batch], rows + batch.num_rows
+                if rows >= BATCH_ROWS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _rows(self, partition: Member) -> Iterator[pa.RecordBatch]:
         names = [name for name in self.columns if name != ORIGIN]
         target = pa.schema([(name, pa.string()) for name in names])
         origin = f"{partition.path}!{partition.info.filename}"
@@ -126,8 +165,8 @@ def read_zip_members(
 ) -> DataFrame:
     """The pipe-delimited members of an archive or a folder of archives, every column as text.
 
-    Each member is one partition: a task fetches its bytes by range and parses them block by
-    block. Archives may have any size, and so may members; a task's memory depends on neither. Only
+    A large member is one partition, small ones share one: a task fetches a member's bytes by
+    range and parses them block by block. Archives may have any size, and so may members; a task's memory depends on neither. Only
     the directories of the archives are read by the driver, once. Columns are found by header
     name in any case and order; one that a member lacks is NULL; without `columns`, those of
     the first member are read. With `origin`, a last column ORIGIN names archive and member.
