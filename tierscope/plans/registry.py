@@ -8,6 +8,7 @@ in the scratch folder and return what was read back.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import sys
 import zipfile
@@ -100,11 +101,14 @@ MEMBER_LINES = 500
 
 
 def _write_archives(t: Tables) -> str:
-    """The drug lists as archives in a folder, one a task, each with members of some lines."""
+    """The drug lists as archives in a folder, one a task, each with members of some lines.
+
+    Their number follows the size of the lists.
+    """
     folder = scratch_path(_spark(t), "archives")
     columns = ("drug_list_id", "ndc", "tier_level_value")
     lines = t["drug_list_drugs"].select(F.concat_ws("|", *columns).alias("line"), *columns)
-    dealt = lines.repartition(4, *columns).sortWithinPartitions("line").select("line")
+    dealt = lines.repartition(*columns).sortWithinPartitions("line").select("line")
     names = dealt.mapInArrow(_archive_writer(folder, "|".join(columns).upper()), "name string")
     names.write.format("noop").mode("overwrite").save()
     return folder
@@ -112,18 +116,19 @@ def _write_archives(t: Tables) -> str:
 
 def _archive_writer(folder: str, header: str):
     def write(batches):
-        lines = [line for batch in batches for line in batch.column(0).to_pylist()]
-        if not lines:
+        lines = (line for batch in batches for line in batch.column(0).to_pylist())
+        part = list(itertools.islice(lines, MEMBER_LINES))
+        if not part:
             return
-        packed, name = io.BytesIO(), f"{TaskContext.get().partitionId()}.zip"
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
-            for start in range(0, len(lines), MEMBER_LINES):
-                part = lines[start : start + MEMBER_LINES]
-                archive.writestr(f"part-{start}.txt", "\n".join([header, *part]) + "\n")
+        start, name = 0, f"{TaskContext.get().partitionId()}.zip"
         store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
         store.create_dir(place)
         with store.open_output_stream(f"{place}/{name}") as out:
-            out.write(packed.getvalue())
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                while part:
+                    archive.writestr(f"part-{start}.txt", "\n".join([header, *part]) + "\n")
+                    start += len(part)
+                    part = list(itertools.islice(lines, MEMBER_LINES))
         yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     return write

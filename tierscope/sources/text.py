@@ -107,7 +107,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[io.BufferedReader]:
     """The members of the archives in a binary column, opened one after the other."""
     for batch in batches:
         for content in batch.column(0):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:  # no copy
                 for member in archive.infolist():
                     if not member.is_dir():
                         with archive.open(member) as stream:
