@@ -166,8 +166,8 @@ def read_zip_members(
     """The pipe-delimited members of an archive or a folder of archives, every column as text.
 
     A large member is one partition, small ones share one: a task fetches a member's bytes by
-    range and parses them block by block. Archives may have any size, and so may members; a task's memory depends on neither. Only
-    the directories of the archives are read by the driver, once. Columns are found by header
+    range and parses them block by block. Archives may have any size, and so may members; a
+    task's memory depends on neither. Only the directories of the archives are read by the driver, once. Columns are found by header
     name in any case and order; one that a member lacks is NULL; without `columns`, those of
     the first member are read. With `origin`, a last column ORIGIN names archive and member.
 
