@@ -50,3 +50,26 @@ def test_letters_that_change_before_each_mark(library, mark):
 def test_ordinary_words_of_three_scripts(library):
     found = ["İstanbul.", "İ.", "Hindī", "लड़.", "लड़,", "पढ़।", "पढ़!", "বাড়.", "ਸ਼.", "שׁ.", "é.", "É,"]
     assert same_ids(library, found) is None
+
+
+class Bounded(dict):
+    """A memory that notes the most entries it ever held."""
+
+    most = 0
+
+    def update(self, *args):
+        super().update(*args)
+        self.most = max(self.most, len(self))
+
+
+def test_a_full_memory_is_left_as_it_is(library, monkeypatch):
+    monkeypatch.setattr(words, "MEMORY_WORDS", 3)
+    encoder = words.WordEncoder(WORD_BPE)
+    encoder.words, encoder.cores = Bounded(), Bounded()
+    texts = ["plan Plan, plan. drug", "drug... list (tier) é. " + "x" * 60, "list <|endoftext|> list;", ""]
+    for _ in range(2):
+        ends, ids = encoder.encode(pa.array(texts, pa.large_string()))
+        for i, text in enumerate(texts):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert ids[ends[i] : ends[i + 1]].tolist() == want
+    assert 0 < encoder.words.most <= 3 and 0 < encoder.cores.most <= 3

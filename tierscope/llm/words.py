@@ -12,7 +12,6 @@ import functools
 import string
 import unicodedata
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +52,7 @@ class WordEncoder:
         """The ids of all texts (large strings), and where each text's ids begin, and the end."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [word for word in distinct if word not in self.words]
-        with remembered(self.words, new, self._words):
-            values = list(map(self.words.__getitem__, distinct))
+        values = recalled(self.words, _listed(coded.dictionary), self._words)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         starts = np.cumsum(lengths) - lengths
         which = coded.indices.to_numpy(zero_copy_only=False)
@@ -73,15 +69,15 @@ class WordEncoder:
         """
         cores = [word.rstrip(TRAILING) for word in words]
         cores = [
-            core if not core or core[-1] in CORE_ENDS or core[-1] > 127 and _ends_piece(core)
-            else word for word, core in zip(words, cores)
+            core if core is word or not core or core[-1] in CORE_ENDS
+            or core[-1] > 127 and _ends_piece(core) else word
+            for word, core in zip(words, cores)
         ]
-        marks = [word[len(core):] for word, core in zip(words, cores)]
-        cores = list(map(bytes.lower, cores))
-        new = list(set().union(cores, marks) - self.cores.keys())
-        with remembered(self.cores, new, self._bulk):
-            get = self.cores.__getitem__
-            out = list(map(add, map(get, cores), map(get, marks)))
+        marked = [i for i, (word, core) in enumerate(zip(words, cores)) if core is not word]
+        marks = [words[i][len(cores[i]):] for i in marked]
+        out = recalled(self.cores, list(map(bytes.lower, cores)), self._bulk)
+        for i, ids in zip(marked, recalled(self.cores, marks, self._bulk)):
+            out[i] += ids
         for i, word in enumerate(words):
             if b"<|" in word:  # may hold a control string
                 out[i] = self._alone(word)
@@ -94,23 +90,49 @@ class WordEncoder:
     def _bulk(self, words: list[bytes]) -> list[bytes]:
         """Words of letters only are one piece each: their ids end with a word end."""
         out: dict[bytes, bytes] = {}
-        texts = [word.decode() for word in words]
-        whole = [text.isalpha() and text.lower().isalpha() for text in texts]
-        letters = [pair for pair, is_whole in zip(zip(words, texts), whole) if is_whole]
+        letters = [word for word in words if word.isalpha() or not word.isascii() and _letters(word)]
         parts = [letters[i : i + BULK] for i in range(0, len(letters), BULK)]
         joined = self.tokenizer.encode_batch_fast(
-            [" ".join([text for _, text in part]) for part in parts], add_special_tokens=False
+            [b" ".join(part).decode() for part in parts], add_special_tokens=False
         )
         for part, encoding in zip(parts, joined):
             ids = np.array(encoding.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
             if len(cuts) == len(part):
                 data = ids.tobytes()
-                cut = map(slice, [0, *cuts], cuts)
-                out.update(zip([word for word, _ in part], map(data.__getitem__, cut)))
+                out.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
         return [out[word] if word in out else self._alone(word) for word in words]
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters only, also in lower case."""
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
+def _listed(values: pa.Array) -> list[bytes]:
+    """A large binary array without nulls as a list; `to_pylist` makes a scalar of each first."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    held = data.to_pybytes() if data else b""
+    return list(map(held.__getitem__, map(slice, at[:-1], at[1:])))
+
+
+def recalled(memory: dict, keys: list[bytes], encode) -> list[bytes]:
+    """The value of each key, new ones encoded; short ones are remembered, up to the limit.
+
+    The memory fills with what comes first, among it the frequent words, and then stays.
+    """
+    values = list(map(memory.get, keys))
+    new = list(dict.fromkeys(key for key, value in zip(keys, values) if value is None))
+    if not new:
+        return values
+    found = dict(zip(new, encode(new)))
+    room = max(MEMORY_WORDS - len(memory), 0)
+    memory.update((key, found[key]) for key in new[:room] if len(key) <= LONGEST_KEPT)
+    return [found[key] if value is None else value for key, value in zip(keys, values)]
+
+
 @contextlib.contextmanager
 def remembered(memory: dict, new: list[bytes], encode) -> Iterator[None]:
     """Adds the values of new keys; afterwards only short keys stay, up to the limit.
