@@ -367,6 +367,52 @@ def test_similar_sets_are_linked_only_where_fingerprints_are(docs):
         assert [got[i].component_id for i in range(3)] == want
 
 
+def test_small_similar_sets_are_linked_however_their_fingerprints_scatter(docs):
+    words = [f"v43342x{k}" for k in range(9)]  # 4 shingles of 5, found by trying
+    texts = [" ".join(words[:8]), " ".join(words), "one more text of some other words here"]
+    assert jaccard(*texts[:2]) == 0.8
+    got = by_id(near.grouped(docs(texts), near.Near.jaccard()).collect())
+    assert sum((a ^ b).bit_count() for a, b in zip(*([x % 2**64 for x in got[i].bits] for i in (0, 1)))) == 133
+    assert [got[i].component_id for i in range(3)] == [0, 0, 2]
+
+
+def test_reach_leaves_out_hardly_any_similar_pair():
+    shape, rng = near.Near.jaccard(), np.random.default_rng(9)
+    assert list(shape.reaches) == sorted(shape.reaches, reverse=True)
+    for common, a, b in [(4, 0, 1), (8, 1, 1), (12, 0, 3), (20, 2, 3), (28, 0, 7), (44, 0, 11), (100, 12, 13)]:
+        apart = []
+        for _ in range(300):
+            hashes = rng.integers(0, 2**64, common + a + b, dtype=np.uint64)
+            sets = hashes[: common + a], np.append(hashes[:common], hashes[common + a :])
+            apart.append(sum(
+                (near.simhash(near.mixed(sets[0], w)) ^ near.simhash(near.mixed(sets[1], w))).bit_count()
+                for w in range(8)
+            ))
+        [reach] = shape.reach_of(np.array([common + min(a, b)]))
+        assert reach >= np.mean(apart) + 5.5 * np.std(apart)
+
+
+def test_one_row_of_a_group_stays_whatever_its_ids(docs):
+    def text(name, new=None):
+        return " ".join(f"{name}{i}" if i != 150 or new is None else new for i in range(300))
+
+    rows = [
+        (None, text("a")), (None, text("a", "x")), (None, text("a", "y")),  # one of these
+        (5, text("b")), (None, text("b", "x")), (6, text("b", "y")),  # 5
+        (7, text("c")), (7, text("c", "x")), (8, text("c", "y")),  # one of 7
+        (7, text("d")), (9, text("d", "x")),  # 7 of another group
+        (3, text("e")), (3, text("e")), (4, text("e", "x")),  # 3 once
+        (2, text("f")), (2, text("f")), (None, text("g")), (None, text("g")),  # each once
+        (None, text("h")), (1, text("i")),
+    ]
+    table = docs([t for _, t in rows], [i for i, _ in rows])
+    got = near.keep_one(table)
+    assert got.columns == table.columns
+    assert collections.Counter((r.text[0], r.doc_id) for r in got.collect()) == dict.fromkeys([
+        ("a", None), ("b", 5), ("c", 7), ("d", 7), ("e", 3), ("f", 2), ("g", None), ("h", None), ("i", 1),
+    ], 1)
+
+
 def test_similar_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12)).astype(np.uint64)) for _ in range(60)]

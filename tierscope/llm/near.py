@@ -15,6 +15,7 @@ documents of one fingerprint are one node only if their sets are equal.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ FIRST_WORDS = 5  # of a fingerprint that all pairs compare, of more only the pai
 HASHES = 1 << 15  # hashes whose bits are counted at a time
 SET_ROWS, SET_BYTES = 512, 4 << 20  # of sets of shingles in a tile
 COLUMNS = 1 << 12  # shingles whose sets are multiplied at a time
-DEVIATIONS = 4  # of the estimate that candidates are allowed
+MISSED = 1e-9  # chance at most that fingerprints of two sets at the limit are too far apart
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ class Near:
     as often as it comes. `parts` and `step` shape the tiles: population counts are taken of
     so many parts, in steps.
 
-    If `confirmed` is given, fingerprints link that differ in `radius + margin` bits at most, and
-    of these links those count whose sets have that Jaccard similarity at least.
+    If `confirmed` is given, of the links of fingerprints those count whose sets have that Jaccard
+    similarity at least. `reaches` then widens the radius, as small sets' fingerprints scatter
+    more: by the step of the smaller set's size, the last for all larger ones.
     """
 
     words: int = 3
@@ -60,29 +62,39 @@ class Near:
     repeats: bool = True
     parts: int = 4
     step: int = 1
-    margin: int = 0
+    reaches: tuple[int, ...] = ()
     confirmed: float | None = None
 
     @property
     def reach(self) -> int:
-        return self.radius + self.margin
+        return max(self.reaches, default=self.radius)
+
+    def reach_of(self, sizes: np.ndarray) -> np.ndarray:
+        """In how many bits fingerprints may differ, by the number of shingles of the smaller set."""
+        if not self.reaches:
+            return np.full(len(sizes), self.radius)
+        steps = size_steps(sizes, self.similarity)
+        return np.array(self.reaches)[np.minimum(steps, len(self.reaches) - 1)]
 
     @classmethod
     def jaccard(cls, similarity: float = 0.8, words: int = 5, width: int = 8, slack: float = 0.02):
         """Near means a Jaccard similarity of sets of shingles, confirmed by the sets.
 
         The share of differing bits is about the angle between two sets as vectors, and more
-        for small sets: at 0.8 at most 3/16, of 4 shingles of 5. Candidates may differ in that
-        share and DEVIATIONS standard deviations more. `slack` is of the estimate, and of the
-        ratio of sizes.
+        for small sets: at 0.8 at most 3/16, of 4 shingles of 5. Fingerprints link so far apart
+        that a similar pair of any size is missed with the chance MISSED at most. `slack` is of
+        the estimate, and of the ratio of sizes.
         """
         least = similarity - slack
         radius = round(64 * width * math.acos(2 * least / (1 + least)) / math.pi)
-        bits, most = 64 * width, most_apart(similarity)
-        reach = max(radius, round(bits * most + DEVIATIONS * math.sqrt(bits * most * (1 - most))))
+        shares = most_apart(similarity)
+        steps = size_steps(np.arange(1, len(shares) + 1), least)
+        reaches = [radius] * (1 + int(steps[-1]))
+        for step, share in zip(steps, shares):  # no wider for larger sets
+            reaches[: step + 1] = np.maximum(reaches[: step + 1], reach_for(64 * width, share)).tolist()
         return cls(
-            words, width, radius, least, repeats=False, parts=1, step=reach,
-            margin=reach - radius, confirmed=similarity,
+            words, width, radius, least, repeats=False, parts=1, step=max(reaches),
+            reaches=tuple(reaches), confirmed=similarity,
         )
 
     def offsets(self) -> list[int]:
@@ -101,27 +113,54 @@ class Near:
         return sorted({cell for cell in cells if cell >= 0})
 
 
-def most_apart(similarity: float, sizes: int = 40) -> float:
-    """The largest share of bits that differ on average, of sets of a Jaccard similarity.
+@functools.cache
+def most_apart(similarity: float, sizes: int = 40) -> tuple[float, ...]:
+    """The largest share of bits that differ on average, of two unequal sets of that Jaccard
+    similarity at least, by the size of the smaller: 1 up to `sizes`, then all larger ones.
 
-    From the angle, or exactly for small sets: so many shingles in common, and so many that
-    only the one or only the other has.
+    Exactly for small sets, from so many shingles in common, and so many that only the one or
+    only the other has. It falls towards that of the angle, so larger sets have no more than the
+    upper half of these sizes.
     """
     def ones(n: int, least: int) -> float:  # chance of so many among n
         return sum(math.comb(n, i) for i in range(max(least, 0), n + 1)) / 2**n
 
-    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    for common in range(1, sizes):
+    most = [0.0] * (sizes + 1)
+    for common in range(1, sizes + 1):
         for single in range(1, math.floor(common / similarity - common + 1e-9) + 1):
-            for a in range(single + 1):
+            for a in range(single // 2 + 1):
                 b, apart = single - a, 0.0
+                if common + a > sizes:
+                    continue
                 for x in range(common + 1):
                     in_a = ones(a, (common + a) // 2 + 1 - x)
                     in_b = ones(b, (common + b) // 2 + 1 - x)
                     share = math.comb(common, x) / 2**common
                     apart += share * (in_a * (1 - in_b) + in_b * (1 - in_a))
-                most = max(most, apart)
-    return most
+                most[common + a - 1] = max(most[common + a - 1], apart)
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most[sizes] = max(angle, *most[sizes // 2 : sizes])
+    return tuple(most)
+
+
+def reach_for(bits: int, share: float) -> int:
+    """The number of differing bits that is exceeded with the chance MISSED at most, if each bit
+    differs with the chance `share`."""
+    if not share:
+        return 0
+    beyond = 0.0
+    for i in range(bits, 0, -1):
+        ways = math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1)
+        beyond += math.exp(ways + i * math.log(share) + (bits - i) * math.log1p(-share))
+        if beyond > MISSED:
+            return i
+    return 0
+
+
+def size_steps(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Steps of the ratio of sizes that a Jaccard similarity allows; similar sets are in the same
+    or in neighbouring steps."""
+    return (np.log(np.maximum(sizes, 1)) / -np.log(similarity)).astype(np.int64)
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -176,9 +215,8 @@ def fingerprint(text: Column, near: Near) -> Column:
         bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
         counts = bits.reshape(-1, near.parts, per_part).sum(2).astype(np.int64) // near.step
         cells = np.zeros(len(words), np.int64)
-        if near.similarity is not None:  # steps of the ratio that similarity allows
-            ratio = -np.log(near.similarity)
-            cells += (np.log(np.maximum(sizes, 1)) / ratio).astype(np.int64)
+        if near.similarity is not None:
+            cells += size_steps(np.array(sizes), near.similarity)
         for i in range(near.parts):
             cells = cells * BASE + counts[:, i]
         flat = pa.array(words.astype(np.int64).reshape(-1))
@@ -265,13 +303,16 @@ def link(nodes: DataFrame, near: Near, tile_rows: int = TILE_ROWS) -> DataFrame:
     sides = [
         tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cell", "part", "rows")]) for s in "ab"
     ]
+    reaches = near.reaches or (near.radius,)
+    step = F.floor(F.col("cell_a") / BASE**near.parts)  # of size, not above that of cell_b
+    reach = F.element_at(F.array(*map(F.lit, reaches)), F.least(step + 1, F.lit(len(reaches))).cast("int"))
     work = pairs.join(sides[0], ["cell_a", "part_a"]).join(sides[1], ["cell_b", "part_b"]).select(
         "rows_a", F.when(
             (F.col("cell_a") != F.col("cell_b")) | (F.col("part_a") != F.col("part_b")),
             F.col("rows_b"),
-        ).alias("rows_b"),
+        ).alias("rows_b"), reach.alias("reach"),
     )
-    width, radius = near.width, near.reach
+    width = near.width
 
     def unpack(column: pa.ListArray):
         """Nodes and fingerprints of each row's list; none for null."""
@@ -289,7 +330,8 @@ def link(nodes: DataFrame, near: Near, tile_rows: int = TILE_ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for (ids_a, a), (ids_b, b) in zip(*map(unpack, batch.columns)):
+            sides, reach = batch.columns[:2], batch.column(2).to_pylist()
+            for (ids_a, a), (ids_b, b), radius in zip(*map(unpack, sides), reach):
                 root = compare(a, b, radius)
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 if len(moved):
@@ -377,7 +419,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     work = pairs.join(sides[0], ["root", "part_a"]).join(sides[1], ["root", "part_b"]).select(
         "rows_a", F.when(F.col("part_a") != F.col("part_b"), F.col("rows_b")).alias("rows_b")
     )
-    similarity, width, radius = near.confirmed, near.width, near.reach
+    similarity, width = near.confirmed, near.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,7 +431,9 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
                 bits = np.concatenate([h.field("bits").flatten().to_numpy() for h in held])
                 bits = bits.view(np.uint64).reshape(-1, width)
                 i, j = similar([np.frombuffer(v, np.uint64) for v in data], similarity)
-                linked = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= radius
+                sizes = np.array([len(v) // 8 for v in data], np.int64)
+                reach = near.reach_of(np.minimum(sizes[i], sizes[j]))
+                linked = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= reach
                 i, j = i[linked], j[linked]
                 root = forest(len(ids), i, j)
                 moved = np.flatnonzero(root != np.arange(len(root)))
@@ -403,18 +447,26 @@ def confirm(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, all columns.
 
-    By default near means fingerprints that differ in 131 of 512 bits at most, confirmed by a
-    Jaccard similarity of 0.8 on shingles of five words; links join groups, so two documents of
-    one group may be less similar. Documents
-    that no group drops are neither shuffled nor joined, but for those that share their
-    place in a bitmap of bounded size. A document without doc_id always stays.
+    By default near means fingerprints of 512 bits that differ in 152 bits at most for sets of up
+    to 4 shingles, 136 up to 15 and 134 of more, confirmed by a Jaccard similarity of 0.8 on
+    shingles of five words; links join groups, so two documents of one group may be less similar.
+    Documents that no group drops are neither shuffled nor joined, but for those that share their
+    place in a bitmap of bounded size. Just one row of a group stays: one without doc_id only if
+    the group has no other, one of several texts with the smallest doc_id, and one of rows that
+    repeat both text and doc_id.
     """
-    groups = grouped(docs, near or Near.jaccard())
-    dropped = saved(
-        groups.where("doc_id > component_id").select("doc_id", "text_hash").distinct(), "dropped"
+    groups = _rooted(docs, near or Near.jaccard()).where("group_size > 1")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = groups.groupBy("root").agg(F.min(key).alias("first"))
+    marked = saved(
+        groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+        .join(first, "root")
+        .select("doc_id", "text_hash", "copies", key.eqNullSafe(F.col("first")).alias("first"))
+        .where("NOT first OR copies > 1"),
+        "marked",
     )
-    slot_bits = min(exact.SLOT_BITS, max(12, dropped.count().bit_length() + 8))
-    bitmap = saved(exact.bitmap(dropped, "text_hash", slot_bits), "dropped-bitmap")
+    slot_bits = min(exact.SLOT_BITS, max(12, marked.count().bit_length() + 8))
+    bitmap = saved(exact.bitmap(marked, "text_hash", slot_bits), "marked-bitmap")
     rows = exact.is_suspect(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_"),
@@ -422,8 +474,18 @@ def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
         ),
         "text_hash", bitmap, slot_bits,
     )
-    stay = rows.where("suspect_").join(dropped, ["doc_id", "text_hash"], "left_anti")
-    return rows.where("NOT suspect_").select("doc_.*").union(stay.select("doc_.*"))
+    suspects = rows.where("suspect_").alias("rows")
+
+    def of(marks: DataFrame) -> list[Column]:
+        return [
+            F.col("rows.text_hash") == marks["text_hash"],
+            F.col("rows.doc_id").eqNullSafe(marks["doc_id"]),
+        ]
+
+    repeated = marked.where("first")
+    one = suspects.join(repeated, of(repeated), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    parts = [rows.where("NOT suspect_"), suspects.join(marked, of(marked), "left_anti"), one]
+    return functools.reduce(DataFrame.union, [part.select("doc_.*") for part in parts])
 
 
 def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -435,6 +497,11 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     other. Rows that repeat are rows of the result. A null doc_id is never the smallest
     unless the component has no other. No documents give no rows.
     """
+    return _rooted(docs, near).drop("root")
+
+
+def _rooted(docs: DataFrame, near: Near) -> DataFrame:
+    """The rows of `grouped` with `root`, a number of the component."""
     confirmed = near.confirmed is not None
     same = ["bits", "cell", "set"] if confirmed else ["bits", "cell"]  # one node
     prints = saved(
@@ -461,7 +528,7 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     least = rooted.groupBy("root").agg(
         F.min("least").alias("component_id"), F.sum("copies").alias("group_size")
     )
-    of_print = rooted.join(least, "root").select(*same, "component_id", "group_size")
+    of_print = rooted.join(least, "root").select(*same, "component_id", "group_size", "root")
     return prints.join(of_print, same, "left").select(
-        "doc_id", "bits", "text_hash", "component_id", "group_size"
+        "doc_id", "bits", "text_hash", "component_id", "group_size", "root"
     )
